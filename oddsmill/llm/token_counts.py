@@ -8,16 +8,19 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, vocabulary_path
+from .common import vocabulary_path
 
-#: Rows of one posting list; with FREQ_BITS they share an int.
-MAX_ROWS, FREQ_BITS = 8192, 18
+#: Texts of a chunk: the unit whose sums come together again.
+MAX_ROWS = 32_768
+#: A pre-token in more than this share of a chunk's texts is hot; its postings go to one bucket for each HOT_CHUNKS chunks.
+HOT_SHARE, HOT_CHUNKS = 1 / 8, 64
 #: Characters in which NFC changes nothing, lower case is one to one and the classes below are complete.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ɏ]*")
 _L, _N = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 PLAIN_PRETOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t\n\r \xa0{_L}{_N}]+")
 
-POSTINGS = "chunk long, ordinal int, doc_id long, n_bytes long, pretoken string, packed array<int>"
+LISTS = "bucket int, chunk long, words binary, lists binary, doc_ids array<long>, n_bytes array<long>"
+SUMS = "chunk long, sums binary, doc_ids array<long>, n_bytes array<long>"
 
 
 class Pretokens:
@@ -47,14 +50,37 @@ class Pretokens:
         return [text[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(text)]
 
 
-def _postings(path: str):
+def _pack(*arrays) -> bytes:
+    import pyarrow as pa
+
+    head = b"".join(len(x).to_bytes(8, "little") for x in arrays)
+    return pa.compress(head + b"".join(x.tobytes() for x in arrays), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, *types: str):
+    import numpy as np
+    import pyarrow as pa
+
+    data = pa.input_stream(pa.BufferReader(data), compression="zstd").read()
+    at, out = 8 * len(types), []
+    for n, t in zip(np.frombuffer(data, "<u8", len(types)).tolist(), types):
+        out.append(np.frombuffer(data, t, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _lists(path: str, n_buckets: int):
+    """Posting lists of each chunk by bucket of the pre-token, and a row with the chunk's ids and sizes."""
+
     def run(batches: Iterator) -> Iterator:
+        import zlib
+
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         split, part, chunks = Pretokens(path), TaskContext.get().partitionId(), 0
-        schema = pa.schema([("chunk", pa.int64()), ("ordinal", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("pretoken", pa.string()), ("packed", pa.list_(pa.int32()))])
+        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("lists", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
         ids: list[int | None] = []
         sizes: list[int] = []
         words: dict[str, int] = {}
@@ -63,35 +89,39 @@ def _postings(path: str):
         def flush():
             nonlocal chunks
             chunk, chunks = part << 32 | chunks, chunks + 1
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
+            rows = [{"bucket": chunk % n_buckets, "chunk": chunk, "doc_ids": list(ids), "n_bytes": list(sizes)}]
             if found:
-                word = np.concatenate([w for w, _ in found])
-                packed = np.concatenate([p for _, p in found])
-                packed = packed[np.argsort(word, kind="stable")]
-                ends = np.cumsum(np.bincount(word, minlength=len(words)))
-                names = list(words)
-                for k in range(0, len(names), 1 << 16):
-                    part_ends = ends[k : k + (1 << 16)]
-                    start = int(ends[k - 1]) if k else 0
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], part_ends - start]), pa.int32()), pa.array(packed[start : int(part_ends[-1])], pa.int32()))
-                    m = len(part_ends)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk), pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(names[k : k + m], pa.string()), lists], schema=schema)
+                word, text, freq = (np.concatenate(x) for x in zip(*found))
+                in_texts = np.bincount(word, minlength=len(words))
+                salt = str(part // HOT_CHUNKS)
+                bucket = np.array([zlib.crc32((w + salt if n > HOT_SHARE * len(ids) else w).encode("utf-8", "surrogatepass")) % n_buckets for w, n in zip(words, in_texts.tolist())])
+                names = np.array(list(words), object)
+                by_bucket = np.argsort(bucket, kind="stable")
+                place = np.empty_like(by_bucket)
+                place[by_bucket] = np.arange(len(by_bucket))
+                order = np.argsort(place[word], kind="stable")
+                text, freq, in_texts = text[order], freq[order], in_texts[by_bucket]
+                entry_ends = np.concatenate([[0], np.cumsum(in_texts)])
+                ends = np.searchsorted(bucket[by_bucket], np.arange(n_buckets + 1))
+                for k in range(n_buckets):
+                    a, b = ends[k], ends[k + 1]
+                    if a < b:
+                        at = slice(entry_ends[a], entry_ends[b])
+                        own = "\0".join(names[by_bucket[a:b]]).encode("utf-8", "surrogatepass")
+                        rows.append({"bucket": k, "chunk": chunk, "words": pa.compress(own, codec="zstd", asbytes=True), "lists": _pack(in_texts[a:b].astype("<u4"), text[at].astype("<u2"), freq[at].astype("<u4"))})
+            for k in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_pylist(rows[k : k + 256], schema=schema)
             ids.clear(), sizes.clear(), words.clear(), found.clear()
 
-        most = (1 << FREQ_BITS) - 1
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                row = len(ids)
-                ids.append(doc_id)
-                sizes.append(len(text.encode()))
                 if got := split(text):
                     w, n = np.unique(np.fromiter((words.setdefault(x, len(words)) for x in got), np.int32, len(got)), return_counts=True)
-                    while n.size:  # a frequency beyond the field takes further entries
-                        found.append((w, (row << FREQ_BITS | np.minimum(n, most)).astype(np.int32)))
-                        w, n = w[n > most], n[n > most] - most
-                if len(ids) == MAX_ROWS or len(words) > 1_000_000:
+                    found.append((w, np.full(len(w), len(ids), np.uint16), n.astype(np.uint32)))
+                ids.append(doc_id)
+                sizes.append(len(text.encode()))
+                if len(ids) == MAX_ROWS or len(words) > 600_000:
                     yield from flush()
         if ids:
             yield from flush()
@@ -99,11 +129,14 @@ def _postings(path: str):
     return run
 
 
-def _pieces(path: str):
+def _sums(path: str):
+    """Of one bucket: pieces of each pre-token, counted when it is first met, times its frequencies, by text."""
+
     def run(batches: Iterator) -> Iterator:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         import pyarrow as pa
         from tokenizers import Tokenizer, normalizers
 
@@ -111,10 +144,39 @@ def _pieces(path: str):
         t.no_padding()
         t.no_truncation()
         t.normalizer = normalizers.Sequence([])  # pre-tokens are normal already
-        schema = pa.schema([("pretoken", pa.string()), ("n_pieces", pa.int32())])
+        pieces: dict[str, int] = {}
+        schema = pa.schema([("chunk", pa.int64()), ("sums", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.ids) for x in t.encode_batch_fast(words, add_special_tokens=False)], pa.int32())], schema=schema)
+            out = []
+            for row in batch.to_pylist():
+                if row["words"] is None:
+                    out.append({k: row[k] for k in ("chunk", "doc_ids", "n_bytes")})
+                    continue
+                words = pa.input_stream(pa.BufferReader(row["words"]), compression="zstd").read().decode("utf-8", "surrogatepass").split("\0")
+                new = [w for w in words if w not in pieces]
+                pieces.update(zip(new, (len(x.ids) for x in t.encode_batch_fast(new, add_special_tokens=False))))
+                in_texts, text, freq = _unpack(row["lists"], "<u4", "<u2", "<u4")
+                n = np.repeat(np.fromiter((pieces[w] for w in words), np.int64, len(words)), in_texts) * freq
+                total = np.bincount(text, n).astype(np.int64)
+                at = np.flatnonzero(total)
+                out.append({"chunk": row["chunk"], "sums": _pack(at.astype("<u2"), total[at].astype("<u8"))})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return run
+
+
+def _totals(limit: int):
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        ids, sizes = next((i, n) for i, n in zip(pdf["doc_ids"], pdf["n_bytes"]) if i is not None)
+        total = np.zeros(len(ids), np.int64)
+        for data in pdf["sums"]:
+            if data is not None:
+                at, n = _unpack(data, "<u2", "<u8")
+                total[at] += n.astype(np.int64)
+        return pd.DataFrame({"doc_id": pd.array(list(ids), "Int64"), "n_bytes": sizes, "n_tokens": total, "over_limit": total > limit})
 
     return run
 
@@ -126,19 +188,14 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
     tokens. Texts are taken whole. Special strings inside a text are one token each, as the library has it.
     Columns beside the two named ones are ignored, whatever their names.
 
-    Plan: each task turns its rows into posting lists, one row for a pre-token and up to MAX_ROWS texts, so a
-    very common pre-token is a few ints a text and never a row for each text; distinct pre-tokens are counted
-    in pieces once; the lists join to those counts on the pre-token (a sort-merge join that AQE may split), and
-    the products are summed by text, map-side first.
+    Plan: a task turns each chunk of its rows into posting lists (texts and frequencies by pre-token), packed by
+    a hash of the pre-token into one row a bucket. A bucket counts the pieces of each distinct pre-token once,
+    multiplies, and sends one packed row of sums back to each chunk. A row for each word occurrence never
+    exists, and a pre-token in most texts is dealt to one bucket for each HOT_CHUNKS tasks.
     """
     path, spark = vocabulary_path(vocabulary), docs.sparkSession
-    scratch = Scratch(spark, "tokens")
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = scratch.save(rows.mapInArrow(_postings(path), POSTINGS), "postings")
-    lists = table.where("pretoken is not null").select("chunk", "pretoken", "packed")
-    pieces = lists.select("pretoken").distinct().mapInArrow(_pieces(path), "pretoken string, n_pieces int")
-    found = lists.join(pieces, "pretoken").select("chunk", "n_pieces", F.explode("packed").alias("p"))
-    found = found.select("chunk", F.shiftrightunsigned("p", FREQ_BITS).alias("ordinal"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), (F.col("p").bitwiseAND((1 << FREQ_BITS) - 1) * F.col("n_pieces").cast("long")).alias("n"))
-    texts = table.where("ordinal is not null").select("chunk", "ordinal", "doc_id", "n_bytes", F.lit(0).cast("long").alias("n"))
-    out = found.unionByName(texts).groupBy("chunk", "ordinal").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-    return scratch.finish(out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")), "postings")
+    lists = rows.mapInArrow(_lists(path, n_buckets), LISTS)
+    sums = lists.repartition(n_buckets, "bucket").mapInArrow(_sums(path), SUMS)
+    return sums.groupBy("chunk").applyInPandas(_totals(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -14,6 +14,8 @@ from .common import Scratch, vocabulary_path
 GROUP_ROWS = 40_000
 #: Lengths are rounded up to this grain for patterns only.
 GRAIN = 32
+#: Tokens that a sequence laid by a pattern may leave empty.
+SLACK = 1
 #: Documents of a pattern.
 PATTERN_DOCS = 3
 
@@ -136,13 +138,15 @@ def fit_patterns(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int,
 
 def _pack(patterns: list[tuple[tuple[int, ...], float]], total: int, limit: int):
     def run(pdf):
+        import bisect
+
         import numpy as np
 
         lengths = pdf["length"].to_numpy()
         order = np.lexsort((pdf["row"].to_numpy(), -lengths))
-        bins: dict[int, list[int]] = {}
+        bins: dict[int, list[tuple[int, int]]] = {}
         for k in order[::-1]:
-            bins.setdefault(-(-int(lengths[k]) // GRAIN), []).append(int(k))  # the longest of a bin is last
+            bins.setdefault(-(-int(lengths[k]) // GRAIN), []).append((int(lengths[k]), int(k)))  # the longest of a bin is last
         seq = np.full(len(pdf), -1, np.int64)
         at = np.zeros(len(pdf), np.int64)
         used: list[int] = []
@@ -155,9 +159,18 @@ def _pack(patterns: list[tuple[tuple[int, ...], float]], total: int, limit: int)
             for _ in range(int(repeats * len(pdf) / total)):
                 if any(len(bins.get(x, ())) < pattern.count(x) for x in pattern):
                     break
-                used.append(0)
-                for x in pattern:
-                    put(bins[x].pop(), len(used) - 1)
+                head = [bins[x].pop() for x in pattern[:-1]]
+                gap = limit - sum(length for length, _ in head)
+                # the last place takes a document that fits to SLACK, which rounding may put one or two bins up;
+                # where there is none, the others wait for the residuals
+                for x in range(gap // GRAIN + 1, (gap - SLACK - 1) // GRAIN, -1):
+                    own = bins.get(x, [])
+                    n = bisect.bisect_right(own, (gap, len(lengths)))
+                    if n and own[n - 1][0] >= gap - SLACK:
+                        used.append(0)
+                        for _, k in [*head, own.pop(n - 1)]:
+                            put(k, len(used) - 1)
+                        break
         gaps: list[list[int]] = [[] for _ in range(limit + 1)]
         some = 0
         for s, u in enumerate(used):

@@ -69,7 +69,8 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     e = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, last, made, before = scratch.save(e, "edges-0"), None, ["edges-0"], None
+    run = f"edges-{uuid.uuid4().hex[:8]}"
+    e, made, before = scratch.save(e, f"{run}-0"), f"{run}-0", None
     for k in range(1, 1000):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -77,10 +78,10 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = scratch.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"edges-{k}")
+        e = scratch.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{run}-{k}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(made[-1])
-        made.append(f"edges-{k}")
+        scratch.drop(made)
+        made = f"{run}-{k}"
         if now == before:
             break
         before = now

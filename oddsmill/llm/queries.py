@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, lm_scoring, minhash_forest, mixing, packing, quality_rules, suffix_dedup, token_counts
+from . import embedding_dedup, language_id, lm_scoring, minhash_forest, mixing, packing, passage_chains, quality_rules, suffix_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_chains.shared_passages(_read(spark, sf_dir, "documents"))
+
+
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash_forest": op6_minhash_forest,
     "op7_language_id": op7_language_id,
+    "op8_passage_chains": op8_passage_chains,
     "op9_pattern_packing": op9_pattern_packing,
     "op10_token_counts": op10_token_counts,
 }

@@ -138,7 +138,9 @@ def train(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", lang_col: st
     return Model(langs, table, path)
 
 
-def _predict(model):
+def _predict(model, least: float | None = None):
+    """Batches of (id, text, ...) to predictions, or, with `least`, to the rows that are told with this score or more."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -173,7 +175,10 @@ def _predict(model):
                     best = int(np.argmax(x))
                     langs.append(m.langs[best])
                     scores.append(float(1 / np.exp(x - x[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            if least is None:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            else:
+                yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], pa.bool_()))
 
     return run
 
@@ -186,6 +191,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose language is told with a score of `least` or more; `und` goes."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rows = docs.select(id_col, text_col, *others)
+    return rows.mapInArrow(_predict(shared, least), rows.schema).select(*docs.columns)
+
+
 def held_out(doc_id: Column) -> Column:
     """The third that is never learned from; a null id isn't in it."""
     return F.coalesce(crc_bucket(doc_id, 3) == 1, F.lit(False))

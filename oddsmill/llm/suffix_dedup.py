@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch
 from .induced_sort import suffix_array
@@ -36,18 +37,19 @@ def _blocks(batches: Iterator) -> Iterator:
         return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([pa.compress(pickle.dumps(rows), codec="zstd", asbytes=True)], pa.binary())], names=["block", "data"])
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for doc_id, text, *others in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:])):
             text = (text.as_py() or "").encode("utf-8", "surrogatepass")
             if rows and size + len(text) > BLOCK_BYTES:
                 yield flush()
                 n, rows, size = n + 1, [], 0
-            rows.append((doc_id, text))
+            rows.append((doc_id, text, *others))
             size += len(text) + 64
     if rows:
         yield flush()
 
 
-def _open(data) -> list[tuple[int | None, bytes]]:
+def _open(data) -> list[tuple]:
+    """(id, text as bytes, carried columns...) of a block's documents."""
     import pickle
 
     import pyarrow as pa
@@ -98,7 +100,7 @@ def _owned(batches: Iterator) -> Iterator:
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
             parts: list[list] = [[], [], [], [], []]
-            for k, (_, text) in enumerate(_open(data.as_py())):
+            for k, (_, text, *_others) in enumerate(_open(data.as_py())):
                 if len(text) >= LENGTH:
                     lo, hi, anchor = _anchors(np.frombuffer(text, np.uint8))
                     content = b"".join([xxhash.xxh3_128_digest(text[a : b + LENGTH]) for a, b in zip(lo.tolist(), hi.tolist())])
@@ -157,7 +159,7 @@ def _sorted_shard(pdf):
     return got
 
 
-def _cut(with_text: bool):
+def _cut(names: list[str]):
     def run(blocks, runs):
         import hashlib
 
@@ -169,7 +171,7 @@ def _cut(with_text: bool):
         by = np.searchsorted(runs["doc"].to_numpy(), np.arange(len(docs) + 1))
         starts, stops = runs["start"].to_numpy(), runs["stop"].to_numpy() + LENGTH - 1
         out = []
-        for k, (doc_id, text) in enumerate(docs):
+        for k, (doc_id, text, *others) in enumerate(docs):
             at, kept, n_spans = 0, [], 0
             for a, b in zip(starts[by[k] : by[k + 1]].tolist(), stops[by[k] : by[k + 1]].tolist()):
                 if a > at or not n_spans:
@@ -178,19 +180,18 @@ def _cut(with_text: bool):
                 at = max(at, b)
             kept.append(text[at:])
             rest = b"".join(kept)
-            out.append((doc_id, len(text), len(text) - len(rest), n_spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
-        got = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-        return got.astype({"doc_id": "Int64"}) if with_text else got.astype({"doc_id": "Int64"}).drop(columns="kept_text")
+            out.append((doc_id, len(text), len(text) - len(rest), n_spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if len(names) > 5 else None, *others))
+        return pd.DataFrame({n: pd.Series([row[k] for row in out], dtype=object if n not in ("n_bytes", "n_removed", "n_spans") else "int64") for k, n in enumerate(names)})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cuts from each text every byte that lies in a string of LENGTH bytes starting anywhere else too.
 
     Returns one row for each input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
-    and, if asked for, kept_text (the rest as text; a character cut in half goes). Strings are judged on the
-    input; matches never cross documents; all copies go, in the same document too. Null texts are empty; texts
+    and, if carry is a list of columns, kept_text (the rest as text; a character cut in half goes) and those
+    columns as they are (their names must differ from these). Strings are judged on the input; matches never cross documents; all copies go, in the same document too. Null texts are empty; texts
     under LENGTH bytes stay whole. Repeated rows and ids are texts of their own.
 
     Every string of LENGTH bytes is owned by its anchor, so equal strings meet at equal anchors and each start is
@@ -203,7 +204,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
     scratch = Scratch(spark, "suffix")
     name = f"oddsmill_blocks_{uuid.uuid4().hex}"
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(carry or []))
     rows.mapInArrow(_blocks, BLOCK).write.format("parquet").option("path", f"{scratch.root}/blocks").option("compression", "none").bucketBy(n_parts, "block").saveAsTable(name)
     blocks = spark.table(name)
     owned = scratch.save(blocks.mapInArrow(_owned, OWNED), "owned")
@@ -227,8 +228,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo") + 1).cast("int").alias("b")))
     hit = hit.select("block", "doc", "lo", F.explode(F.coalesce("runs", whole)).alias("r"))
     hit = hit.select("block", "doc", (F.col("lo") + F.col("r.a")).alias("start"), (F.col("lo") + F.col("r.b")).alias("stop"))
-    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    out = blocks.groupBy("block").cogroup(hit.groupBy("block")).applyInPandas(_cut(with_text), fields)
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * (carry is not None))
+    schema = T.StructType([*schema.fields, *rows.schema.fields[2:]])
+    out = blocks.groupBy("block").cogroup(hit.groupBy("block")).applyInPandas(_cut(schema.names), schema)
     out = scratch.finish(out, "again", "stretches", "data", "found")
     spark.sql(f"drop table {name}")
     scratch.drop("blocks")

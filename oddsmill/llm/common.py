@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space and the ASCII controls tab to carriage return.
@@ -41,6 +41,12 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+        """The saved table, its rows, and a sum of hashes of them, all from the one write."""
+        seen = Observation()
+        out = self.save(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")), name)
+        return out, seen.get["n"], int(seen.get["h"] or 0)
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
@@ -70,7 +76,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     e = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     run = f"edges-{uuid.uuid4().hex[:8]}"
-    e, made, before = scratch.save(e, f"{run}-0"), f"{run}-0", None
+    e, *before = scratch.save_counted(e, f"{run}-0")
     for k in range(1, 1000):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -78,10 +84,8 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = scratch.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{run}-{k}")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(made)
-        made = f"{run}-{k}"
+        e, *now = scratch.save_counted(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{run}-{k}")
+        scratch.drop(f"{run}-{k - 1}")
         if now == before:
             break
         before = now

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,9 +65,14 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6)
 
         QUERIES[name] = run
         if sql is not None:
-            views = ", ".join(f"{k} as ({v})" for k, v in VIEWS.items())
+            needed, text = [], sql
+            for k in reversed(VIEWS):
+                if re.search(rf"\b{k}\b", text):
+                    needed.insert(0, k)
+                    text += " " + VIEWS[k]
+            views = ", ".join(f"{k} as ({VIEWS[k]})" for k in needed)
             replace = ", ".join(f"round({c}, {digits})::double + 0.0 as {c}" for c in doubles.split())
-            SQL[name] = f"with {views} select *{f' replace ({replace})' if replace else ''} from ({sql})"
+            SQL[name] = f"{f'with {views} ' if views else ''}select *{f' replace ({replace})' if replace else ''} from ({sql})"
         return f
 
     return add

@@ -1,4 +1,5 @@
 """Importing the query modules registers their queries."""
 
-from . import bar_queries, signal_queries, window_queries  # noqa: F401
+from . import bar_queries, signal_queries, window_queries  # noqa: F401, I001
+from . import board_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -32,7 +32,7 @@ def _planes(*arrays) -> bytes:
     import numpy as np
     import pyarrow as pa
 
-    flat = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
+    flat = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)
     return pa.compress(len(arrays[0]).to_bytes(8, "little") + flat, codec="zstd", asbytes=True)
 
 

@@ -116,7 +116,7 @@ def _fetch(blocks, wanted):
     import pandas as pd
 
     if blocks.empty or wanted.empty:
-        return pd.DataFrame({"anchor": [], "c1": [], "c2": [], "data": []}).astype({"anchor": "int64", "c1": "int64", "c2": "int64"})
+        return pd.DataFrame({"anchor": [], "c1": [], "c2": [], "data": []}, dtype=object).astype({"anchor": "int64", "c1": "int64", "c2": "int64"})
     docs = _open(blocks["data"].iloc[0])
     wanted["data"] = [docs[d][1][a : b + LENGTH] for d, a, b in zip(wanted["doc"], wanted["lo"], wanted["hi"])]
     return wanted[["anchor", "c1", "c2", "data"]]
@@ -127,7 +127,7 @@ def _sorted_shard(pdf):
     import numpy as np
     import pandas as pd
 
-    none = pd.DataFrame({"anchor": [], "c1": [], "c2": [], "runs": []}).astype({"anchor": "int64", "c1": "int64", "c2": "int64"})
+    none = pd.DataFrame({"anchor": [], "c1": [], "c2": [], "runs": []}, dtype=object).astype({"anchor": "int64", "c1": "int64", "c2": "int64"})
     sizes = pdf["data"].map(len).to_numpy()
     firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     text = np.frombuffer(b"".join(pdf["data"]), np.uint8)
@@ -155,7 +155,7 @@ def _sorted_shard(pdf):
     if not out:
         return none
     got = pdf.iloc[[k for k, _ in out]][["anchor", "c1", "c2"]].copy()
-    got["runs"] = [r for _, r in out]
+    got["runs"] = pd.Series([r for _, r in out], index=got.index, dtype=object)
     return got
 
 

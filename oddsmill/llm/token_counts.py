@@ -107,7 +107,7 @@ def _lists(path: str, n_buckets: int):
                     a, b = ends[k], ends[k + 1]
                     if a < b:
                         at = slice(entry_ends[a], entry_ends[b])
-                        own = "\0".join(names[by_bucket[a:b]]).encode("utf-8", "surrogatepass")
+                        own = "\n".join(names[by_bucket[a:b]]).encode("utf-8", "surrogatepass")
                         rows.append({"bucket": k, "chunk": chunk, "words": pa.compress(own, codec="zstd", asbytes=True), "lists": _pack(in_texts[a:b].astype("<u4"), text[at].astype("<u2"), freq[at].astype("<u4"))})
             for k in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_pylist(rows[k : k + 256], schema=schema)
@@ -152,7 +152,7 @@ def _sums(path: str):
                 if row["words"] is None:
                     out.append({k: row[k] for k in ("chunk", "doc_ids", "n_bytes")})
                     continue
-                words = pa.input_stream(pa.BufferReader(row["words"]), compression="zstd").read().decode("utf-8", "surrogatepass").split("\0")
+                words = pa.input_stream(pa.BufferReader(row["words"]), compression="zstd").read().decode("utf-8", "surrogatepass").split("\n")
                 new = [w for w in words if w not in pieces]
                 pieces.update(zip(new, (len(x.ids) for x in t.encode_batch_fast(new, add_special_tokens=False))))
                 in_texts, text, freq = _unpack(row["lists"], "<u4", "<u2", "<u4")

@@ -67,14 +67,13 @@ class Shingler:
 
 
 def signature(shingles, n: int, seed: int = 1):
-    """The least of each of n hash orders over a non-empty set, as uint32."""
+    """The least of each of n hash orders over a non-empty set, as uint32: sums of products of both halves of a hash."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    a = rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1) | np.uint64(1)
-    b = rng.integers(0, 1 << 63, n, np.uint64)
-    least = np.full(n, 0xFFFFFFFF, np.uint64)
-    for k in range(0, len(shingles), 4096):
-        x = (shingles[k : k + 4096, None] ^ b) * a
-        least = np.minimum(least, (x >> np.uint64(32)).min(0))
+    a, b = (rng.integers(0, 1 << 31, (n, 1), np.uint32) << np.uint32(1) | np.uint32(1) for _ in range(2))
+    low, high = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(n, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(shingles), 2048):
+        np.minimum(least, (low[None, k : k + 2048] * a + high[None, k : k + 2048] * b).min(1), out=least)
     return least.astype("<u4")

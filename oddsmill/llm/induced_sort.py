@@ -49,7 +49,7 @@ class Queues:
                 out.append(r)
                 self.held -= len(r)
         self.runs[c] = []
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def _types(text):
@@ -83,7 +83,7 @@ def _induce(text, small, seeds, most: int):
     n = len(text)
     marked, up = Queues(most), Queues(most)
     _deal(marked, text, seeds)
-    up.push(int(text[-1]), np.array([n - 1]))
+    up.push(int(text[-1]), np.array([n - 1], seeds.dtype))
     large: list = [None] * 256
     for c in range(256):
         got, run = [], up.take(c)
@@ -94,7 +94,7 @@ def _induce(text, small, seeds, most: int):
             same = text[before] == c
             _deal(up, text, before[~same])
             run = before[same]
-        large[c] = np.concatenate(got) if got else np.zeros(0, np.int64)
+        large[c] = np.concatenate(got) if got else np.zeros(0, seeds.dtype)
         run = marked.take(c)
         before = run[run > 0] - 1
         _deal(up, text, before[~small[before]])
@@ -164,15 +164,15 @@ def suffix_array(text, depth: int, most: int = 1 << 24):
     if len(text) < 2:
         return np.arange(len(text))
     small = _types(text)
-    seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    seeds = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32 if len(text) < 1 << 31 else np.int64)
     if len(seeds) > 1:
         order = _induce(text, small, seeds, most)
         is_seed = np.zeros(len(text), bool)
         is_seed[seeds] = True
         order = order[is_seed[order]]
-        ends = np.zeros(len(text), np.int64)
+        ends = np.zeros(len(text), seeds.dtype)
         ends[seeds] = np.append(seeds[1:], len(text) - 1)
-        names = np.zeros(len(text), np.int64)
+        names = np.zeros(len(text), seeds.dtype)
         names[order] = _names(text, ends, order)
         seeds = seeds[_order(names[seeds], depth // 2 + 2)]
     return _induce(text, small, seeds, most)

@@ -16,7 +16,7 @@ from .shingles import mix
 #: Bytes of the strings that are removed, and of the anchors that bring equal strings together.
 LENGTH, ANCHOR = 400, 64
 #: Text of a block of documents, and of a shard of suffixes.
-BLOCK_BYTES, SHARD_BYTES = 12_000_000, 8_000_000
+BLOCK_BYTES, SHARD_BYTES = 12_000_000, 2_000_000
 #: Starts of one stretch of a text; a place in it fits the low bits of a sampled hash.
 STRETCH_BITS = 20
 

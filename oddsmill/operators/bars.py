@@ -73,14 +73,11 @@ def multi_resolution(tape: DataFrame, resolutions: dict[int, int], key: str = "m
 
 
 def channels(bars: DataFrame, key: str = "market_id") -> DataFrame:
-    """Per bar: return, range, body, log volume, flow share, log trades."""
-    before = F.lag("close").over(W.partitionBy(key).orderBy("bar_ts"))
+    """Per bar: return on the close before (0 for the first), range and body over the close, log volume, flow share, log trades."""
+    c = F.col("close")
+    before = F.coalesce(F.lag("close").over(W.partitionBy(key).orderBy("bar_ts")), c)
+    over = F.greatest(c, F.lit(1e-6))
     return bars.select(
-        key, "bar_ts",
-        F.coalesce(F.col("close") - before, F.lit(0.0)).alias("ret"),
-        (F.col("high") - F.col("low")).alias("range"),
-        (F.col("close") - F.col("open")).alias("body"),
-        F.log1p("volume").alias("log_volume"),
-        F.when(F.col("volume") > 0, F.col("signed_vol") / F.col("volume")).otherwise(0.0).alias("flow"),
-        F.log1p(F.col("trades").cast("double")).alias("log_trades"),
+        key, "bar_ts", ((c - before) / F.greatest(before, F.lit(1e-6))).alias("ret"), ((F.col("high") - F.col("low")) / over).alias("range"), ((c - F.col("open")) / over).alias("body"),
+        F.log1p("volume").alias("log_volume"), (F.col("signed_vol") / (F.col("volume") + 1e-9)).alias("flow"), F.log1p(F.col("trades").cast("double")).alias("log_trades"),
     )

@@ -139,33 +139,106 @@ def trend_estimators(series: DataFrame, price: str = "close", key: str = "market
     return s.where(F.col("i") >= WINDOW).select(key, "bar_ts", *named)
 
 
-def flow_features(bars: DataFrame, key: str = "market_id") -> DataFrame:
-    """Order-flow features of the window of bars: imbalance of the last bar and the last four, toxicity, pressure, intensity."""
+def _window_of_bars(bars: DataFrame, key: str) -> tuple[DataFrame, object, object, object]:
+    """Bars with the window's close steps, deviations and ranges; the orders of the window, its steps and its last four."""
     w = order(key)
-    frame = w.rowsBetween(-WINDOW, -1)
-    share = F.when(F.col("volume") > 0, F.col("signed_vol") / F.col("volume")).otherwise(0.0)
-    s = bars.withColumn("_s", share)
-    total = F.sum("volume").over(frame)
-    part = lambda c: F.when(total > 0, F.sum(c).over(frame) / total).otherwise(0.0)
-    std = F.stddev_pop("volume").over(frame)
+    frame, steps, four = w.rowsBetween(-WINDOW, -1), w.rowsBetween(-(WINDOW - 1), -1), w.rowsBetween(-4, -1)
+    before = F.lag("close").over(w)
+    ratio = F.when((F.col("high") > F.col("low")) & (F.col("low") > 0), F.pow(F.log(F.col("high") / F.col("low")), 2))
+    s = bars.withColumns({"_d": F.col("close") - before, "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)), "_pk": ratio, "i": F.row_number().over(w) - 1})
+    return s, frame, steps, four
+
+
+def _last_z(c: str, frame, w) -> Column:
+    """The newest value of the window against its mean and population deviation."""
+    x = F.col(c).cast("double")
+    return (F.lag(x).over(w) - F.avg(x).over(frame)) / (F.stddev_pop(x).over(frame) + 1e-9)
+
+
+def flow_features(bars: DataFrame, key: str = "market_id") -> DataFrame:
+    """Twenty features of the window of bars: price, range, and flow by the true aggressor's side; population deviations."""
+    s, frame, steps, four = _window_of_bars(bars, key)
+    w, d = order(key), F.col("_d")
+    total = F.sum("volume").over(frame) + 1e-9
+    both = F.col("buy_vol") + F.col("sell_vol")
+    gains, losses = (F.sum(F.when(x > 0, x).otherwise(0.0)).over(steps) for x in (d, -d))
     s = s.withColumns({
-        "i": F.row_number().over(w) - 1, "ofi_last": F.lag("_s").over(w), "ofi_trend": F.avg("_s").over(w.rowsBetween(-4, -1)), "signed_imbalance": part("signed_vol"),
-        "vpin": F.avg(F.abs("_s")).over(frame), "buy_pressure": part("buy_vol"), "whale_ratio": part("whale_vol"),
-        "vol_z": F.when(std > 1e-9, (F.lag("volume").over(w) - F.avg("volume").over(frame)) / std).otherwise(0.0),
-        "trade_intensity": F.log1p(F.avg(F.col("trades").cast("double")).over(frame)),
+        "last": F.lag("close").over(w), "mean_ret": F.avg(d).over(steps), "vol": F.stddev_pop(d).over(steps), "drift": F.lag("close").over(w) - F.lag("close", WINDOW).over(w),
+        "_m": F.avg("close").over(frame), "_s": F.stddev_pop("close").over(frame), "momentum": F.avg(d).over(four), "_g": gains, "_l": losses, "_atr": F.avg("_tr").over(steps), "_park": F.avg("_pk").over(frame),
+        "signed_imbalance": F.sum("signed_vol").over(frame) / total, "ofi_last": F.lag("signed_vol").over(w) / (F.lag("volume").over(w) + 1e-9), "ofi_trend": F.sum("signed_vol").over(four) / (F.sum("volume").over(four) + 1e-9),
+        "vpin": F.coalesce(F.avg(F.when(both > 1e-9, F.abs(F.col("buy_vol") - F.col("sell_vol")) / both)).over(frame), F.lit(0.0)), "vol_z": _last_z("volume", frame, w), "trade_intensity": _last_z("trades", frame, w),
+        "buy_pressure": F.sum("buy_vol").over(frame) / total, "whale_ratio": F.sum("whale_vol").over(frame) / total, "log_volume": F.log1p(total),
     }).where(F.col("i") >= WINDOW)
-    s = s.withColumn("toxicity", F.abs("ofi_trend") * (1 + F.greatest("vol_z", F.lit(0.0))))
-    return s.select(key, "bar_ts", "ofi_last", "ofi_trend", "signed_imbalance", "vpin", "toxicity", "buy_pressure", "whale_ratio", "vol_z", "trade_intensity")
+    moved = F.col("_g") + F.col("_l")
+    return s.select(
+        key, "bar_ts", "last", "mean_ret", "vol", "drift", F.when(F.col("_s") > 1e-9, (F.col("last") - F.col("_m")) / F.col("_s")).otherwise(0.0).alias("band_z"), "momentum",
+        F.when(moved > 1e-9, (F.col("_g") - F.col("_l")) / moved).otherwise(0.0).alias("rsi"), (F.col("_atr") / F.greatest("last", F.lit(1e-3))).alias("atr"), F.coalesce(F.sqrt(F.col("_park") / (4 * F.log(F.lit(2.0)))), F.lit(0.0)).alias("parkinson_vol"),
+        "signed_imbalance", "ofi_last", "ofi_trend", "vpin", (F.abs("ofi_trend") * (1 + F.greatest("vol_z", F.lit(0.0)))).alias("toxicity"), "trade_intensity", "buy_pressure", "whale_ratio", "vol_z",
+        (F.abs(F.col("last") - 0.5) * 2).alias("extremeness"), "log_volume",
+    )
+
+
+def flow11(bars: DataFrame, key: str = "market_id") -> DataFrame:
+    """Eleven features of signed flow and volume in the window; sample deviations."""
+    s, frame, steps, four = _window_of_bars(bars, key)
+    w, share = order(key), F.when(F.col("volume") > 1e-9, F.abs("signed_vol") / F.col("volume"))
+    total = F.sum("volume").over(frame)
+    ramp = [0.0, *[float(k) for k in range(WINDOW, 0, -1)]]
+    s = s.withColumn("_r", F.coalesce(share, F.lit(0.0))).withColumns({
+        "_v": total, "_f": F.sum("signed_vol").over(frame), "vpin": F.coalesce(F.avg(share).over(frame), F.lit(0.0)), "toxicity": fir("_r", ramp, w) / sum(ramp),
+        "trade_intensity": (F.lag("trades").over(w) - F.avg("trades").over(frame)) / (F.stddev_samp("trades").over(frame) + 1e-9), "_flows": _lags("signed_vol", w), "_vols": _lags("volume", w),
+        "last": F.lag("close").over(w), "mean_ret": F.avg("_d").over(steps), "vol": F.stddev_samp("_d").over(steps), "momentum": F.avg("_d").over(four),
+    }).where(F.col("i") >= WINDOW)
+    s = s.withColumn("_c", F.transform("_flows", lambda x: x - F.col("_f") / WINDOW))
+    num = F.aggregate(F.zip_with(F.slice("_c", 1, WINDOW - 1), F.slice("_c", 2, WINDOW - 1), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    den = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x)
+    top = F.aggregate(F.slice(F.sort_array("_vols", False), 1, max(1, WINDOW // 5)), F.lit(0.0), lambda a, x: a + x)
+    some = F.col("_v") >= 1e-9
+    return s.select(
+        key, "bar_ts", F.when(some, clamp(F.col("_f") / F.col("_v"), -1, 1)).otherwise(0.0).alias("signed_imbalance"), "vpin", "toxicity", "trade_intensity",
+        F.when(den > 1e-12, clamp(num / den, -1, 1)).otherwise(0.0).alias("flow_autocorr"), F.when(some, clamp(top / F.col("_v"), 0, 1)).otherwise(0.0).alias("whale_ratio"),
+        F.when(some, clamp((F.col("_v") + F.col("_f")) / (2 * F.col("_v")), 0, 1)).otherwise(0.5).alias("buy_pressure"), "last", "mean_ret", "vol", "momentum",
+    )
 
 
 def crossmarket(legs: DataFrame, basket: str = "basket_id") -> DataFrame:
-    """Each leg against its siblings; a leg without any is its own basket."""
+    """Each leg against its siblings; a leg without any, or outside a basket that must sum to one, has neutral values."""
     b = W.partitionBy(basket)
-    by_price = W.partitionBy(basket).orderBy(F.desc("price"))
-    n, total = F.count("*").over(b), F.sum("price").over(b)
-    top = F.max("price").over(b)
-    return legs.select(
-        "market_id", basket, "price", total.alias("basket_sum"), (total - 1).alias("residual"), F.when(total > 1e-9, F.col("price") / total).otherwise(0.0).alias("share"),
-        (n - 1).alias("sibling_count"), F.when(n > 1, (F.rank().over(by_price) - 1) / (n - 1)).otherwise(0.0).alias("rank"),
-        (top - F.col("price")).alias("favourite_gap"), F.coalesce(F.stddev_pop("price").over(b), F.lit(0.0)).alias("dispersion"), F.col("neg_risk").cast("int").alias("neg_risk"),
+    by_price = b.orderBy(F.desc("price"), "market_id")
+    d = legs.withColumns({"_n": F.count("*").over(b), "_sum": F.sum("price").over(b), "_r": F.row_number().over(by_price), "_higher": F.rank().over(b.orderBy(F.desc("price"))) - 1, "_std": F.stddev_samp("price").over(b)})
+    first, second = (F.max(F.when(F.col("_r") == k, F.col("price"))).over(b) for k in (1, 2))
+    d = d.withColumns({"_first": first, "_second": second})
+    whole = F.col("neg_risk") & (F.col("_n") >= 2)
+    at = lambda x, other: F.when(whole, x).otherwise(other)
+    best_other = F.when(F.col("_r") == 1, F.col("_second")).otherwise(F.col("_first"))
+    return d.select(
+        "market_id", basket, "price", at(F.col("_sum"), F.col("price")).alias("basket_sum"), at(F.col("_sum") - 1, 0.0).alias("residual"), at(F.when(F.col("_sum") > 1e-12, clamp(F.col("price") / F.col("_sum"), 0, 1)).otherwise(1.0), 1.0).alias("share"),
+        (F.col("_n") - 1).alias("sibling_count"), at(F.col("_higher") / (F.col("_n") - 1), 0.0).alias("rank"), at(F.col("price") - best_other, 0.0).alias("favourite_gap"), at(F.col("_std"), 0.0).alias("dispersion"), F.col("neg_risk").cast("int").alias("neg_risk"),
+    )
+
+
+def snapshots(tape: DataFrame, ends: DataFrame, shares: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8), recent: int = 24, key: str = "market_id") -> DataFrame:
+    """The state of each market at shares of its trades: price, time left and lived, recent moves and flow, maturity.
+
+    `ends` has the created and end time of each market. Everything is a running window over one ordering by market.
+    """
+    w, whole = order(key, ("t", "seq")), W.partitionBy(key)
+    past, late, steps = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(-(recent - 1), 0), w.rowsBetween(-(recent - 2), 0)
+    signed = F.when(F.col("side") == "BUY", F.col("usd")).otherwise(-F.col("usd"))
+    s = tape.withColumn("_d", F.col("price") - F.lag("price").over(w)).withColumns({
+        "i": F.row_number().over(w) - 1, "n": F.count("*").over(whole), "volume": F.sum("usd").over(past), "volume_total": F.sum("usd").over(whole), "_first": F.first("price").over(late),
+        "_std": F.stddev_samp("_d").over(steps), "_f": F.sum(signed).over(late), "_v": F.sum("usd").over(late), "_k": F.count("*").over(late),
+    })
+    at = F.array(*[F.struct(F.lit(x).alias("share"), F.floor(F.col("n") * x).alias("i")) for x in shares])
+    s = s.withColumn("share", F.explode(F.filter(at, lambda x: x["i"] == F.col("i")))).join(ends, key)
+    life = F.col("end") - F.col("created")
+    left = F.when(life > 0, clamp((F.col("end") - F.col("t")) / life, 0, 1)).otherwise(0.0)
+    from ..functions.scalars import logit_scaled, soft_bucket
+
+    half = F.abs(F.col("price") - 0.5)
+    return s.select(
+        key, F.col("share.share").alias("at_share"), "price", half.alias("dist_from_half"), logit_scaled("price").alias("logit_price"), left.alias("time_to_resolution"), F.when(life > 0, clamp((F.col("t") - F.col("created")) / life, 0, 1)).otherwise(1.0).alias("age_fraction"),
+        clamp(F.col("price") - F.col("_first"), -1, 1).alias("momentum"), F.coalesce(clamp("_std", 0, 1), F.lit(0.0)).alias("realized_vol"), F.when(F.col("_v") > 1e-9, clamp(F.col("_f") / F.col("_v"), -1, 1)).otherwise(0.0).alias("flow_imbalance"),
+        F.when(F.col("volume_total") > 1e-9, clamp(F.col("volume") / F.col("volume_total"), 0, 1)).otherwise(0.0).alias("volume_maturity"), clamp((F.col("_k") - 50) / (50 + 1e-9), -5, 5).alias("trade_count_z"),
+        soft_bucket("price").alias("calib_bucket"), (half * left).alias("price_x_time"),
     )

@@ -43,8 +43,8 @@ def _(d):
     return bars.multi_resolution(d.tape, {60: 20, 300: 30, 900: 40})
 
 
-@query("bar_sequence_channels", """select market_id, bar_ts, coalesce(close - lag(close) over (partition by market_id order by bar_ts), 0) as ret, high - low as range,
-  close - open as body, ln(1 + volume) as log_volume, case when volume > 0 then signed_vol / volume else 0 end as flow, ln(1 + trades::double) as log_trades from bars""", "ret range body log_volume flow log_trades")
+@query("bar_sequence_channels", """select market_id, bar_ts, (close - before) / greatest(before, 1e-6) as ret, (high - low) / greatest(close, 1e-6) as range, (close - open) / greatest(close, 1e-6) as body,
+  ln(1 + volume) as log_volume, signed_vol / (volume + 1e-9) as flow, ln(1 + trades::double) as log_trades from (select *, coalesce(lag(close) over (partition by market_id order by bar_ts), close) as before from bars)""", "ret range body log_volume flow log_trades")
 def _(d):
     return bars.channels(d.bars)
 

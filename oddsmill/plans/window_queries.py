@@ -110,17 +110,63 @@ def _(d):
     return windows.trend_estimators(d.bars)
 
 
-@query("feat_flow20", """select market_id, bar_ts, ofi_last, ofi_trend, signed_imbalance, vpin, abs(ofi_trend) * (1 + greatest(vol_z, 0)) as toxicity, buy_pressure, whale_ratio, vol_z, trade_intensity from (
-  select market_id, bar_ts, row_number() over w - 1 as i, lag(s) over w as ofi_last, avg(s) over (partition by market_id order by bar_ts rows between 4 preceding and 1 preceding) as ofi_trend,
-  sum(signed_vol) over f / sum(volume) over f as signed_imbalance, avg(abs(s)) over f as vpin, sum(buy_vol) over f / sum(volume) over f as buy_pressure, sum(whale_vol) over f / sum(volume) over f as whale_ratio,
-  case when stddev_pop(volume) over f > 1e-9 then (lag(volume) over w - avg(volume) over f) / stddev_pop(volume) over f else 0 end as vol_z, ln(1 + avg(trades::double) over f) as trade_intensity
-  from (select *, case when volume > 0 then signed_vol / volume else 0 end as s from bars) window w as (partition by market_id order by bar_ts), f as (partition by market_id order by bar_ts rows between 16 preceding and 1 preceding)) where i >= 16""", "ofi_last ofi_trend signed_imbalance vpin toxicity buy_pressure whale_ratio vol_z trade_intensity")
+_W = "window w as (partition by market_id order by bar_ts), f as (partition by market_id order by bar_ts rows between 16 preceding and 1 preceding), g as (partition by market_id order by bar_ts rows between 15 preceding and 1 preceding), q as (partition by market_id order by bar_ts rows between 4 preceding and 1 preceding)"
+F20 = "last mean_ret vol drift band_z momentum rsi atr parkinson_vol signed_imbalance ofi_last ofi_trend vpin toxicity trade_intensity buy_pressure whale_ratio vol_z extremeness log_volume"
+
+
+@query("feat_flow20", f"""select market_id, bar_ts, last, mean_ret, vol, drift, case when sc > 1e-9 then (last - mc) / sc else 0 end as band_z, momentum, case when ad > 1e-9 then sd / ad else 0 end as rsi,
+  tr / greatest(last, 1e-3) as atr, coalesce(sqrt(pk / (4 * ln(2.0::double))), 0) as parkinson_vol, signed_imbalance, ofi_last, ofi_trend, vpin, abs(ofi_trend) * (1 + greatest(vol_z, 0)) as toxicity, trade_intensity, buy_pressure, whale_ratio, vol_z,
+  abs(last - 0.5) * 2 as extremeness, log_volume from (
+  select market_id, bar_ts, row_number() over w - 1 as i, lag(close) over w as last, avg(d) over g as mean_ret, stddev_pop(d) over g as vol, lag(close) over w - lag(close, 16) over w as drift, avg(close) over f as mc, stddev_pop(close) over f as sc,
+  avg(d) over q as momentum, sum(d) over g as sd, sum(abs(d)) over g as ad, avg(tr) over g as tr, avg(pk) over f as pk, sum(signed_vol) over f / (sum(volume) over f + 1e-9) as signed_imbalance, lag(signed_vol) over w / (lag(volume) over w + 1e-9) as ofi_last,
+  sum(signed_vol) over q / (sum(volume) over q + 1e-9) as ofi_trend, coalesce(avg(case when buy_vol + sell_vol > 1e-9 then abs(buy_vol - sell_vol) / (buy_vol + sell_vol) end) over f, 0) as vpin,
+  (lag(volume) over w - avg(volume) over f) / (stddev_pop(volume) over f + 1e-9) as vol_z, (lag(trades) over w - avg(trades) over f) / (stddev_pop(trades) over f + 1e-9) as trade_intensity, sum(buy_vol) over f / (sum(volume) over f + 1e-9) as buy_pressure,
+  sum(whale_vol) over f / (sum(volume) over f + 1e-9) as whale_ratio, ln(1 + sum(volume) over f + 1e-9) as log_volume from (select *, greatest(high - low, abs(high - lag(close) over v), abs(low - lag(close) over v)) as tr,
+  case when high > low and low > 0 then ln(high / low) ** 2 end as pk from steps window v as (partition by market_id order by bar_ts)) {_W}) where i >= 16""", F20)
 def _(d):
     return windows.flow_features(d.bars)
 
 
-@query("feat_crossmarket8", """select market_id, basket_id, last as price, sum(last) over b as basket_sum, sum(last) over b - 1 as residual, last / sum(last) over b as share, count(*) over b - 1 as sibling_count,
-  case when count(*) over b > 1 then (rank() over (partition by basket_id order by last desc) - 1) / (count(*) over b - 1) else 0 end as rank, max(last) over b - last as favourite_gap,
-  coalesce(stddev_pop(last) over b, 0) as dispersion, neg_risk::int as neg_risk from market window b as (partition by basket_id)""", "price basket_sum residual share rank favourite_gap dispersion")
+F11 = "signed_imbalance vpin toxicity trade_intensity flow_autocorr whale_ratio buy_pressure last mean_ret vol momentum"
+_flow11 = f"""select market_id, bar_ts, greatest(-1, least(1, fl / v)) as signed_imbalance, vpin, toxicity, trade_intensity,
+  (select case when sum(c * c) > 1e-12 then greatest(-1, least(1, sum(c * c0) / sum(c * c))) else 0 end from (select x - m as c, lag(x - m) over (order by k) as c0 from (select unnest(flows) as x, unnest(range(16)) as k, list_aggregate(flows, 'avg') as m))) as flow_autocorr,
+  list_sum(list_reverse_sort(vols)[1:3]) / v as whale_ratio, (v + fl) / (2 * v) as buy_pressure, last, mean_ret, vol, momentum from (
+  select market_id, bar_ts, row_number() over w - 1 as i, sum(signed_vol) over f as fl, sum(volume) over f as v, avg(case when volume > 1e-9 then abs(signed_vol) / volume end) over f as vpin, {_dot([float(k) for k in range(16, 0, -1)], "r")} / 136 as toxicity,
+  (lag(trades) over w - avg(trades) over f) / (stddev_samp(trades) over f + 1e-9) as trade_intensity, list(signed_vol) over f as flows, list(volume) over f as vols, lag(close) over w as last, avg(d) over g as mean_ret, stddev_samp(d) over g as vol, avg(d) over q as momentum
+  from (select *, case when volume > 1e-9 then abs(signed_vol) / volume else 0 end as r from steps) {_W}) where i >= 16"""
+
+
+@query("feat_flow11", _flow11, F11)
+def _(d):
+    return windows.flow11(d.bars)
+
+
+@query("whale_ratio", f"select market_id, bar_ts, whale_ratio from ({_flow11})", "whale_ratio")
+def _(d):
+    return windows.flow11(d.bars).select("market_id", "bar_ts", "whale_ratio")
+
+
+@query("feat_crossmarket8", """with r as (select market_id, basket_id, last as price, neg_risk, count(*) over b as n, sum(last) over b as s, stddev_samp(last) over b as sd,
+  (select max(o.last) from market o where o.basket_id = m.basket_id and o.market_id <> m.market_id) as other, (select count(*) from market o where o.basket_id = m.basket_id and o.last > m.last) as higher from market m window b as (partition by basket_id))
+select market_id, basket_id, price, case when w then s else price end as basket_sum, case when w then s - 1 else 0 end as residual, case when w then price / s else 1 end as share, n - 1 as sibling_count, case when w then higher / (n - 1) else 0 end as rank,
+  case when w then price - other else 0 end as favourite_gap, case when w then sd else 0 end as dispersion, neg_risk::int as neg_risk from (select *, neg_risk and n >= 2 as w from r)""", "price basket_sum residual share rank favourite_gap dispersion")
 def _(d):
     return windows.crossmarket(d.market.withColumnRenamed("last", "price"))
+
+
+R12 = "at_share price dist_from_half logit_price time_to_resolution age_fraction momentum realized_vol flow_imbalance volume_maturity trade_count_z calib_bucket price_x_time"
+
+
+@query("feat_resolve12", """with s as (select *, row_number() over w - 1 as i, count(*) over (partition by market_id) as n, sum(usd) over (partition by market_id order by t, seq rows unbounded preceding) as vol, sum(usd) over (partition by market_id) as total,
+  first_value(price) over l as p0, stddev_samp(d) over (partition by market_id order by t, seq rows between 22 preceding and current row) as sd, sum(case when side = 'BUY' then usd else -usd end) over l as fl, sum(usd) over l as v, count(*) over l as k
+  from (select *, price - lag(price) over (partition by market_id order by t, seq) as d from tape) window w as (partition by market_id order by t, seq), l as (partition by market_id order by t, seq rows between 23 preceding and current row)),
+x as (select s.*, f as at_share, "end", created, greatest(1e-4, least(0.9999, price)) as q from s join market using (market_id), (values (0.2::double), (0.4), (0.6), (0.8)) v(f) where i = floor(n * f))
+select market_id, at_share, price, abs(price - 0.5) as dist_from_half, greatest(-1, least(1, ln(q / (1 - q)) / 9.2)) as logit_price, ("end" - t) / ("end" - created) as time_to_resolution, (t - created) / ("end" - created) as age_fraction, price - p0 as momentum,
+  coalesce(least(1, sd), 0) as realized_vol, fl / v as flow_imbalance, vol / total as volume_maturity, (k - 50) / (50 + 1e-9) as trade_count_z, 0.5 * (least(floor(price * 10), 9) + 0.5) / 10 + 0.5 * price as calib_bucket, abs(price - 0.5) * ("end" - t) / ("end" - created) as price_x_time from x""", R12)
+def _(d):
+    return windows.snapshots(d.tape, d.market.select("market_id", "created", "end"))
+
+
+@query("snap_fractions_simple", "select market_id, f as at_share, price from (select *, row_number() over (partition by market_id order by t, seq) - 1 as i, count(*) over (partition by market_id) as n from tape), (values (0.2::double), (0.4), (0.6), (0.8)) v(f) where i = floor(n * f)", "at_share price")
+def _(d):
+    return windows.snapshots(d.tape, d.market.select("market_id", "created", "end")).select("market_id", "at_share", "price")

@@ -157,3 +157,32 @@ def test_decimation_keeps_both_ends(spark):
     got = sorted(r.seq for r in boards.decimate(s, 11).collect())
     assert got == list(range(0, 101, 10))
     assert boards.decimate(s, 500).count() == 101
+
+
+def test_fuzzy_order(spark):
+    from oddsmill.operators import models
+
+    d = spark.createDataFrame([("art",), ("the art of it",), ("a long rest at night",), ("smart",), ("xyz",), (None,)], "name string")
+    got = [r.name for r in models.fuzzy_top(d, "name", "art").collect()]
+    assert got[0] == "art" and "xyz" not in got and set(got) == {"art", "the art of it", "a long rest at night", "smart"}
+
+
+def test_bootstrap_covers_the_mean(spark):
+    from oddsmill.operators import models
+
+    d = spark.createDataFrame([(k, float(k % 10)) for k in range(500)], "seq long, x double")
+    r = models.bootstrap_mean(d, "x", "seq").first()
+    assert r.low < 4.5 < r.high and r.high - r.low < 1.2
+
+
+def test_temperature_is_found(spark):
+    from oddsmill.operators import models
+
+    rng = random.Random(6)
+    import math
+
+    rows = []
+    for _ in range(4000):
+        z = rng.gauss(0, 2)
+        rows.append((1 / (1 + math.exp(-2 * z)), float(rng.random() < 1 / (1 + math.exp(-z)))))
+    assert models.fit_temperature(spark.createDataFrame(rows, "prob double, outcome double")) == pytest.approx(2, abs=0.3)

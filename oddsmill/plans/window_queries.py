@@ -114,7 +114,7 @@ _W = "window w as (partition by market_id order by bar_ts), f as (partition by m
 F20 = "last mean_ret vol drift band_z momentum rsi atr parkinson_vol signed_imbalance ofi_last ofi_trend vpin toxicity trade_intensity buy_pressure whale_ratio vol_z extremeness log_volume"
 
 
-@query("feat_flow20", f"""select market_id, bar_ts, last, mean_ret, vol, drift, case when sc > 1e-9 then (last - mc) / sc else 0 end as band_z, momentum, case when ad > 1e-9 then sd / ad else 0 end as rsi,
+VIEWS["flow20"] = f"""select market_id, bar_ts, last, mean_ret, vol, drift, case when sc > 1e-9 then (last - mc) / sc else 0 end as band_z, momentum, case when ad > 1e-9 then sd / ad else 0 end as rsi,
   tr / greatest(last, 1e-3) as atr, coalesce(sqrt(pk / (4 * ln(2.0::double))), 0) as parkinson_vol, signed_imbalance, ofi_last, ofi_trend, vpin, abs(ofi_trend) * (1 + greatest(vol_z, 0)) as toxicity, trade_intensity, buy_pressure, whale_ratio, vol_z,
   abs(last - 0.5) * 2 as extremeness, log_volume from (
   select market_id, bar_ts, row_number() over w - 1 as i, lag(close) over w as last, avg(d) over g as mean_ret, stddev_pop(d) over g as vol, lag(close) over w - lag(close, 16) over w as drift, avg(close) over f as mc, stddev_pop(close) over f as sc,
@@ -122,7 +122,10 @@ F20 = "last mean_ret vol drift band_z momentum rsi atr parkinson_vol signed_imba
   sum(signed_vol) over q / (sum(volume) over q + 1e-9) as ofi_trend, coalesce(avg(case when buy_vol + sell_vol > 1e-9 then abs(buy_vol - sell_vol) / (buy_vol + sell_vol) end) over f, 0) as vpin,
   (lag(volume) over w - avg(volume) over f) / (stddev_pop(volume) over f + 1e-9) as vol_z, (lag(trades) over w - avg(trades) over f) / (stddev_pop(trades) over f + 1e-9) as trade_intensity, sum(buy_vol) over f / (sum(volume) over f + 1e-9) as buy_pressure,
   sum(whale_vol) over f / (sum(volume) over f + 1e-9) as whale_ratio, ln(1 + sum(volume) over f + 1e-9) as log_volume from (select *, greatest(high - low, abs(high - lag(close) over v), abs(low - lag(close) over v)) as tr,
-  case when high > low and low > 0 then ln(high / low) ** 2 end as pk from steps window v as (partition by market_id order by bar_ts)) {_W}) where i >= 16""", F20)
+  case when high > low and low > 0 then ln(high / low) ** 2 end as pk from steps window v as (partition by market_id order by bar_ts)) {_W}) where i >= 16"""
+
+
+@query("feat_flow20", "select * from flow20", F20)
 def _(d):
     return windows.flow_features(d.bars)
 

@@ -242,3 +242,46 @@ def snapshots(tape: DataFrame, ends: DataFrame, shares: tuple[float, ...] = (0.2
         F.when(F.col("volume_total") > 1e-9, clamp(F.col("volume") / F.col("volume_total"), 0, 1)).otherwise(0.0).alias("volume_maturity"), clamp((F.col("_k") - 50) / (50 + 1e-9), -5, 5).alias("trade_count_z"),
         soft_bucket("price").alias("calib_bucket"), (half * left).alias("price_x_time"),
     )
+
+
+def candle_features(bars: DataFrame, key: str = "market_id") -> DataFrame:
+    """Of the window of bars: typical-price CCI, newest volume and trades against their mean (sample deviation), flow by
+    the candle's own direction, and where bars closed in their ranges."""
+    w = order(key)
+    frame = w.rowsBetween(-WINDOW, -1)
+    body, span = F.col("close") - F.col("open"), F.col("high") - F.col("low")
+    s = bars.withColumns({"_tp": (F.col("high") + F.col("low") + F.col("close")) / 3, "_sv": F.signum(body) * F.col("volume"), "_pr": F.when(span > 1e-9, body / span).otherwise(0.0)})
+    z = lambda c: (F.lag(c).over(w) - F.avg(c).over(frame)) / (F.stddev_samp(c).over(frame) + 1e-9)
+    s = s.withColumns({
+        "i": F.row_number().over(w) - 1, "_tps": _lags("_tp", w), "_m": F.avg("_tp").over(frame), "vol_z": z("volume"), "trade_intensity": z("trades"), "signed_flow": F.sum("_sv").over(frame) / (F.sum("volume").over(frame) + 1e-9), "intrabar_pressure": F.avg("_pr").over(frame),
+    }).where(F.col("i") >= WINDOW)
+    mad = _mean(F.transform("_tps", lambda x: F.abs(x - F.col("_m"))))
+    return s.select(key, "bar_ts", F.when(mad >= 1e-9, clamp((F.get("_tps", WINDOW - 1) - F.col("_m")) / (0.015 * mad) / 100, -5, 5)).otherwise(0.0).alias("cci_tp"), "vol_z", "trade_intensity", "signed_flow", "intrabar_pressure")
+
+
+def ohlcv20(bars: DataFrame, platform: int = 0, key: str = "market_id") -> DataFrame:
+    """Twenty features of candles: the price window's, the ranges', and the candles' own, side by side."""
+    p = price13(bars, key=key).select(key, "bar_ts", "label", "last", "mean_ret", "vol", "drift", "band_z", "momentum", "autocorr", "rsi", "macd_hist", (F.abs(F.col("last") - 0.5) * 2).alias("extremeness"))
+    return p.join(range_features(bars, key), [key, "bar_ts"]).join(candle_features(bars, key), [key, "bar_ts"]).withColumn("platform", F.lit(float(platform)))
+
+
+def snapshots12(tape: DataFrame, ends: DataFrame, shares: tuple[float, ...] = (0.15, 0.35, 0.55, 0.75, 0.9), recent: int = 24, key: str = "market_id") -> DataFrame:
+    """Twelve features after the first k trades, k the whole part of each share of a market's trades, from two on.
+
+    tape has yes_price and yes_flow (normalize.yes_view); `ends` the created and end times.
+    """
+    w, whole = order(key, ("t", "seq")), W.partitionBy(key)
+    past, late, steps = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(-(recent - 1), 0), w.rowsBetween(-(recent - 2), 0)
+    s = tape.withColumn("_d", F.col("yes_price") - F.lag("yes_price").over(w)).withColumns({
+        "k": F.row_number().over(w), "n": F.count("*").over(whole), "_uv": F.sum("usd").over(past), "_all": F.sum("usd").over(whole), "_f": F.sum("yes_flow").over(past), "_rf": F.sum("yes_flow").over(late), "_ru": F.sum("usd").over(late),
+        "_first": F.first("yes_price").over(late), "vol": F.coalesce(F.stddev_samp("_d").over(steps), F.lit(0.0)),
+    })
+    wanted = F.array_distinct(F.array(*[F.floor(F.col("n") * x) for x in shares]))
+    s = s.where((F.col("k") >= 2) & F.array_contains(wanted, F.col("k").cast("long"))).join(ends, key)
+    span = F.greatest(F.col("end") - F.col("created"), F.lit(1.0))
+    signed = F.col("yes_price") - 0.5
+    maturity = clamp(F.col("_uv") / (F.col("_all") + 1e-9), 0, 1)
+    return s.select(
+        key, "k", F.col("yes_price").alias("price"), signed.alias("signed_dist"), F.abs(signed).alias("dist"), (1 - clamp((F.col("t") - F.col("created")) / span, 0, 1)).alias("time_rem"), F.log1p(F.greatest(F.col("end") - F.col("t"), F.lit(0.0)) / 3600).alias("log_hours"),
+        (F.col("yes_price") - F.col("_first")).alias("momentum"), "vol", (F.col("_rf") / (F.col("_ru") + 1e-9)).alias("flow_recent"), (F.col("_f") / (F.col("_uv") + 1e-9)).alias("flow_cum"), maturity.alias("maturity"), F.log1p(F.col("k").cast("double")).alias("log_trades"), (signed * maturity).alias("signed_maturity"),
+    )

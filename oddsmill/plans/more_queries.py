@@ -10,7 +10,7 @@ from ..operators import ensemble, evaluate, models, windows
 from .evaluation_queries import _stats
 from .model_queries import FEATURES, _rows
 from .registry import VIEWS, query
-from .window_queries import P13, _dot
+from .window_queries import P13, _dot, _range
 
 
 @query("snap_path7", """with s as (select *, row_number() over w - 1 as i, count(*) over (partition by market_id) as n, sum(volume) over (partition by market_id order by bar_ts rows unbounded preceding) / sum(volume) over (partition by market_id) as volume_maturity,
@@ -153,3 +153,33 @@ def _(d):
     return models.fit_isotonic(cut.where("train"))(cut.where("not train")).select("seq", "prob", "calibrated")
 
 
+
+
+O20 = "last mean_ret vol drift band_z momentum autocorr rsi macd_hist extremeness atr parkinson_vol williams_r stoch_k cci_tp vol_z trade_intensity signed_flow intrabar_pressure platform"
+VIEWS["candles"] = """select market_id, bar_ts, vol_z, trade_intensity, signed_flow, intrabar_pressure,
+  (select case when avg(abs(x - m)) >= 1e-9 then greatest(-5, least(5, (tps[16] - any_value(m)) / (0.015 * avg(abs(x - m))) / 100)) else 0 end from (select unnest(tps) as x, list_aggregate(tps, 'avg') as m)) as cci_tp from (
+  select market_id, bar_ts, row_number() over w - 1 as i, list((high + low + close) / 3) over f as tps, (lag(volume) over w - avg(volume) over f) / (stddev_samp(volume) over f + 1e-9) as vol_z, (lag(trades) over w - avg(trades) over f) / (stddev_samp(trades) over f + 1e-9) as trade_intensity,
+  sum(sign(close - open) * volume) over f / (sum(volume) over f + 1e-9) as signed_flow, avg(case when high - low > 1e-9 then (close - open) / (high - low) else 0 end) over f as intrabar_pressure
+  from bars window w as (partition by market_id order by bar_ts), f as (partition by market_id order by bar_ts rows between 16 preceding and 1 preceding)) where i >= 16"""
+
+
+@query("feat_ohlcv20", f"""select market_id, bar_ts, label, f.last, mean_ret, vol, drift, band_z, momentum, autocorr, rsi, macd_hist, abs(f.last - 0.5) * 2 as extremeness, r.tr / greatest(r.last, 1e-3) as atr, coalesce(sqrt(park / (4 * ln(2.0::double))), 0) as parkinson_vol,
+  case when hi - lo >= 1e-9 then (r.last - hi) / (hi - lo) else -0.5 end as williams_r, case when hi - lo >= 1e-9 then (r.last - lo) / (hi - lo) else 0.5 end as stoch_k, cci_tp, vol_z, trade_intensity, signed_flow, intrabar_pressure, 0.0::double as platform
+  from (select * exclude (stoch_k, i, n) from feats) f join ({_range}) r using (market_id, bar_ts) join candles using (market_id, bar_ts)""", O20)
+def _(d):
+    return windows.ohlcv20(d.bars)
+
+
+R27 = "price signed_dist dist time_rem log_hours momentum vol flow_recent flow_cum maturity log_trades signed_maturity"
+
+
+@query("snap_fractions12", """with y as (select *, case when outcome_index = 0 then price else 1 - price end as yp, case when (side = 'BUY') = (outcome_index = 0) then usd else -usd end as sg from tape),
+s as (select *, row_number() over w as k, count(*) over (partition by market_id) as n, sum(usd) over w as uv, sum(usd) over (partition by market_id) as total, sum(sg) over w as f, sum(sg) over l as rf, sum(usd) over l as ru, first_value(yp) over l as y0,
+  coalesce(stddev_samp(d) over (partition by market_id order by t, seq rows between 22 preceding and current row), 0) as vol from (select *, yp - lag(yp) over (partition by market_id order by t, seq) as d from y)
+  window w as (partition by market_id order by t, seq rows unbounded preceding), l as (partition by market_id order by t, seq rows between 23 preceding and current row))
+select market_id, k, yp as price, yp - 0.5 as signed_dist, abs(yp - 0.5) as dist, 1 - (t - created) / greatest("end" - created, 1) as time_rem, ln(1 + ("end" - t) / 3600) as log_hours, yp - y0 as momentum, vol, rf / (ru + 1e-9) as flow_recent, f / (uv + 1e-9) as flow_cum, uv / (total + 1e-9) as maturity, ln(1 + k::double) as log_trades,
+  (yp - 0.5) * (uv / (total + 1e-9)) as signed_maturity from s join market using (market_id) where k >= 2 and k in (floor(n * 0.15::double), floor(n * 0.35::double), floor(n * 0.55::double), floor(n * 0.75::double), floor(n * 0.9::double))""", R27)
+def _(d):
+    from ..operators import normalize
+
+    return windows.snapshots12(normalize.yes_view(d.tape), d.market.select("market_id", "created", "end"))

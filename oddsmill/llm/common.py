@@ -60,6 +60,11 @@ class Scratch:
         return out
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is shuffled at every size and never broadcast by its file's size."""
+    return df.hint("merge")
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

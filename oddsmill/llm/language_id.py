@@ -18,7 +18,7 @@ ALPHA = 0.1
 #: The model is one number for each piece of the vocabulary and language; more languages are refused.
 MAX_LANGS = 1024
 #: Distinct words that a task remembers.
-MEMO = 300_000
+MEMO = 200_000
 EDGE = "▁"
 
 
@@ -163,10 +163,10 @@ def _predict(model, least: float | None = None):
 
         for batch in batches:
             langs, scores, texts = [], [], [words_of(t.as_py() or "") for t in batch.column(1)]
-            for k in range(0, len(texts), 256):  # words of many texts are scored together
-                if m.langs and sum(map(len, texts[k : k + 256])) <= MEMO:
-                    logs([w for t in texts[k : k + 256] for w in t])
-                for words in texts[k : k + 256]:
+            for k in range(0, len(texts), 64):  # words of many texts are scored together
+                if m.langs and sum(map(len, texts[k : k + 64])) <= MEMO:
+                    logs([w for t in texts[k : k + 64] for w in t])
+                for words in texts[k : k + 64]:
                     if not words or not m.langs:
                         langs.append("und")
                         scores.append(0.0)

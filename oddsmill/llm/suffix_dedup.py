@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, growing
 from .induced_sort import suffix_array
 from .shingles import mix
 
@@ -209,13 +209,13 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, id_col: str
     blocks = spark.table(name)
     owned = scratch.save(blocks.mapInArrow(_owned, OWNED), "owned")
     again = owned.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    owned = scratch.save(owned.join(again, "anchor"), "again")
+    owned = scratch.save(owned.join(growing(again), "anchor"), "again")
     scratch.drop("owned")
     key = ["anchor", "c1", "c2"]
     first = F.min(F.struct("block", "doc", "lo", "hi")).alias("at")
     stretches = scratch.save(owned.groupBy(*key).agg(F.count("*").alias("n"), first), "stretches")
     several = stretches.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    wanted = stretches.join(several, "anchor").select(*key, "at.*")
+    wanted = stretches.join(growing(several), "anchor").select(*key, "at.*")
     data = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_fetch, "anchor long, c1 long, c2 long, data binary")
     data = scratch.save(data, "data")
     total = data.agg(F.sum(F.length("data"))).first()[0] or 0
@@ -224,7 +224,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, id_col: str
     pairs = F.expr("transform(sequence(0, size(runs) - 2, 2), i -> struct(runs[i] as a, runs[i + 1] as b))")
     settled = stretches.where("n > 1").select(*key, F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
     settled = settled.unionByName(found.select(*key, pairs.alias("runs")).join(stretches.where("n > 1").select(*key), key, "left_anti"))
-    hit = owned.join(settled, key)
+    hit = owned.join(growing(settled), key)
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo") + 1).cast("int").alias("b")))
     hit = hit.select("block", "doc", "lo", F.explode(F.coalesce("runs", whole)).alias("r"))
     hit = hit.select("block", "doc", (F.col("lo") + F.col("r.a")).alias("start"), (F.col("lo") + F.col("r.b")).alias("stop"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsmill.llm import language_id, minhash_forest, mixing, packing, suffix_dedup
+from oddsmill.llm.common import growing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     docs = docs.select(*COLUMNS)
     found = minhash_forest.near_duplicates(docs)
     kept = found.where("doc_id is not null and kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return docs.join(growing(kept), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     mixed = mixing.mix(docs).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies")).where("_copies > 0")
     mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_copies")
-    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    taken = docs.join(growing(mixed), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*COLUMNS)
 
 

@@ -209,8 +209,9 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, id_col: str
     blocks = spark.table(name)
     owned = scratch.save(blocks.mapInArrow(_owned, OWNED), "owned")
     again = owned.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = scratch.save(again, "anchors")  # a join of two shuffles, which AQE can split where an anchor is very common
     owned = scratch.save(owned.join(growing(again), "anchor"), "again")
-    scratch.drop("owned")
+    scratch.drop("owned", "anchors")
     key = ["anchor", "c1", "c2"]
     first = F.min(F.struct("block", "doc", "lo", "hi")).alias("at")
     stretches = scratch.save(owned.groupBy(*key).agg(F.count("*").alias("n"), first), "stretches")

@@ -285,3 +285,19 @@ def snapshots12(tape: DataFrame, ends: DataFrame, shares: tuple[float, ...] = (0
         key, "k", F.col("yes_price").alias("price"), signed.alias("signed_dist"), F.abs(signed).alias("dist"), (1 - clamp((F.col("t") - F.col("created")) / span, 0, 1)).alias("time_rem"), F.log1p(F.greatest(F.col("end") - F.col("t"), F.lit(0.0)) / 3600).alias("log_hours"),
         (F.col("yes_price") - F.col("_first")).alias("momentum"), "vol", (F.col("_rf") / (F.col("_ru") + 1e-9)).alias("flow_recent"), (F.col("_f") / (F.col("_uv") + 1e-9)).alias("flow_cum"), maturity.alias("maturity"), F.log1p(F.col("k").cast("double")).alias("log_trades"), (signed * maturity).alias("signed_maturity"),
     )
+
+
+def big22(bars: DataFrame, key: str = "market_id") -> DataFrame:
+    """Twenty-two features of the window of bars with true ranges and the aggressor's flow; population deviations."""
+    w = order(key)
+    frame = w.rowsBetween(-WINDOW, -1)
+    log_range = F.pow(F.log(F.greatest(F.col("high") / F.greatest("low", F.lit(1e-6)), F.lit(1e-9))), 2)
+    s = bars.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3).withColumn("_lr", log_range)
+    s = s.withColumns({"i": F.row_number().over(w) - 1, "_tps": _lags("_tp", w), "_m": F.avg("_tp").over(frame), "_hi": F.max("high").over(frame), "_lo": F.min("low").over(frame), "_pk": F.avg("_lr").over(frame), "_v": F.avg("volume").over(frame), "_n": F.avg("trades").over(frame), "_close": F.lag("close").over(w)}).where(F.col("i") >= WINDOW)
+    mad, span = _mean(F.transform("_tps", lambda x: F.abs(x - F.col("_m")))), F.col("_hi") - F.col("_lo")
+    extra = s.select(
+        key, "bar_ts", F.when(mad > 1e-9, clamp((F.get("_tps", WINDOW - 1) - F.col("_m")) / (0.015 * mad) / 100, -5, 5)).otherwise(0.0).alias("cci"), F.when(span > 1e-9, (F.col("_close") - F.col("_lo")) / span).otherwise(0.5).alias("stoch_k"),
+        F.when(span > 1e-9, (F.col("_close") - F.col("_hi")) / span).otherwise(-0.5).alias("williams_r"), F.sqrt(F.col("_pk") / (4 * F.log(F.lit(2.0)))).alias("parkinson_vol"), F.log1p(F.col("_v") / (F.col("_n") + 1e-9)).alias("log_avg_trade"), F.log1p(F.col("_n") * WINDOW).alias("log_trades"), F.lit(float(WINDOW)).alias("win_len"),
+    )
+    f = flow_features(bars, key).select(key, "bar_ts", "last", "mean_ret", "vol", "drift", "band_z", "momentum", "rsi", "atr", F.col("signed_imbalance").alias("ofi_window"), "ofi_last", "ofi_trend", "vol_z", "trade_intensity", "extremeness", "log_volume")
+    return f.join(extra, [key, "bar_ts"])

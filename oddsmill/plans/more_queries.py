@@ -183,3 +183,15 @@ def _(d):
     from ..operators import normalize
 
     return windows.snapshots12(normalize.yes_view(d.tape), d.market.select("market_id", "created", "end"))
+
+
+B22 = "last mean_ret vol drift band_z momentum rsi atr ofi_window ofi_last ofi_trend vol_z trade_intensity extremeness log_volume cci stoch_k williams_r parkinson_vol log_avg_trade log_trades win_len"
+
+
+@query("feat_big22", """select market_id, bar_ts, f.* exclude (market_id, bar_ts, signed_imbalance, vpin, toxicity, buy_pressure, whale_ratio, parkinson_vol), f.signed_imbalance as ofi_window,
+  (select case when avg(abs(x - m)) > 1e-9 then greatest(-5, least(5, (tps[16] - any_value(m)) / (0.015 * avg(abs(x - m))) / 100)) else 0 end from (select unnest(tps) as x, list_aggregate(tps, 'avg') as m)) as cci,
+  case when hi - lo > 1e-9 then (f.last - lo) / (hi - lo) else 0.5 end as stoch_k, case when hi - lo > 1e-9 then (f.last - hi) / (hi - lo) else -0.5 end as williams_r, sqrt(pk / (4 * ln(2.0::double))) as parkinson_vol, ln(1 + v / (n + 1e-9)) as log_avg_trade, ln(1 + n * 16) as log_trades, 16.0::double as win_len
+  from flow20 f join (select market_id, bar_ts, list((high + low + close) / 3) over w as tps, max(high) over w as hi, min(low) over w as lo, avg(ln(greatest(high / greatest(low, 1e-6), 1e-9)) ** 2) over w as pk, avg(volume) over w as v, avg(trades) over w as n
+    from bars window w as (partition by market_id order by bar_ts rows between 16 preceding and 1 preceding)) x using (market_id, bar_ts)""", B22)
+def _(d):
+    return windows.big22(d.bars)

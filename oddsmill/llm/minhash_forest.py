@@ -14,6 +14,9 @@ from .shingles import Shingler, signature
 TREES, DEPTH, BASE = 20, 8, 4
 #: Texts of a region that are compared with each other by signature; larger regions are cut at the next depth.
 REGION = 48
+#: Texts of a block: what is still apart in a larger region is compared block by block. Parts of over a quarter of it have
+#: blocks of their own.
+BLOCK = 512
 #: Similarities estimated from TREES * DEPTH hashes: pairs this far below the threshold aren't looked at, and pairs this
 #: far above it are chained, not paired. The estimate's deviation is under 0.035.
 BELOW, ABOVE = 0.15, 0.06
@@ -131,8 +134,134 @@ def _near(least: float, chained: float, again: bool):
     return run
 
 
-def _regions(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(region, node) with two to about REGION nodes each, and (leader, node) pairs of every region that was too large."""
+def _apart(size: int, percent: int, confirm: bool):
+    """Rows (cell, block, node, part, s, text) in order of cell: pairs of different parts, between the cell's two blocks
+    or within its only one, whose signatures agree enough.
+
+    To begin with, (cell, node) of the texts in such pairs. With `confirm`, the pairs (a, b) whose full sets are near
+    enough, likeliest first, but those of parts that the cell has linked by then.
+    """
+    least = percent / 100 - BELOW
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        shingle = Shingler(size)
+        names = ["a", "b"] if confirm else ["cell", "node"]
+        held: list[tuple] = []
+
+        def common(sets, left, right):
+            """Sizes of all intersections, by products of 0-1 matrices over the shingles of more than one text."""
+            _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row, shared = np.repeat(np.arange(len(sets)), list(map(len, sets))), count > 1
+            row, column = row[shared[place]], (np.cumsum(shared) - 1)[place[shared[place]]]
+            order = np.argsort(column, kind="stable")
+            row, column, out = row[order], column[order], np.zeros((len(left), len(right)), np.int64)
+            for k in range(0, int(shared.sum()), 2048):
+                lo, hi = np.searchsorted(column, [k, k + 2048])
+                x = np.zeros((len(sets), 2048), np.float32)
+                x[row[lo:hi], column[lo:hi] - k] = 1
+                out += (x[left] @ x[right].T).astype(np.int64)
+            return out
+
+        def found():
+            of = np.array([h[1] for h in held])
+            parts = np.array([h[3] for h in held])
+            signs = np.frombuffer(b"".join(h[4] for h in held), np.uint8).reshape(len(held), -1)
+            left = np.flatnonzero(of == of[0])
+            right = np.flatnonzero(of != of[0])
+            alone = not len(right)
+            right = left if alone else right
+            some: list = [[], [], []]
+            for i in left:
+                like = (signs[right] == signs[i]).mean(1)
+                near = np.flatnonzero((like >= least) & (parts[right] != parts[i]) & (not alone or right > i))
+                for column, values in zip(some, (np.full(len(near), i), right[near], like[near])):
+                    column.append(values)
+            a, b, like = map(np.concatenate, some)
+            if not confirm:
+                return [(held[0][0], held[k][2]) for k in np.unique(np.concatenate([a, b]))]
+            root, out = np.unique(parts, return_inverse=True)[1], []
+            i, j = np.searchsorted(left, a), np.searchsorted(right, b)
+            sets = [shingle(h[5]) for h in held]
+            n, both = np.array(list(map(len, sets))), common(sets, left, right)[i, j]
+            sure = np.flatnonzero(100 * both >= percent * (n[a] + n[b] - both))
+            for k in sure[np.argsort(-like[sure], kind="stable")]:
+                if root[a[k]] != root[b[k]]:
+                    root[root == root[b[k]]] = root[a[k]]
+                    out.append((held[a[k]][2], held[b[k]][2]))
+            return out
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([int(r[k]) for r in rows], pa.int64()) for k in (0, 1)], names=names)
+
+        for batch in batches:
+            rows = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][0] != row[0]:
+                    rows += found()
+                    held = []
+                held.append(row)
+            yield batch_of(rows)
+        if held:
+            yield batch_of(found())
+
+    return run
+
+
+def _across(large: DataFrame, parts: DataFrame, short: DataFrame, rows: DataFrame, size: int, percent: int, whole: bool, scratch: Scratch) -> tuple[DataFrame | None, int]:
+    """Confirmed links (a, b) between the parts of regions over REGION, and their number.
+
+    A region's texts lie in blocks of about BLOCK: those of a large part in blocks of their own, all others by their
+    part. Cells are pairs of blocks but those of one part; unless `whole`, only a block with itself and with the
+    region's first. Texts are only read where signatures agree.
+    """
+    tag = f"across-{int(whole)}"
+    labelled = large.join(growing(parts), "node", "left").select("region", "node", F.coalesce("component", "node").alias("part"))
+    labelled = scratch.save(labelled, f"{tag}-parts")
+    sizes = scratch.save(labelled.groupBy("region", "part").agg(F.count("*").alias("n")), f"{tag}-sizes")
+    small = F.col("n") <= BLOCK // 4
+    split = sizes.groupBy("region").agg(F.count("*").alias("k"), F.sum(F.when(small, F.col("n"))).alias("m")).where("k > 1").drop("k")
+    split, n_split, _ = scratch.save_counted(split, f"{tag}-split")
+    made = [f"{tag}-parts", f"{tag}-sizes", f"{tag}-split"]
+    if not n_split:
+        scratch.drop(*made)
+        return None, 0
+    sizes = scratch.save(sizes.join(growing(split), "region"), f"{tag}-dealt")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK)
+    block = F.when(small, F.xxhash64("region", F.pmod(F.xxhash64(F.lit(3), "part"), blocks("m")))).otherwise(F.xxhash64("region", F.lit(1), "part", F.pmod(F.xxhash64(F.lit(5), "node"), blocks("n"))))
+    dealt = labelled.join(growing(sizes), ["region", "part"]).select("region", "node", "part", block.alias("block"), F.when(~small, F.col("part")).alias("owner"))
+    dealt = scratch.save(dealt.join(growing(short), "node"), f"{tag}-blocks")
+    each = scratch.save(dealt.groupBy("region", "block").agg(F.first("owner").alias("owner")), f"{tag}-each")
+    other = each.select("region", F.col("block").alias("b"), F.col("owner").alias("o"))
+    if not whole:
+        other = other.groupBy("region").agg(F.min(F.struct("b", "o")).alias("x")).select("region", "x.*")
+    # a block's own rows are a cell where they may be of different parts
+    pairs = each.join(growing(other), "region").where(F.when(F.lit(whole), F.col("block") < F.col("b")).otherwise(F.col("block") != F.col("b")) & ~F.coalesce(F.col("owner") == F.col("o"), F.lit(False)))
+    pairs = pairs.select("block", "b").unionByName(each.where("owner is null").select("block", F.col("block").alias("b")))
+    cells = pairs.select(F.xxhash64("block", "b").alias("cell"), F.explode(F.array_distinct(F.array("block", "b"))).alias("block"))
+    cells = scratch.save(cells, f"{tag}-cells")
+    placed = dealt.join(growing(cells), "block").select("cell", "block", "node", "part", "s")
+    in_cells = lambda d: d.repartition("cell").sortWithinPartitions("cell", "block", "node")
+    near = in_cells(placed).mapInArrow(_apart(size, percent, False), "cell long, node long")
+    near, n_near, _ = scratch.save_counted(near, f"{tag}-near")
+    made += [f"{tag}-{x}" for x in ("dealt", "blocks", "each", "cells", "near")]
+    links, n_links = None, 0
+    if n_near:
+        wanted = near.select(F.col("node").alias("doc_id")).distinct()
+        texts = rows.join(growing(wanted), "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text")
+        texts = scratch.save(texts, f"{tag}-texts")
+        held = placed.join(growing(near), ["cell", "node"]).join(growing(texts), "node").select("cell", "block", "node", "part", "s", "text")
+        links, n_links, _ = scratch.save_counted(in_cells(held).mapInArrow(_apart(size, percent, True), "a long, b long").distinct(), f"{tag}-links")
+        made.append(f"{tag}-texts")
+    scratch.drop(*made)
+    return links, n_links
+
+
+def _regions(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(region, node) with two to about REGION nodes each, (leader, node) pairs of every region that was too large, and
+    (region, node) of those that were at BASE, which hold all deeper ones."""
     step = 4  # bytes of a hash
     at = lambda depth: F.xxhash64(F.lit(depth), F.col("tree"), F.substring("order", 1, depth * step))
     level = reps.select("node", F.posexplode(F.array(*[F.substring("sign", 1 + t * DEPTH * step, DEPTH * step) for t in range(TREES)])).alias("tree", "order"))
@@ -144,6 +273,8 @@ def _regions(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         made.append(f"level-{depth}")
         small.append(level.where(F.col("n") <= REGION).select("region", "node"))
         level = level.where(F.col("n") > REGION)
+        if depth == BASE:
+            large = level.select("region", "node")
         stars.append(level.where("node <> leader").select("leader", "node"))
         if depth == DEPTH:  # texts alike in a whole order: dealt by hash, and all held against the leader
             # a power of two of shares by one hash, so that texts share a deal in every order or in few
@@ -156,7 +287,7 @@ def _regions(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         regions = regions.unionByName(s)
     for s in stars[1:]:
         star = star.unionByName(s)
-    return regions, star
+    return regions, star, large
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,10 +298,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     gets its n_shingles, a null component, and is kept. Rows of one id are one document.
 
     Documents with equal sets are one node. In each of TREES sorted signature orders, neighbours with a common
-    prefix of BASE hashes make a region; a region of more than REGION nodes is held against its leader (its least
-    node, so that the orders agree on it and a large group gives a few pairs a text) and cut at the next depth. Within regions, pairs are chosen by their whole signatures, confirmed on the full sets, and
-    what is still apart afterwards is paired once more. No region, bucket or candidate list is capped. Two texts
-    at a threshold of 0.85 share no prefix with probability (1 - 0.85^4)^20, under 1e-6; at 0.8, under 3e-5.
+    prefix of BASE hashes make a region; a region of more than REGION nodes is held against its leader (its
+    least node, so that the orders agree on it and a large group gives a few pairs a text) and cut at the next
+    depth. Within regions, pairs are chosen by their whole signatures, confirmed on the full sets, and what is still apart
+    afterwards is paired once more. Last, what is still apart in a region that was too large at BASE is compared in
+    pairs of blocks, so every two texts that share a prefix of BASE hashes are compared or linked; no region, bucket
+    or candidate list is capped. What is missed: two texts at a similarity of 0.85 share no prefix with probability
+    (1 - 0.85^4)^20, under 1e-6; at 0.8, under 3e-5; at 0.7, 0.4 %; at 0.5, 28 %. A pair is also missed where its
+    estimate is BELOW under the threshold, 4 deviations off or more.
     """
     scratch, least = Scratch(docs.sparkSession, "minhash"), percent / 100
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -178,7 +313,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     some = signed.where("doc_id is not null and digest is not null")
     reps = some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sign").alias("sign"))
     reps = scratch.save(reps, "reps")
-    regions, stars = _regions(reps.select("node", "sign"), scratch)
+    regions, stars, large = _regions(reps.select("node", "sign"), scratch)
+    large = scratch.save(large, "large")
     short = reps.select("node", "sign").mapInArrow(_shorten, "node long, s binary")
     regions = scratch.save(regions.join(growing(short), "node"), "regions")
     by_region = lambda d: d.repartition("region").sortWithinPartitions("region", "node")
@@ -197,9 +333,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     if n_more:
         more_links, n_links, _ = scratch.save_counted(_confirm(more, texts, size, percent), "more-links")
         if n_links:
-            parts = scratch.save(components(links.unionByName(more_links), scratch), "all-parts")
+            links = links.unionByName(more_links)
+            parts = scratch.save(components(links, scratch), "all-parts")
+    for whole in (False, True):  # first a few cells, which link what is dense
+        far_links, n_far = _across(large, parts, short, rows, size, percent, whole, scratch)
+        if n_far:
+            links = links.unionByName(far_links)
+            parts = scratch.save(components(links, scratch), f"parts-{int(whole)}")
     parts = parts.withColumnRenamed("component", "part")
     out = signed.select("doc_id", "n_shingles", "digest").join(growing(reps.select("digest", "node")), "digest", "left").join(growing(parts), "node", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("part", "node", "doc_id").alias("c"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("c"))
-    return scratch.finish(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept")), "signed", "texts", "regions", "reps", "asked")
+    return scratch.finish(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept")), "signed", "texts", "regions", "reps", "asked", "large")

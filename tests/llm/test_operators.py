@@ -238,6 +238,23 @@ def test_minhash_forest_large_group(spark):
     assert all(got[k] == 0 for k in range(300)) and all(got[1000 + k] == 1000 + k for k in range(20))
 
 
+def test_minhash_forest_family_far_from_its_leaders(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(200):  # least ids of all regions, at a similarity of 0.7 to the family and less to each other
+        at = set(rng.sample(range(2, 196), 11))
+        rows.append((k, " ".join(f"l{k}x{j}" if j in at else w for j, w in enumerate(base))))
+    rows += [(1000 + k, " ".join([*base[:-1], f"m{k}"])) for k in range(150)]
+    rows += [(2000 + k, f"n{k} " + " ".join(base[1:])) for k in range(3)]
+    got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    sets = {k: shingle_set(text, 3) for k, text in rows}
+    ids = list(sets)
+    part = parts_of(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if 100 * len(sets[ids[a]] & sets[ids[b]]) >= 85 * len(sets[ids[a]] | sets[ids[b]])])
+    assert got == {x: ids[part[k]] for k, x in enumerate(ids)}
+    assert len({got[1000 + k] for k in range(150)}) == 1
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for n, letters in ((1, 3), (2, 2), (50, 1), (200, 2), (2000, 3), (3000, 1), (4000, 256)):

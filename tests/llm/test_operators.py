@@ -388,6 +388,16 @@ def test_passages(docs, empty):
     assert passage_chains.shared_passages(empty).count() == 0
 
 
+def test_passages_around_bad_stretches(spark):
+    rng = random.Random(11)
+    say = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    one, two, three, phrase = say(50), say(50), say(60), say(20)
+    rows = [(1, say(20) + one + say(60) + two + say(20)), (2, say(20) + one + say(60) + two + say(20))]
+    rows += [(3, three + say(60) + phrase + say(30)), (4, three + say(60) + phrase + say(30))]
+    got = passage_chains.shared_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r.other_doc_id, r.start, r.stop, r.other_start, r.other_stop) for r in got) == [(2, 1, 20, 70, 20, 70), (2, 1, 130, 180, 130, 180), (4, 3, 0, 60, 0, 60)]
+
+
 def test_shapes_match_the_contract(spark):
     from oddsmill.llm import queries
 

@@ -19,7 +19,7 @@ ROLLING_FILLS, IMPACT_UNIT, EPS = 5, 1e-3, 1e-9
 
 def _share_squared(rows: DataFrame, keys: list[str], member: str, name: str) -> DataFrame:
     m = rows.groupBy(*keys, member).agg(F.sum("usd").alias("w"))
-    return m.groupBy(*keys).agg(clamp(F.sum(F.col("w") * F.col("w")) / F.pow(F.sum("w"), 2), 0, 1).alias(name))
+    return m.groupBy(*keys).agg(clamp(F.try_divide(F.sum(F.col("w") * F.col("w")), F.pow(F.sum("w"), 2)), 0, 1).alias(name))
 
 
 def micro14(fills: DataFrame, seconds: int = 21600, key: str = "market_id", impact_unit: float = IMPACT_UNIT) -> DataFrame:
@@ -29,7 +29,7 @@ def micro14(fills: DataFrame, seconds: int = 21600, key: str = "market_id", impa
     """
     f = fills.withColumn("bar_ts", (F.floor(F.col("t") / seconds) * seconds).cast("long"))
     w = order(key)
-    bars = f.groupBy(key, "bar_ts").agg((F.sum(F.col("price") * F.col("usd")) / F.sum("usd")).alias("close"), F.count("*").cast("double").alias("fills"))
+    bars = f.groupBy(key, "bar_ts").agg(F.try_divide(F.sum(F.col("price") * F.col("usd")), F.sum("usd")).alias("close"), F.count("*").cast("double").alias("fills"))
     bars = bars.withColumns({"b": F.row_number().over(w) - 1, "_d": F.col("close") - F.lag("close").over(w)})
     frame, steps = w.rowsBetween(-WINDOW, -1), w.rowsBetween(-(WINDOW - 1), -1)
     anchors = bars.withColumns({
@@ -40,15 +40,15 @@ def micro14(fills: DataFrame, seconds: int = 21600, key: str = "market_id", impa
     o = W.partitionBy(key, "i").orderBy("t", "seq")
     mid = F.avg("price").over(o.rowsBetween(-ROLLING_FILLS, -1))
     d = dealt.withColumns({
-        "gap": F.when(mid > EPS, F.abs(F.col("price") - mid) / mid), "back": F.col("direction") * (F.col("price") - F.lead("price").over(o)) / F.col("price"), "dp": F.col("price") - F.lag("price").over(o),
+        "gap": F.when(mid > EPS, F.abs(F.col("price") - mid) / mid), "back": F.try_divide(F.col("direction") * (F.col("price") - F.lead("price").over(o)), "price"), "dp": F.col("price") - F.lag("price").over(o),
         "r": F.row_number().over(W.partitionBy(key, "i").orderBy(F.desc("usd"), "seq")), "n": F.count("*").over(W.partitionBy(key, "i")),
     })
     signed = F.when(F.col("dp").isNotNull(), F.col("direction") * F.col("usd") / impact_unit)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     g = d.groupBy(key, "i").agg(
-        zero(F.avg("gap")).alias("effective_spread"), zero(F.avg("back")).alias("realized_spread"), F.log1p(F.avg("usd")).alias("fill_size_mean"), zero(F.stddev_samp("usd") / F.avg("usd")).alias("fill_size_cv"),
-        (F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") / 10)), F.col("usd"))) / F.sum("usd")).alias("large_fill_ratio"),
-        F.when(F.var_pop(signed) * F.count(signed) < EPS, 0.0).otherwise(zero(F.regr_slope("dp", signed))).alias("price_impact"), (F.sum("fee") / F.sum("usd")).alias("fee_intensity"),
+        zero(F.avg("gap")).alias("effective_spread"), zero(F.avg("back")).alias("realized_spread"), F.log1p(F.avg("usd")).alias("fill_size_mean"), zero(F.try_divide(F.stddev_samp("usd"), F.avg("usd"))).alias("fill_size_cv"),
+        F.try_divide(F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") / 10)), F.col("usd"))), F.sum("usd")).alias("large_fill_ratio"),
+        F.when(F.var_pop(signed) * F.count(signed) < EPS, 0.0).otherwise(zero(F.regr_slope("dp", signed))).alias("price_impact"), F.try_divide(F.sum("fee"), F.sum("usd")).alias("fee_intensity"),
     )
     for member in ("maker", "taker"):
         g = g.join(_share_squared(dealt, [key, "i"], member, f"{member}_hhi"), [key, "i"])

@@ -27,7 +27,12 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", l2:
     train = _vector(rows.where("part = 'train'"), features)
     scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
     model = LogisticRegression(featuresCol="features", labelCol=label, regParam=l2, maxIter=50).fit(scale.transform(train))
-    return lambda df: model.transform(scale.transform(_vector(df, features))).withColumn("prob", _probability(df)).drop("raw", "features", "rawPrediction", "probability", "prediction")
+    mean, std = scale.mean.toArray().tolist(), scale.std.toArray().tolist()
+    weights = [(f, float(w) / s if s > 0 else 0.0, m) for f, w, m, s in zip(features, model.coefficients.toArray(), mean, std)]
+    odds = F.lit(float(model.intercept))
+    for f, w, m in weights:
+        odds = odds + w * (F.col(f) - m)
+    return lambda df: df.where(" and ".join(f"{f} is not null and not isnan({f})" for f in features)).withColumn("prob", logistic(odds))
 
 
 def fit_gbdt(rows: DataFrame, features: list[str], label: str = "label", rounds: int = 10, depth: int = 3):

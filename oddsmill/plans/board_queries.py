@@ -11,13 +11,13 @@ from .registry import VIEWS, query
 #: Raw forms of the driver's rows, as a feed would send them.
 VIEWS["raw_fills"] = """select seq, t as timestamp, 'm' || (seq % 6) as maker, wallet as taker,
   case when side = 'BUY' then 'tok' || market_id else '0' end as maker_asset_id, case when side = 'BUY' then '0' else 'tok' || market_id end as taker_asset_id,
-  case when side = 'BUY' then round(usd / price * 1e6)::bigint else round(usd * 1e6)::bigint end as maker_amount,
-  case when side = 'BUY' then round(usd * 1e6)::bigint else round(usd / price * 1e6)::bigint end as taker_amount, round(usd * 1e3)::bigint as fee from tape"""
+  case when side = 'BUY' then round(usd / nullif(price, 0) * 1e6)::bigint else round(usd * 1e6)::bigint end as maker_amount,
+  case when side = 'BUY' then round(usd * 1e6)::bigint else round(usd / nullif(price, 0) * 1e6)::bigint end as taker_amount, round(usd * 1e3)::bigint as fee from tape"""
 
 
 def raw_fills(d):
     buy, usd = F.col("side") == "BUY", F.round(F.col("usd") * 1e6).cast("long").cast("string")
-    tokens, token = F.round(F.col("usd") / F.col("price") * 1e6).cast("long").cast("string"), F.concat(F.lit("tok"), "market_id")
+    tokens, token = F.round(F.try_divide("usd", "price") * 1e6).cast("long").cast("string"), F.concat(F.lit("tok"), "market_id")
     return d.tape.select(
         F.col("t").alias("timestamp"), F.concat(F.lit("m"), F.col("seq") % 6).alias("maker"), F.col("wallet").alias("taker"),
         F.when(buy, token).otherwise("0").alias("maker_asset_id"), F.when(buy, "0").otherwise(token).alias("taker_asset_id"),

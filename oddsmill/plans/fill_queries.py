@@ -16,17 +16,17 @@ def fill_rows(d):
     return d.tape.select("market_id", "t", "seq", "price", "usd", F.when(F.col("side") == "BUY", 1).otherwise(-1).alias("direction"), (F.col("usd") * 0.001).alias("fee"), F.concat(F.lit("m"), F.col("seq") % 6).alias("maker"), F.col("wallet").alias("taker"))
 
 
-VIEWS["vw"] = """select *, row_number() over w - 1 as b, close - lag(close) over w as d from (select market_id, (floor(t / 21600) * 21600)::bigint as bar_ts, sum(price * usd) / sum(usd) as close, count(*)::double as fills from tape group by 1, 2) window w as (partition by market_id order by bar_ts)"""
+VIEWS["vw"] = """select *, row_number() over w - 1 as b, close - lag(close) over w as d from (select market_id, (floor(t / 21600) * 21600)::bigint as bar_ts, sum(price * usd) / nullif(sum(usd), 0) as close, count(*)::double as fills from tape group by 1, 2) window w as (partition by market_id order by bar_ts)"""
 VIEWS["vwa"] = """select * from (select *, (lag(fills) over w - avg(fills) over f) / (stddev_samp(fills) over f + 1e-9) as fill_rate, lag(close) over w as last, avg(d) over g as mean_ret, stddev_samp(d) over g as vol, avg(d) over q as momentum from vw
   window w as (partition by market_id order by bar_ts), f as (partition by market_id order by bar_ts rows between 16 preceding and 1 preceding), g as (partition by market_id order by bar_ts rows between 15 preceding and 1 preceding), q as (partition by market_id order by bar_ts rows between 4 preceding and 1 preceding)) where b >= 16"""
 VIEWS["dealt"] = """select a.market_id, a.b as i, a.bar_ts, t.t, t.seq, t.price, t.usd, case when side = 'BUY' then 1 else -1 end as direction, usd * 0.001 as fee, 'm' || (seq % 6) as maker, wallet as taker
   from tape t join vw v on v.market_id = t.market_id and v.bar_ts = (floor(t.t / 21600) * 21600)::bigint join vwa a on a.market_id = v.market_id and v.b between a.b - 16 and a.b - 1"""
 VIEWS["micro"] = """with x as (select *, avg(price) over (partition by market_id, i order by t, seq rows between 5 preceding and 1 preceding) as mid, lead(price) over o as nx, price - lag(price) over o as dp, row_number() over (partition by market_id, i order by usd desc, seq) as r, count(*) over (partition by market_id, i) as n
   from dealt window o as (partition by market_id, i order by t, seq)),
-g as (select market_id, i, coalesce(avg(abs(price - mid) / mid), 0) as effective_spread, coalesce(avg(direction * (price - nx) / price), 0) as realized_spread, ln(1 + avg(usd)) as fill_size_mean, coalesce(stddev_samp(usd) / avg(usd), 0) as fill_size_cv,
-  sum(usd) filter (where r <= greatest(1, n // 10)) / sum(usd) as large_fill_ratio, coalesce(regr_slope(dp, direction * usd / 0.001), 0) as price_impact, sum(fee) / sum(usd) as fee_intensity from x group by 1, 2),
-m as (select market_id, i, sum(w * w) / sum(w) ** 2 as maker_hhi from (select market_id, i, maker, sum(usd) as w from dealt group by 1, 2, 3) group by 1, 2),
-k as (select market_id, i, sum(w * w) / sum(w) ** 2 as taker_hhi from (select market_id, i, taker, sum(usd) as w from dealt group by 1, 2, 3) group by 1, 2)
+g as (select market_id, i, coalesce(avg(case when mid > 1e-9 then abs(price - mid) / mid end), 0) as effective_spread, coalesce(avg(direction * (price - nx) / nullif(price, 0)), 0) as realized_spread, ln(1 + avg(usd)) as fill_size_mean, coalesce(stddev_samp(usd) / nullif(avg(usd), 0), 0) as fill_size_cv,
+  sum(usd) filter (where r <= greatest(1, n // 10)) / nullif(sum(usd), 0) as large_fill_ratio, coalesce(regr_slope(dp, direction * usd / 0.001), 0) as price_impact, sum(fee) / nullif(sum(usd), 0) as fee_intensity from x group by 1, 2),
+m as (select market_id, i, sum(w * w) / nullif(sum(w) ** 2, 0) as maker_hhi from (select market_id, i, maker, sum(usd) as w from dealt group by 1, 2, 3) group by 1, 2),
+k as (select market_id, i, sum(w * w) / nullif(sum(w) ** 2, 0) as taker_hhi from (select market_id, i, taker, sum(usd) as w from dealt group by 1, 2, 3) group by 1, 2)
 select g.* exclude (i), maker_hhi, taker_hhi, bar_ts, fill_rate, last, mean_ret, vol, momentum from g join m using (market_id, i) join k using (market_id, i) join vwa a on a.market_id = g.market_id and a.b = g.i"""
 M14 = "effective_spread realized_spread fill_size_mean fill_size_cv large_fill_ratio price_impact fee_intensity maker_hhi taker_hhi fill_rate last mean_ret vol momentum"
 

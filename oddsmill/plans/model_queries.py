@@ -19,8 +19,11 @@ for _name, _fit in (("fit_logistic", models.fit_logistic), ("fit_gbdt", models.f
 
     @query(_name)
     def _(d, fit=_fit):
-        rows = _rows(d).where("part is not null").persist()
-        scored = fit(rows, FEATURES)(rows.where("part = 'val'"))
+        found = _rows(d).where("part is not null")
+        rows = found.persist()
+        model = fit(rows, FEATURES)
+        rows.unpersist()
+        scored = model(found.where("part = 'val'"))
         return evaluate.losses(scored, "prob", "label").crossJoin(evaluate.auc(scored, "prob", "label"))
 
 

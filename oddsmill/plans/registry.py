@@ -18,7 +18,7 @@ VIEWS: dict[str, str] = {
         value * 100 as usd, case when event_type in ('purchase', 'signup', 'click') then 'BUY' else 'SELL' end as side,
         case when event_type in ('signup', 'error') then 1 else 0 end as outcome_index, 'w' || (props ->> '$.k') as wallet,
         case when event_id % 5 < 2 then 'maker' else 'taker' end as role,
-        case when event_type in ('purchase', 'signup', 'click') then 1 else -1 end * (value * 100) / (value / (value + 50)) as token_amount from events""",
+        case when event_type in ('purchase', 'signup', 'click') then 1 else -1 end * (value * 100) / nullif(value / (value + 50), 0) as token_amount from events""",
     "market": """select market_id, basket_id, last, volume24h, volume1w, volume, created, 100 * (last - coalesce(before, last)) as chg24h,
         newest + 86400 as "end", case when last > 0.5 then '[''1'', ''0'']' else '[''0'', ''1'']' end as outcome_prices,
         true as accepting, basket_id % 4 <> 3 as neg_risk from (
@@ -28,7 +28,7 @@ VIEWS: dict[str, str] = {
         from tape, (select max(t) as now from tape) group by all)""",
     "quote": """select * exclude (q), q * (1 + (basket_id % 7 - 3) * 0.01) - 0.001 * (1 + market_id % 4) as best_bid,
         q * (1 + (basket_id % 7 - 3) * 0.01) + 0.001 * (1 + market_id % 4) as best_ask, volume as liquidity
-        from (select *, last / sum(last) over (partition by basket_id) as q from market)""",
+        from (select *, last / nullif(sum(last) over (partition by basket_id), 0) as q from market)""",
     "book": """select token, side, price, sum(l_quantity) as size from (select l_suppkey as token,
         case when l_linestatus = 'O' then 'bid' else 'ask' end as side, l_quantity,
         round(case when l_linestatus = 'O' then 0.2::double + 0.1::double * (l_suppkey % 7) - 0.005::double - l_discount * 0.5
@@ -39,7 +39,7 @@ VIEWS: dict[str, str] = {
         sum(case when side = 'BUY' then 0 else usd end) as sell_vol, sum(case when usd >= 1000 then usd else 0 end) as whale_vol
         from tape group by 1, 2""",
     "preds": """select seq, market_id, t, price, avg(price) over w as resolve,
-        0.5 + 0.4 * (sum(case when side = 'BUY' then usd else -usd end) over w) / (sum(usd) over w) as flow,
+        0.5 + 0.4 * (sum(case when side = 'BUY' then usd else -usd end) over w) / nullif(sum(usd) over w, 0) as flow,
         case when seq % 10 <> 0 then (seq * 7919 % 1000) / 1000 end as smart
         from tape window w as (partition by market_id order by t, seq rows between 15 preceding and current row)""",
     "preds_long": """select seq, market_id, t, price, model, prob from (
@@ -49,7 +49,7 @@ VIEWS: dict[str, str] = {
     "records": """select seq, market_id, t as ts, resolve as prob, price as market_price, case when later > price then 1.0 else 0.0 end::double as outcome,
         later - price as fwd, smart, flow
         from (select *, lead(price, 4) over (partition by market_id order by t, seq) as later from preds) where later is not null""",
-    "positions": """select wallet, market_id, sum(token_amount) as size, sum(usd) / sum(abs(token_amount)) as avg, any_value(last) as cur
+    "positions": """select wallet, market_id, sum(token_amount) as size, sum(usd) / nullif(sum(abs(token_amount)), 0) as avg, any_value(last) as cur
         from tape join market using (market_id) group by 1, 2""",
     "alerts": "select market_id, avg(price) as target, case when market_id % 2 = 0 then 'gte' else 'lte' end as op from tape group by 1",
 }

@@ -40,7 +40,7 @@ class Domain:
             F.concat(F.lit("w"), "k").alias("wallet"),
             F.when(F.col("event_id") % 5 < 2, "maker").otherwise("taker").alias("role"),
         )
-        return e.withColumn("token_amount", F.when(F.col("side") == "BUY", 1).otherwise(-1) * F.col("usd") / F.col("price"))
+        return e.withColumn("token_amount", F.try_divide(F.when(F.col("side") == "BUY", 1).otherwise(-1) * F.col("usd"), "price"))
 
     @cached_property
     def now(self) -> float:
@@ -72,7 +72,7 @@ class Domain:
 
     @cached_property
     def quote(self) -> DataFrame:
-        m = self.market.withColumn("q", F.col("last") / F.sum("last").over(W.partitionBy("basket_id")))
+        m = self.market.withColumn("q", F.try_divide("last", F.sum("last").over(W.partitionBy("basket_id"))))
         k, h = 1 + (F.col("basket_id") % 7 - 3) * 0.01, 0.001 * (1 + F.col("market_id") % 4)
         return m.withColumns({"best_bid": F.col("q") * k - h, "best_ask": F.col("q") * k + h, "liquidity": F.col("volume")}).drop("q")
 
@@ -99,7 +99,7 @@ class Domain:
         return self.tape.select(
             "seq", "market_id", "t", "price",
             F.avg("price").over(w).alias("resolve"),
-            (0.5 + 0.4 * signed / F.sum("usd").over(w)).alias("flow"),
+            (0.5 + F.try_divide(0.4 * signed, F.sum("usd").over(w))).alias("flow"),
             F.when(F.col("seq") % 10 != 0, (F.col("seq") * 7919 % 1000) / 1000).alias("smart"),
         )
 
@@ -117,7 +117,7 @@ class Domain:
     @cached_property
     def positions(self) -> DataFrame:
         last = self.market.select("market_id", F.col("last").alias("cur"))
-        p = self.tape.groupBy("wallet", "market_id").agg(F.sum("token_amount").alias("size"), (F.sum("usd") / F.sum(F.abs("token_amount"))).alias("avg"))
+        p = self.tape.groupBy("wallet", "market_id").agg(F.sum("token_amount").alias("size"), F.try_divide(F.sum("usd"), F.sum(F.abs("token_amount"))).alias("avg"))
         return p.join(last, "market_id")
 
     @cached_property

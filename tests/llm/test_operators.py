@@ -152,6 +152,35 @@ def test_packing_is_near_the_least_number(spark):
     assert got["sequence_id"].nunique() <= 1.01 * (got["length"].sum() / 2048) + 1
 
 
+def test_patterns_are_rounded_as_a_whole_and_dealt_whole():
+    assert packing.rounded([0.4, 0.4, 0.4, 2.0]) == [1, 0, 0, 2] and packing.rounded([]) == []
+    for n in (0, 1, 7, 40):
+        assert sum(packing.share(n, 3, g, 6) for g in range(6)) == n
+
+
+def test_patterns_never_cost_sequences():
+    rng = np.random.default_rng(4)
+    for lengths in (rng.integers(1, 2049, 3000), rng.choice([500, 700, 848, 1200], 3000), np.full(50, 2048)):
+        order = np.argsort(-lengths, kind="stable")
+        histogram = dict(zip(*map(np.ndarray.tolist, np.unique(lengths, return_counts=True))))
+        fitted = packing.fit_patterns(histogram, 2048)
+        patterns = list(zip([p for p, _ in fitted], packing.rounded([x for _, x in fitted])))
+        alone = packing._laid(lengths, order, [], 2048)[2]
+        seq, at, n = min((packing._laid(lengths, order, patterns, 2048), packing._laid(lengths, order, [], 2048)), key=lambda x: x[2])
+        assert n <= alone and (np.bincount(seq, lengths) <= 2048).all() and n >= -(-lengths.sum() // 2048)
+
+
+def test_ids_equal_the_library_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path("byte_bpe_50k.json")
+    t, ids = Tokenizer.from_file(path), packing.TokenIds(path)
+    rng = random.Random(9)
+    letters = "ab Z'sll\n\t  .,9²ª\u00a0éßŁ\u0000\x85\u200bé漢🙂ά<|>"
+    for text in ["", "<|endoftext|> x", "a" * 5000, " " * 3000, *("".join(rng.choices(letters, k=60)) for _ in range(2000))]:
+        assert ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_nnls():
     a = np.array([[1.0, 0, 1], [0, 1, 1]])
     x = packing.nnls(a, np.array([3.0, -1.0]), 20)
@@ -194,6 +223,63 @@ def test_forward_sums_all_segmentations(spark):
     assert model.score(["hello"])[0, 0] == pytest.approx(np.log(total(word)))
 
 
+def pieces_of(model):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model.path)
+    return {sp.id_to_piece(k): k for k in range(sp.vocab_size())}
+
+
+def segmentations(word, ids):
+    """All segmentations of a word as lists of piece ids; a letter outside the vocabulary is its bytes' pieces."""
+    if not word:
+        return [[]]
+    out = [[ids[word[:n]], *rest] for n in range(1, len(word) + 1) if word[:n] in ids for rest in segmentations(word[n:], ids)]
+    if word[0] not in ids:
+        out += [[ids[f"<0x{b:02X}>"] for b in word[0].encode()] + rest for rest in segmentations(word[1:], ids)]
+    return out
+
+
+def test_language_scores_and_expected_pieces_equal_brute_force():
+    rng = np.random.default_rng(3)
+    model = language_id.Model(["a", "b"], rng.integers(0, 50, (32000, 2)).astype(float), language_id.vocabulary_path("piece_bpe_32k.model")).open()
+    ids, words, n = pieces_of(model), ["hello", "an", "ሰላም", "aሰb", "strasse"], np.array([3.0, 1, 2, 5, 1])
+    want, counts = [], np.zeros(32000)
+    for word, k in zip(words, n):
+        each = segmentations("▁" + word, ids)
+        p = np.array([[model.p[s, lang].prod() for s in each] for lang in (0, 1)])
+        want.append(np.log(p.sum(1)))
+        for s, share in zip(each, p[1] / p[1].sum()):
+            np.add.at(counts, s, k * share)
+    assert np.allclose(model.score(words), want)
+    assert np.allclose(model.expected("b", words, n), counts)
+    x = np.array(want)[[0, 2, 2]].sum(0)  # a text's posterior
+    assert 1 / (1 + np.exp(-abs(x[0] - x[1]))) == pytest.approx(1 / np.exp(x - x.max()).sum())
+
+
+def test_language_scores_of_long_words_and_large_counts():
+    path = language_id.vocabulary_path("piece_bpe_32k.model")
+    large = language_id.Model(["a", "b"], np.full((32000, 2), 1e9), path).open()
+    got = large.score(["ሰላምሰላምሰላምሰላምሰላምሰላምሰላምሰላም", "x" * 40, "ab" * 5000])
+    assert np.isfinite(got).all() and (got[:, 0] == got[:, 1]).all()
+    word = "thequickbrownfoxandthelazydogsaidhello" + "st"
+    small = language_id.Model(["a"], np.ones((32000, 1)), path).open()
+    ids, forward = pieces_of(small), [1.0] + [0.0] * 41
+    text = "▁" + word
+    for end in range(1, 42):
+        forward[end] = sum(forward[s] * small.p[ids[text[s:end]], 0] for s in range(end) if text[s:end] in ids)
+    assert small.score([word])[0, 0] == pytest.approx(np.log(forward[-1]))
+
+
+def test_language_passes_raise_the_likelihood(spark):
+    texts = ["the cat sat on the mat ", "then that other thing ", "catapult matter qxzjk qxzjkw "]
+    rows = [(k, t * 20_000, "x") for k, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words = [w for t in texts for w in language_id.words_of(t)]
+    fits = [language_id.train(table, passes=k).open().score(words).sum() for k in (0, 1, 2)]
+    assert fits[0] < fits[1] <= fits[2] + 1e-6
+
+
 def shingle_set(text, n):
     w = low(text)
     return frozenset(zip(*[w[k:] for k in range(n)])) if len(w) >= n else frozenset([tuple(w)] if w else [])

@@ -276,8 +276,10 @@ def test_language_passes_raise_the_likelihood(spark):
     rows = [(k, t * 20_000, "x") for k, t in enumerate(texts)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     words = [w for t in texts for w in language_id.words_of(t)]
-    fits = [language_id.train(table, passes=k).open().score(words).sum() for k in (0, 1, 2)]
-    assert fits[0] < fits[1] <= fits[2] + 1e-6
+    models = [language_id.train(table, passes=k).open() for k in (0, 1, 2)]
+    # counts with ALPHA added are the maximum of this
+    fits = [20_000 * m.score(words).sum() + language_id.ALPHA * np.log(m.p).sum() for m in models]
+    assert fits[0] < fits[1] < fits[2]
 
 
 def shingle_set(text, n):

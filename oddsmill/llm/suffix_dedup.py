@@ -13,8 +13,8 @@ from .common import Scratch, growing
 from .induced_sort import suffix_array
 from .shingles import mix
 
-#: Bytes of the strings that are removed, and of the anchors that bring equal strings together.
-LENGTH, ANCHOR = 400, 64
+#: Bytes of the strings that are removed, where the caller doesn't say.
+LENGTH = 400
 #: Text of a block of documents, and of a shard of suffixes.
 BLOCK_BYTES, SHARD_BYTES = 12_000_000, 2_000_000
 #: Starts of one stretch of a text; a place in it fits the low bits of a sampled hash.
@@ -57,6 +57,16 @@ def _open(data) -> list[tuple]:
     return pickle.loads(pa.input_stream(pa.BufferReader(data), compression="zstd").read())
 
 
+def two_to(most: int) -> int:
+    """The largest power of two that isn't larger."""
+    return 1 << most.bit_length() - 1
+
+
+def anchor_bytes(length: int) -> int:
+    """Bytes of the anchors that bring equal strings of this length together."""
+    return two_to(max(1, length // 6))
+
+
 def _rolling(text, width: int):
     """A 64-bit polynomial hash of each run of `width` bytes, a power of two, by doubling."""
     import numpy as np
@@ -68,17 +78,18 @@ def _rolling(text, width: int):
     return h
 
 
-def _anchors(text):
-    """The anchor of each string of LENGTH bytes (the run of ANCHOR bytes in it with the least hash, the first of equals),
+def _anchors(text, length: int):
+    """The anchor of each string of `length` bytes (the run of anchor_bytes in it with the least hash, the first of equals),
     as the starts [lo, hi] it owns and its hash. Equal strings have equal anchors at equal places in them."""
     import numpy as np
 
-    span = LENGTH - ANCHOR + 1
-    n_starts, low = len(text) - LENGTH + 1, np.uint64((1 << STRETCH_BITS + 1) - 1)
+    anchor = anchor_bytes(length)
+    span = length - anchor + 1
+    n_starts, low = len(text) - length + 1, np.uint64((1 << STRETCH_BITS + 1) - 1)
     lo, hi, hashes = [], [], []
     for first in range(0, n_starts, 1 << STRETCH_BITS):
         last = min(first + (1 << STRETCH_BITS), n_starts)
-        h = mix(_rolling(text[first : last + LENGTH - 1], ANCHOR))
+        h = mix(_rolling(text[first : last + length - 1], anchor))
         padded = np.full(-(-len(h) // span) * span, np.iinfo(np.uint64).max, np.uint64)
         padded[: len(h)] = h & ~low | np.arange(len(h), dtype=np.uint64)
         rows = padded.reshape(-1, span)
@@ -92,37 +103,48 @@ def _anchors(text):
     return np.concatenate(lo), np.concatenate(hi), np.concatenate(hashes).view(np.int64)
 
 
-def _owned(batches: Iterator) -> Iterator:
-    import numpy as np
-    import pyarrow as pa
-    import xxhash
+def _owned(length: int):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                parts: list[list] = [[], [], [], [], []]
+                for k, (_, text, *_others) in enumerate(_open(data.as_py())):
+                    if len(text) >= length:
+                        lo, hi, anchor = _anchors(np.frombuffer(text, np.uint8), length)
+                        content = b"".join([xxhash.xxh3_128_digest(text[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist())])
+                        for column, x in zip(parts, (np.full(len(lo), k), lo, hi, anchor, np.frombuffer(content, np.int64))):
+                            column.append(x)
+                if parts[0]:
+                    doc, lo, hi, anchor, content = map(np.concatenate, parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), block)), pa.array(doc, pa.int32()), pa.array(lo), pa.array(hi), pa.array(anchor), pa.array(content[::2].copy()), pa.array(content[1::2].copy())], names=["block", "doc", "lo", "hi", "anchor", "c1", "c2"])
 
-    for batch in batches:
-        for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-            parts: list[list] = [[], [], [], [], []]
-            for k, (_, text, *_others) in enumerate(_open(data.as_py())):
-                if len(text) >= LENGTH:
-                    lo, hi, anchor = _anchors(np.frombuffer(text, np.uint8))
-                    content = b"".join([xxhash.xxh3_128_digest(text[a : b + LENGTH]) for a, b in zip(lo.tolist(), hi.tolist())])
-                    for column, x in zip(parts, (np.full(len(lo), k), lo, hi, anchor, np.frombuffer(content, np.int64))):
-                        column.append(x)
-            if parts[0]:
-                doc, lo, hi, anchor, content = map(np.concatenate, parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), block)), pa.array(doc, pa.int32()), pa.array(lo), pa.array(hi), pa.array(anchor), pa.array(content[::2].copy()), pa.array(content[1::2].copy())], names=["block", "doc", "lo", "hi", "anchor", "c1", "c2"])
-
-
-def _fetch(blocks, wanted):
+    return run
+
+
+def _fetch(length: int):
     """Bytes of the wanted stretches of one block."""
-    import pandas as pd
 
-    if blocks.empty or wanted.empty:
-        return pd.DataFrame({"anchor": [], "c1": [], "c2": [], "data": []}, dtype=object).astype({"anchor": "int64", "c1": "int64", "c2": "int64"})
-    docs = _open(blocks["data"].iloc[0])
-    wanted["data"] = [docs[d][1][a : b + LENGTH] for d, a, b in zip(wanted["doc"], wanted["lo"], wanted["hi"])]
-    return wanted[["anchor", "c1", "c2", "data"]]
+    def run(blocks, wanted):
+        import pandas as pd
+
+        if blocks.empty or wanted.empty:
+            return pd.DataFrame({"anchor": [], "c1": [], "c2": [], "data": []}, dtype=object).astype({"anchor": "int64", "c1": "int64", "c2": "int64"})
+        docs = _open(blocks["data"].iloc[0])
+        wanted["data"] = [docs[d][1][a : b + length] for d, a, b in zip(wanted["doc"], wanted["lo"], wanted["hi"])]
+        return wanted[["anchor", "c1", "c2", "data"]]
+
+    return run
+
+
+def _sorted_shard(length: int):
+    return lambda pdf: _sorted(pdf, length)
 
 
-def _sorted_shard(pdf):
+def _sorted(pdf, length: int):
     """Owned starts of one shard whose strings are equal to another's, as runs relative to each stretch."""
     import numpy as np
     import pandas as pd
@@ -133,14 +155,15 @@ def _sorted_shard(pdf):
     text = np.frombuffer(b"".join(pdf["data"]), np.uint8)
     owned = np.zeros(len(text), bool)
     for a, n in zip(firsts.tolist(), sizes.tolist()):
-        owned[a : a + n - LENGTH + 1] = True
-    order = suffix_array(text, LENGTH)
+        owned[a : a + n - length + 1] = True
+    order = suffix_array(text, length)
     order = order[owned[order]]
-    # neighbours share LENGTH bytes if two overlapping runs of 256 do, which are then compared as bytes
-    h = _rolling(text, 256)
+    # neighbours share `length` bytes if two overlapping runs of half as many or more do, which are then compared as bytes
+    half = two_to(length)
+    h = _rolling(text, half)
     a, b = order[:-1], order[1:]
-    equal = (h[a] == h[b]) & (h[a + LENGTH - 256] == h[b + LENGTH - 256])
-    step, near = np.arange(LENGTH), np.flatnonzero(equal)
+    equal = (h[a] == h[b]) & (h[a + length - half] == h[b + length - half])
+    step, near = np.arange(length), np.flatnonzero(equal)
     for k in range(0, len(near), 10_000):
         some = near[k : k + 10_000, None]
         equal[near[k : k + 10_000]] = (text[a[some] + step] == text[b[some] + step]).all(1)
@@ -149,7 +172,7 @@ def _sorted_shard(pdf):
     twice[order[1:][equal]] = True
     out = []
     for k, (a, n) in enumerate(zip(firsts.tolist(), sizes.tolist())):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], twice[a : a + n - LENGTH + 1].view(np.int8), [0]])))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], twice[a : a + n - length + 1].view(np.int8), [0]])))
         if len(edge):
             out.append((k, edge.tolist()))
     if not out:
@@ -159,7 +182,7 @@ def _sorted_shard(pdf):
     return got
 
 
-def _cut(names: list[str]):
+def _cut(names: list[str], length: int):
     def run(blocks, runs):
         import hashlib
 
@@ -169,7 +192,7 @@ def _cut(names: list[str]):
         docs = [d for data in blocks["data"] for d in _open(data)]
         runs = runs.sort_values(["doc", "start"])
         by = np.searchsorted(runs["doc"].to_numpy(), np.arange(len(docs) + 1))
-        starts, stops = runs["start"].to_numpy(), runs["stop"].to_numpy() + LENGTH - 1
+        starts, stops = runs["start"].to_numpy(), runs["stop"].to_numpy() + length - 1
         out = []
         for k, (doc_id, text, *others) in enumerate(docs):
             at, kept, n_spans = 0, [], 0
@@ -186,19 +209,21 @@ def _cut(names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Cuts from each text every byte that lies in a string of LENGTH bytes starting anywhere else too.
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Cuts from each text every byte that lies in a string of `length` bytes starting anywhere else too.
 
     Returns one row for each input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
     and, if carry is a list of columns, kept_text (the rest as text; a character cut in half goes) and those
-    columns as they are (their names must differ from these). Strings are judged on the input; matches never cross documents; all copies go, in the same document too. Null texts are empty; texts
-    under LENGTH bytes stay whole. Repeated rows and ids are texts of their own.
+    columns as they are (their names must differ from these). Strings are judged on the input; matches never cross
+    documents; all copies go, in the same document too. Null texts are empty; texts under `length` bytes stay whole, very
+    long ones are taken in stretches of their starts. Repeated rows and ids are texts of their own, so they go whole if
+    they are long enough; an empty table gives no rows.
 
-    Every string of LENGTH bytes is owned by its anchor, so equal strings meet at equal anchors and each start is
+    Every string of `length` bytes is owned by its anchor, so equal strings meet at equal anchors and each start is
     in one place only. Anchors that occur once settle their strings as unique; a stretch whose bytes occur twice
     settles all of its strings as repeated (copies are counted map-side, so thousands are one row); distinct
-    stretches of one anchor are sorted as suffixes, shard by shard, and neighbours with LENGTH common bytes are
-    found. Texts lie packed in a table bucketed by block, which both steps that need bytes read in place.
+    stretches of one anchor are sorted as suffixes, shard by shard, and neighbours with `length` common bytes
+    are found. Texts lie packed in a table bucketed by block, which both steps that need bytes read in place.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
@@ -207,7 +232,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(carry or []))
     rows.mapInArrow(_blocks, BLOCK).write.format("parquet").option("path", f"{scratch.root}/blocks").option("compression", "none").bucketBy(n_parts, "block").saveAsTable(name)
     blocks = spark.table(name)
-    owned = scratch.save(blocks.mapInArrow(_owned, OWNED), "owned")
+    owned = scratch.save(blocks.mapInArrow(_owned(length), OWNED), "owned")
     again = owned.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     again = scratch.save(again, "anchors")  # a join of two shuffles, which AQE can split where an anchor is very common
     owned = scratch.save(owned.join(growing(again), "anchor"), "again")
@@ -217,11 +242,11 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, id_col: str
     stretches = scratch.save(owned.groupBy(*key).agg(F.count("*").alias("n"), first), "stretches")
     several = stretches.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     wanted = stretches.join(growing(several), "anchor").select(*key, "at.*")
-    data = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_fetch, "anchor long, c1 long, c2 long, data binary")
+    data = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_fetch(length), "anchor long, c1 long, c2 long, data binary")
     data = scratch.save(data, "data")
     total = data.agg(F.sum(F.length("data"))).first()[0] or 0
     shards = data.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // SHARD_BYTES)))).alias("shard"))
-    found = scratch.save(shards.applyInPandas(_sorted_shard, FOUND), "found")
+    found = scratch.save(shards.applyInPandas(_sorted_shard(length), FOUND), "found")
     pairs = F.expr("transform(sequence(0, size(runs) - 2, 2), i -> struct(runs[i] as a, runs[i + 1] as b))")
     settled = stretches.where("n > 1").select(*key, F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
     settled = settled.unionByName(found.select(*key, pairs.alias("runs")).join(stretches.where("n > 1").select(*key), key, "left_anti"))
@@ -231,7 +256,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, id_col: str
     hit = hit.select("block", "doc", (F.col("lo") + F.col("r.a")).alias("start"), (F.col("lo") + F.col("r.b")).alias("stop"))
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * (carry is not None))
     schema = T.StructType([*schema.fields, *rows.schema.fields[2:]])
-    out = blocks.groupBy("block").cogroup(hit.groupBy("block")).applyInPandas(_cut(schema.names), schema)
+    out = blocks.groupBy("block").cogroup(hit.groupBy("block")).applyInPandas(_cut(schema.names, length), schema)
     out = scratch.finish(out, "again", "stretches", "data", "found")
     spark.sql(f"drop table {name}")
     scratch.drop("blocks")

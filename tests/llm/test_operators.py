@@ -353,16 +353,16 @@ def test_suffix_array():
         assert [b[k : k + 100] for k in got] == sorted(b[k : k + 100] for k in range(n))
 
 
-def removed_by_hand(texts):
+def removed_by_hand(texts, length=400):
     raw = [(t or "").encode() for t in texts]
-    seen = Counter(b[k : k + 400] for b in raw for k in range(len(b) - 399))
+    seen = Counter(b[k : k + length] for b in raw for k in range(len(b) - length + 1))
     out = []
     for b in raw:
         mark = np.zeros(len(b) + 1, int)
-        for k in range(len(b) - 399):
-            if seen[b[k : k + 400]] > 1:
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
                 mark[k] += 1
-                mark[k + 400] -= 1
+                mark[k + length] -= 1
         gone = np.cumsum(mark)[:-1] > 0
         rest = np.frombuffer(b, np.uint8)[~gone].tobytes()
         out.append((len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(rest).hexdigest()))
@@ -388,6 +388,19 @@ def test_suffix_dedup_of_shifted_passages(spark):
     same(got, [(k, *w) for k, w in enumerate(removed_by_hand(texts))])
 
 
+def test_suffix_dedup_of_other_lengths(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(1, 9))) for _ in range(n))
+    passages = [say(55) for _ in range(4)]
+    texts = [say(rng.randint(20, 80)) + " " + passages[k % 4] + " " + say(rng.randint(20, 80)) for k in range(12)] + [say(90) for _ in range(5)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for length in (64, 200, 257):
+        got = suffix_dedup.remove_repeats(table, length=length).collect()
+        same(got, [(k, *w) for k, w in enumerate(removed_by_hand(texts, length))])
+    kept = {r.doc_id: r.kept_text for r in suffix_dedup.remove_repeats(table, carry=[], length=200).collect()}
+    assert all(passages[k % 4] not in kept[k] and len(kept[k]) < len(texts[k]) - 200 for k in range(12)) and all(kept[k] == texts[k] for k in range(12, 17))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 8))

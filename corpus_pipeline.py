@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from oddsmill.llm import language_id, minhash_forest, mixing, packing, suffix_dedup
 from oddsmill.llm.common import growing
 
+#: Bytes of a repeat: fifty words of short ones, so that a passage of over fifty words is cut wherever it stands again.
+REPEAT_BYTES = 200
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -34,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the long strings that occur again elsewhere; documents stay, with what is left of them."""
-    out = suffix_dedup.remove_repeats(docs, carry=["lang", "source"])
+    out = suffix_dedup.remove_repeats(docs, carry=["lang", "source"], length=REPEAT_BYTES)
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 

@@ -475,6 +475,46 @@ def test_chains_find_the_best_order():
     assert chains([], []) == []
 
 
+def test_chains_equal_brute_force():
+    rng = random.Random(12)
+    seed, gap = passage_chains.SEED, passage_chains.GAP
+    for _ in range(4000):
+        n, span = rng.randint(1, 12), rng.choice([12, 40, 200, 2000])
+        at = sorted({(rng.randrange(span), rng.randrange(span)) for _ in range(n)})
+        xs, ys = [a for a, _ in at], [b for _, b in at]
+        best = [0.0] * len(at)
+        for k in range(len(at)):
+            gains = [best[j] + min(seed, xs[k] - xs[j], ys[k] - ys[j]) - gap * (xs[k] - xs[j] + ys[k] - ys[j]) for j in range(k) if xs[j] < xs[k] and ys[j] < ys[k]]
+            best[k] = max([float(seed), *gains])
+        chain = chains(xs, ys)[0]
+        score = seed + sum(min(seed, xs[k] - xs[j], ys[k] - ys[j]) - gap * (xs[k] - xs[j] + ys[k] - ys[j]) for j, k in zip(chain, chain[1:]))
+        assert score == pytest.approx(max(best)), (xs, ys)
+    assert passage_chains.parted([0, 1, 2], [0, 5, 300], [0, 5, 20]) == [[0, 1], [2]]
+
+
+def test_passages_whose_phrases_stand_elsewhere(spark):
+    """Every five words of a shared passage occur singly in earlier documents; the two that share it are still linked."""
+    rng = random.Random(13)
+    say = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    passages = [say(70) for _ in range(20)]
+    rows, k = [], 0
+    for p in passages:
+        for a in range(0, 66):
+            rows.append((k, say(40) + p[a : a + 5] + say(40)))
+            k += 1
+    shared = {}
+    for j, p in enumerate(passages):
+        edited = list(p)
+        edited[35] = "changed"
+        rows += [(k, say(30) + p + say(30)), (k + 1, say(10) + edited + say(50))]
+        shared[j] = (k, k + 1)
+        k += 2
+    table = spark.createDataFrame([(a, " ".join(w)) for a, w in rows], "doc_id long, text string").coalesce(1)
+    got = {tuple(sorted((r.doc_id, r.other_doc_id))): r for r in passage_chains.shared_passages(table).collect()}
+    found = [j for j, pair in shared.items() if pair in got and got[pair].stop - got[pair].start >= 60]
+    assert len(found) == 20 and set(got) == set(shared.values())
+
+
 def test_passages(docs, empty):
     got = passage_chains.shared_passages(docs.where("doc_id is not null")).collect()
     by = {(r.doc_id, r.other_doc_id): r for r in got}

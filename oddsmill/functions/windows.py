@@ -51,3 +51,33 @@ def ewma(xs: list[float], share: float = 0.3) -> float:
     for x in xs[1:]:
         out += share * (x - out)
     return out
+
+
+def kalman(xs: list[float], process: float = 1e-4, measured: float = 1e-3) -> float:
+    """Velocity of a body of constant velocity that is seen at its positions; gains don't depend on the data."""
+    import numpy as np
+
+    move, seen = np.array([[1.0, 1.0], [0.0, 1.0]]), np.array([1.0, 0.0])
+    state, doubt = np.array([xs[0], 0.0]), np.eye(2)
+    for x in xs[1:]:
+        state, doubt = move @ state, move @ doubt @ move.T + process * np.eye(2)
+        gain = doubt @ seen / (seen @ doubt @ seen + measured)
+        state = state + gain * (x - seen @ state)
+        doubt = doubt - np.outer(gain, seen @ doubt)
+    return float(state[1])
+
+
+def smooth_increment(xs: list[float], penalty: float = 0.02, rounds: int = 12, step: float = 0.05) -> float:
+    """The newest increment after a few descent steps on the misfit of the sums of increments and on their second
+    differences. Inner increments are moved in turn, each seeing the one before it moved already; the first stays."""
+    import numpy as np
+
+    x = np.asarray(xs, float)
+    u = np.diff(x, prepend=x[0])
+    for _ in range(rounds):
+        misfit = x[0] + np.cumsum(u) - x
+        slope = np.cumsum(misfit[::-1])[::-1]
+        for k in range(1, len(u) - 1):
+            u[k] -= step * (slope[k] + penalty * (2 * u[k] - u[k - 1] - u[k + 1]))
+        u[-1] -= step * slope[-1]
+    return float(u[-1])

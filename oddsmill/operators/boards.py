@@ -132,14 +132,14 @@ def siblings(markets: DataFrame) -> DataFrame:
     return markets.select("market_id", "basket_id", (n - 1).alias("n_siblings"), (F.sum("last").over(w) - F.col("last")).alias("siblings_sum"), F.max("last").over(w).alias("favourite"))
 
 
-def panel(bars: DataFrame, legs: DataFrame) -> DataFrame:
+def panel(bars: DataFrame, legs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Bars of each basket by position, cut to its shortest leg, with the mean of the other legs."""
     b = bars.join(legs.select("market_id", "basket_id"), "market_id").withColumns({"i": F.row_number().over(W.partitionBy("market_id").orderBy("bar_ts")), "n": F.count("*").over(W.partitionBy("market_id"))})
     short = b.groupBy("basket_id").agg(F.min("n").alias("shortest"))
     b = b.join(short, "basket_id").where(F.col("i") <= F.col("shortest"))
     w = W.partitionBy("basket_id", "i")
     n = F.count("*").over(w)
-    return b.select("basket_id", "market_id", "i", "close", (n - 1).alias("n_peers"), F.when(n > 1, (F.sum("close").over(w) - F.col("close")) / (n - 1)).otherwise(F.col("close")).alias("peer_mean"))
+    return b.select("basket_id", "market_id", "i", *carry, "close", (n - 1).alias("n_peers"), F.when(n > 1, (F.sum("close").over(w) - F.col("close")) / (n - 1)).otherwise(F.col("close")).alias("peer_mean"))
 
 
 def first_time_wallets(tape: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
-def price13(series: DataFrame, price: str = "close", key: str = "market_id", at: tuple[str, ...] = ("bar_ts",)) -> DataFrame:
+def price13(series: DataFrame, price: str = "close", key: str = "market_id", at: tuple[str, ...] = ("bar_ts",), least_std: float = LEAST_STD) -> DataFrame:
     """Thirteen features of the price window of each labelled anchor."""
     w = order(key, at)
     frame, steps = w.rowsBetween(-WINDOW, -1), w.rowsBetween(-(WINDOW - 1), -1)
@@ -55,7 +55,7 @@ def price13(series: DataFrame, price: str = "close", key: str = "market_id", at:
         "downside": F.stddev_samp(F.when(d < 0, d)).over(steps), "macd_hist": fir(p, [0.0, *coefficients(macd_histogram)], w),
         "rets": _lags("_d", w, WINDOW - 1),
     })
-    s = labelled(s, price, key, at)
+    s = labelled(s, price, key, at, least_std=least_std)
     centred = F.transform("rets", lambda x: x - F.col("mean_ret"))
     num = F.aggregate(F.zip_with(F.slice(centred, 1, WINDOW - 2), F.slice(centred, 2, WINDOW - 2), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     den = F.aggregate(centred, F.lit(0.0), lambda a, x: a + x * x)
@@ -120,25 +120,34 @@ def polynomial(series: DataFrame, price: str = "close", key: str = "market_id",
     for n in points:
         cols[f"velocity_{n}"] = fir(price, [0.0, *polynomial_end(1, 2, n)], w)
         cols[f"acceleration_{n}"] = fir(price, [0.0, *polynomial_end(2, 2, n)], w)
-    s = s.withColumns(cols | {"i": F.row_number().over(w) - 1, "ups": F.sum(F.when(F.col("_d") > 0, 1).otherwise(0)).over(w.rowsBetween(-(WINDOW - 1), -1)), "downs": F.sum(F.when(F.col("_d") < 0, 1).otherwise(0)).over(w.rowsBetween(-(WINDOW - 1), -1))}).where(F.col("i") >= WINDOW)
-    v = F.col(f"velocity_{points[-1]}")
-    agree = F.when(v > 0, F.col("ups")).when(v < 0, F.col("downs")).otherwise(0) / (WINDOW - 1)
+    s = s.withColumns(cols | {"i": F.row_number().over(w) - 1, "_slope": fir(price, [0.0, *polynomial_end(1, 1, WINDOW)], w), "ups": F.sum(F.when(F.col("_d") > 0, 1).otherwise(0)).over(w.rowsBetween(-(WINDOW - 1), -1))}).where(F.col("i") >= WINDOW)
+    v = F.col("_slope")  # a straight line through the whole window; moves of nothing go with a falling one
+    agree = F.when(v > 0, F.col("ups")).when(v < 0, WINDOW - 1 - F.col("ups")).otherwise(0) / (WINDOW - 1)
     return s.select(key, "bar_ts", *cols, (F.signum(v) * agree).alias("trend_consistency"))
 
 
 def trend_estimators(series: DataFrame, price: str = "close", key: str = "market_id") -> DataFrame:
     """Slopes of the window by estimators that are all linear in it."""
-    from ..functions.windows import ewma, holt, polynomial_end
+    from ..functions.windows import ewma, holt, kalman, polynomial_end, smooth_increment
 
     w = order(key)
     named = {
         "sg1": polynomial_end(1, 1, WINDOW), "sg2": polynomial_end(1, 2, WINDOW), "holt": coefficients(holt),
-        "ewma_ret": coefficients(lambda xs: ewma([b - a for a, b in zip(xs, xs[1:])])),
+        "kalman": coefficients(kalman), "tvdiff": coefficients(smooth_increment), "ewma_ret": coefficients(lambda xs: ewma([b - a for a, b in zip(xs, xs[1:])])),
     }
     s = series.withColumns({n: fir(price, [0.0, *c], w) for n, c in named.items()} | {"i": F.row_number().over(w) - 1})
     return s.where(F.col("i") >= WINDOW).select(key, "bar_ts", *named)
 
 
+def newest13(series: DataFrame, price: str = "close", key: str = "market_id", at: str = "bar_ts") -> DataFrame:
+    """Thirteen features of the newest window of each key, flat ones too; keys with fewer rows have none."""
+    last = series.groupBy(key).agg(F.max(at).alias(at), F.max_by(price, at).alias(price))
+    # rows after the end, the first of which is the anchor: its window is all real
+    after = last.select(key, F.explode(F.sequence(F.lit(1), F.lit(HORIZON + 1))).alias("_k"), at, price).withColumn(at, F.col(at) + F.col("_k")).drop("_k")
+    rows = price13(series.select(key, at, price).unionByName(after), price, key, (at,), least_std=-1.0)
+    return rows.join(last.select(key, (F.col(at) + 1).alias(at)), [key, at], "left_semi")
+
+
 def _window_of_bars(bars: DataFrame, key: str) -> tuple[DataFrame, object, object, object]:
     """Bars with the window's close steps, deviations and ranges; the orders of the window, its steps and its last four."""
     w = order(key)
@@ -237,7 +246,7 @@ def snapshots(tape: DataFrame, ends: DataFrame, shares: tuple[float, ...] = (0.2
 
     half = F.abs(F.col("price") - 0.5)
     return s.select(
-        key, F.col("share.share").alias("at_share"), "price", half.alias("dist_from_half"), logit_scaled("price").alias("logit_price"), left.alias("time_to_resolution"), F.when(life > 0, clamp((F.col("t") - F.col("created")) / life, 0, 1)).otherwise(1.0).alias("age_fraction"),
+        key, F.col("share.share").alias("at_share"), "t", "price", half.alias("dist_from_half"), logit_scaled("price").alias("logit_price"), left.alias("time_to_resolution"), F.when(life > 0, clamp((F.col("t") - F.col("created")) / life, 0, 1)).otherwise(1.0).alias("age_fraction"),
         clamp(F.col("price") - F.col("_first"), -1, 1).alias("momentum"), F.coalesce(clamp("_std", 0, 1), F.lit(0.0)).alias("realized_vol"), F.when(F.col("_v") > 1e-9, clamp(F.col("_f") / F.col("_v"), -1, 1)).otherwise(0.0).alias("flow_imbalance"),
         F.when(F.col("volume_total") > 1e-9, clamp(F.col("volume") / F.col("volume_total"), 0, 1)).otherwise(0.0).alias("volume_maturity"), clamp((F.col("_k") - 50) / (50 + 1e-9), -5, 5).alias("trade_count_z"),
         soft_bucket("price").alias("calib_bucket"), (half * left).alias("price_x_time"),

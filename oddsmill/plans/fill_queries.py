@@ -50,11 +50,14 @@ VIEWS["sidx"] = "select *, row_number() over (partition by market_id order by t,
 VIEWS["cohort"] = "select wallet from (select *, row_number() over (order by pnl desc, wallet) - 1 as i, count(*) over () as n from wallets) where i < ceil(n * 0.2::double)"
 
 
-@query("feat_smart10", """with s as (select *, min(b) over (partition by market_id, wallet) as fb from sidx),
+VIEWS["smart10"] = """with s as (select *, min(b) over (partition by market_id, wallet) as fb from sidx),
 x as (select a.market_id, a.seq as anchor, s.wallet, sum(case when s.side = 'BUY' then s.usd else -s.usd end) as net, sum(s.usd) as gross, sum(case when s.role = 'maker' then s.usd else 0 end) as maker, s.wallet in (select wallet from cohort) as smart, min(s.fb) >= any_value(a.b) - 16 as fresh,
   max(s.b) as eb, arg_max(s.price, s.b) as ep from sidx a join s on s.market_id = a.market_id and s.b between a.b - 16 and a.b - 1 where a.b >= 16 group by 1, 2, 3)
 select market_id, anchor, coalesce(sum(net) filter (where smart), 0) / (sum(gross) + 1e-9) as smart_net_flow, coalesce(sum(gross) filter (where smart), 0) / (sum(gross) + 1e-9) as smart_share, (2 * coalesce(sum(net) filter (where smart), 0) - sum(net)) / (sum(gross) + 1e-9) as smart_minus_dumb,
-  abs(sum(net)) / (sum(gross) + 1e-9) as herding, sum(net) / (sum(gross) + 1e-9) as flow_imbalance, avg(fresh::int) as crowding, sum(maker) / (sum(gross) + 1e-9) as maker_taker_ratio, max(gross) / (sum(gross) + 1e-9) as whale_concentration, arg_max(ep, eb) as last, abs(arg_max(ep, eb) - 0.5) * 2 as extremeness from x group by 1, 2""", S10)
+  abs(sum(net)) / (sum(gross) + 1e-9) as herding, sum(net) / (sum(gross) + 1e-9) as flow_imbalance, avg(fresh::int) as crowding, sum(maker) / (sum(gross) + 1e-9) as maker_taker_ratio, max(gross) / (sum(gross) + 1e-9) as whale_concentration, arg_max(ep, eb) as last, abs(arg_max(ep, eb) - 0.5) * 2 as extremeness from x group by 1, 2"""
+
+
+@query("feat_smart10", "select * from smart10", S10)
 def _(d):
     from ..operators import cohorts
 

@@ -46,16 +46,6 @@ def sequences(d, length: int = 48, shares=(0.4, 0.6, 0.8, 0.9)):
     return s.withColumn("at", F.explode(F.filter(at, lambda x: x["i"] == F.col("i")))).select("market_id", F.col("at.share").alias("at_share"), "steps")
 
 
-@query("feat_all66", f"""select a.market_id, a.bar_ts, {', '.join(f'p.{c} as price_{c}' for c in P13.split())}, {', '.join(f'coalesce(q.{c}, 0) as flow_{c}' for c in ('signed_imbalance', 'vpin', 'toxicity', 'buy_pressure'))}
-  from anchors a join feats p using (market_id, bar_ts) left join flow20 q using (market_id, bar_ts)""", " ".join(f"price_{c}" for c in P13.split()) + " flow_signed_imbalance flow_vpin flow_toxicity flow_buy_pressure")
-def _(d):
-    keys = ["market_id", "bar_ts"]
-    p = windows.price13(d.bars).select(*keys, *[F.col(c).alias(f"price_{c}") for c in P13.split()])
-    names = ("signed_imbalance", "vpin", "toxicity", "buy_pressure")
-    f = windows.flow_features(d.bars).select(*keys, *[F.col(c).alias(f"flow_{c}") for c in names])
-    return p.join(f, keys, "left").fillna(0.0, [f"flow_{c}" for c in names])
-
-
 @query("split_end_date", """with e as (select market_id, "end", row_number() over (order by "end", market_id) - 1 as i, count(*) over () as n from market), b as (select max("end") filter (where i = floor(n * 0.6::double)) as b1, max("end") filter (where i = floor(n * 0.75::double)) as b2 from e)
 select market_id, case when "end" < b1 then 'train' when "end" < b2 then 'calibrate' else 'test' end as part from e, b""")
 def _(d):

@@ -98,14 +98,14 @@ def _(d):
     return windows.polynomial(d.bars).drop("trend_consistency")
 
 
-@query("trend_consistency", f"""select market_id, bar_ts, sign(v) * case when v > 0 then ups when v < 0 then downs else 0 end / 15 as trend_consistency from (
-  select market_id, bar_ts, row_number() over w - 1 as i, {_dot(fw.polynomial_end(1, 2, 16))} as v, count(*) filter (where d > 0) over f as ups, count(*) filter (where d < 0) over f as downs
+@query("trend_consistency", f"""select market_id, bar_ts, sign(v) * case when v > 0 then ups when v < 0 then 15 - ups else 0 end / 15 as trend_consistency from (
+  select market_id, bar_ts, row_number() over w - 1 as i, {_dot(fw.polynomial_end(1, 1, 16))} as v, count(*) filter (where d > 0) over f as ups
   from steps window w as (partition by market_id order by bar_ts), f as (partition by market_id order by bar_ts rows between 15 preceding and 1 preceding)) where i >= 16""", "trend_consistency")
 def _(d):
     return windows.polynomial(d.bars).select("market_id", "bar_ts", "trend_consistency")
 
 
-@query("deriv_estimators", f"select market_id, bar_ts, sg1, sg2, holt, ewma_ret from (select market_id, bar_ts, row_number() over w - 1 as i, regr_slope(close, rn) over f as sg1, {_dot(fw.polynomial_end(1, 2, 16))} as sg2, {_dot(fw.coefficients(fw.holt))} as holt, {_dot(fw.coefficients(lambda xs: fw.ewma([b - a for a, b in zip(xs, xs[1:])])))} as ewma_ret from (select *, row_number() over (partition by market_id order by bar_ts) as rn from bars) window w as (partition by market_id order by bar_ts), f as (partition by market_id order by bar_ts rows between 16 preceding and 1 preceding)) where i >= 16", "sg1 sg2 holt ewma_ret")
+@query("deriv_estimators", f"select market_id, bar_ts, sg1, sg2, holt, kalman, tvdiff, ewma_ret from (select market_id, bar_ts, row_number() over w - 1 as i, regr_slope(close, rn) over f as sg1, {_dot(fw.polynomial_end(1, 2, 16))} as sg2, {_dot(fw.coefficients(fw.holt))} as holt, {_dot(fw.coefficients(fw.kalman))} as kalman, {_dot(fw.coefficients(fw.smooth_increment))} as tvdiff, {_dot(fw.coefficients(lambda xs: fw.ewma([b - a for a, b in zip(xs, xs[1:])])))} as ewma_ret from (select *, row_number() over (partition by market_id order by bar_ts) as rn from bars) window w as (partition by market_id order by bar_ts), f as (partition by market_id order by bar_ts rows between 16 preceding and 1 preceding)) where i >= 16", "sg1 sg2 holt kalman tvdiff ewma_ret")
 def _(d):
     return windows.trend_estimators(d.bars)
 
@@ -139,6 +139,9 @@ _flow11 = f"""select market_id, bar_ts, greatest(-1, least(1, fl / v)) as signed
   from (select *, case when volume > 1e-9 then abs(signed_vol) / volume else 0 end as r from steps) {_W}) where i >= 16"""
 
 
+VIEWS["flow11"] = _flow11
+
+
 @query("feat_flow11", _flow11, F11)
 def _(d):
     return windows.flow11(d.bars)
@@ -149,10 +152,13 @@ def _(d):
     return windows.flow11(d.bars).select("market_id", "bar_ts", "whale_ratio")
 
 
-@query("feat_crossmarket8", """with r as (select market_id, basket_id, last as price, neg_risk, count(*) over b as n, sum(last) over b as s, stddev_samp(last) over b as sd,
+VIEWS["cross8"] = """with r as (select market_id, basket_id, last as price, neg_risk, count(*) over b as n, sum(last) over b as s, stddev_samp(last) over b as sd,
   (select max(o.last) from market o where o.basket_id = m.basket_id and o.market_id <> m.market_id) as other, (select count(*) from market o where o.basket_id = m.basket_id and o.last > m.last) as higher from market m window b as (partition by basket_id))
 select market_id, basket_id, price, case when w then s else price end as basket_sum, case when w then s - 1 else 0 end as residual, case when w then price / s else 1 end as share, n - 1 as sibling_count, case when w then higher / (n - 1) else 0 end as rank,
-  case when w then price - other else 0 end as favourite_gap, case when w then sd else 0 end as dispersion, neg_risk::int as neg_risk from (select *, neg_risk and n >= 2 as w from r)""", "price basket_sum residual share rank favourite_gap dispersion")
+  case when w then price - other else 0 end as favourite_gap, case when w then sd else 0 end as dispersion, neg_risk::int as neg_risk from (select *, neg_risk and n >= 2 as w from r)"""
+
+
+@query("feat_crossmarket8", VIEWS["cross8"], "price basket_sum residual share rank favourite_gap dispersion")
 def _(d):
     return windows.crossmarket(d.market.withColumnRenamed("last", "price"))
 
@@ -160,14 +166,17 @@ def _(d):
 R12 = "at_share price dist_from_half logit_price time_to_resolution age_fraction momentum realized_vol flow_imbalance volume_maturity trade_count_z calib_bucket price_x_time"
 
 
-@query("feat_resolve12", """with s as (select *, row_number() over w - 1 as i, count(*) over (partition by market_id) as n, sum(usd) over (partition by market_id order by t, seq rows unbounded preceding) as vol, sum(usd) over (partition by market_id) as total,
+VIEWS["resolve12"] = """with s as (select *, row_number() over w - 1 as i, count(*) over (partition by market_id) as n, sum(usd) over (partition by market_id order by t, seq rows unbounded preceding) as vol, sum(usd) over (partition by market_id) as total,
   first_value(price) over l as p0, stddev_samp(d) over (partition by market_id order by t, seq rows between 22 preceding and current row) as sd, sum(case when side = 'BUY' then usd else -usd end) over l as fl, sum(usd) over l as v, count(*) over l as k
   from (select *, price - lag(price) over (partition by market_id order by t, seq) as d from tape) window w as (partition by market_id order by t, seq), l as (partition by market_id order by t, seq rows between 23 preceding and current row)),
 x as (select s.*, f as at_share, "end", created, greatest(1e-4, least(0.9999, price)) as q from s join market using (market_id), (values (0.2::double), (0.4), (0.6), (0.8)) v(f) where i = floor(n * f))
-select market_id, at_share, price, abs(price - 0.5) as dist_from_half, greatest(-1, least(1, ln(q / (1 - q)) / 9.2)) as logit_price, ("end" - t) / ("end" - created) as time_to_resolution, (t - created) / ("end" - created) as age_fraction, price - p0 as momentum,
-  coalesce(least(1, sd), 0) as realized_vol, fl / v as flow_imbalance, vol / total as volume_maturity, (k - 50) / (50 + 1e-9) as trade_count_z, 0.5 * (least(floor(price * 10), 9) + 0.5) / 10 + 0.5 * price as calib_bucket, abs(price - 0.5) * ("end" - t) / ("end" - created) as price_x_time from x""", R12)
+select market_id, at_share, t, price, abs(price - 0.5) as dist_from_half, greatest(-1, least(1, ln(q / (1 - q)) / 9.2)) as logit_price, ("end" - t) / ("end" - created) as time_to_resolution, (t - created) / ("end" - created) as age_fraction, price - p0 as momentum,
+  coalesce(least(1, sd), 0) as realized_vol, fl / v as flow_imbalance, vol / total as volume_maturity, (k - 50) / (50 + 1e-9) as trade_count_z, 0.5 * (least(floor(price * 10), 9) + 0.5) / 10 + 0.5 * price as calib_bucket, abs(price - 0.5) * ("end" - t) / ("end" - created) as price_x_time from x"""
+
+
+@query("feat_resolve12", "select * exclude (t) from resolve12", R12)
 def _(d):
-    return windows.snapshots(d.tape, d.market.select("market_id", "created", "end"))
+    return windows.snapshots(d.tape, d.market.select("market_id", "created", "end")).drop("t")
 
 
 @query("snap_fractions_simple", "select market_id, f as at_share, price from (select *, row_number() over (partition by market_id order by t, seq) - 1 as i, count(*) over (partition by market_id) as n from tape), (values (0.2::double), (0.4), (0.6), (0.8)) v(f) where i = floor(n * f)", "at_share price")

@@ -207,16 +207,16 @@ def _(d):
     return boards.first_time_wallets(d.tape).select("seq", "first_time")
 
 
-@query("nearest_sample", """with s as (select seq as sample, market_id, t + 1800 as t from tape where seq % 5 = 0)
+@query("nearest_sample", """with s as (select seq as sample, market_id, t + 1800 as t from tape)
 select s.market_id, sample, s.t, arg_min(p.t, (abs(p.t - s.t) * 1e6)::bigint * 2 + (p.t > s.t)::int) as near_t, arg_min(p.price, (abs(p.t - s.t) * 1e6)::bigint * 2 + (p.t > s.t)::int) as near_price from s join tape p using (market_id) group by 1, 2, 3""", "t near_t near_price")
 def _(d):
-    s = d.tape.where("seq % 5 = 0").select(F.col("seq").alias("sample"), "market_id", (F.col("t") + 1800).alias("t"))
+    s = d.tape.select(F.col("seq").alias("sample"), "market_id", (F.col("t") + 1800).alias("t"))
     return boards.nearest(s, d.tape)
 
 
-@query("watchlist_join", "select market_id, last, market_id % 13 as added_at from market where market_id % 11 = 0", "last")
+@query("watchlist_join", "select market_id, last, market_id % 13 as added_at from market where volume24h >= 5000", "last")
 def _(d):
-    pins = d.market.where("market_id % 11 = 0").select("market_id", (F.col("market_id") % 13).alias("added_at"))
+    pins = d.market.where("volume24h >= 5000").select("market_id", (F.col("market_id") % 13).alias("added_at"))
     return boards.watchlist(pins, d.market.select("market_id", "last"))
 
 
@@ -236,13 +236,13 @@ def _(d):
     return d.tape.groupBy("market_id", (F.floor(F.col("t") / 21600) * 21600).cast("long").alias("bar_ts"), "wallet").agg(F.sum("usd").alias("usd"))
 
 
-VIEWS["hits"] = "select market_id, volume24h from market where market_id % 6 = 0"
+VIEWS["hits"] = "select market_id, volume24h from market where last > 0.6"
 
 
-@query("search_markets", "select market_id, volume24h from hits union select market_id, volume24h from market where basket_id in (select basket_id from market where market_id % 6 = 0)", "volume24h")
+@query("search_markets", "select market_id, volume24h from hits union select market_id, volume24h from market where basket_id in (select basket_id from market where last > 0.6)", "volume24h")
 def _(d):
     m = d.market.select("market_id", "basket_id", "volume24h")
-    hits = m.where("market_id % 6 = 0")
+    hits = m.where("last > 0.6")
     return boards.search(hits, m.join(hits.select("basket_id"), "basket_id", "left_semi").select(*m.columns)).select("market_id", "volume24h")
 
 

@@ -88,17 +88,17 @@ def _(d):
     return scans.monthly(d.spark, path, [f"folder={m}" for m in months], 2, "event_id long, value double, month long").groupBy("month").agg(F.count("*").alias("n"))
 
 
-@query("scan_user_parquet", "select market_id, count(*) as n from tape where seq % 9 <> 0 group by 1")
+@query("scan_user_parquet", "select market_id, count(*) as n from tape where seq % 9 <> 0 and token_amount is not null group by 1")
 def _(d):
     path, bad = _path(d, "users"), F.col("seq") % 9 == 0
     d.tape.select(F.col("t").cast("long").cast("string").alias("timestamp"), "market_id", F.col("wallet").alias("user"), "role", F.when(bad, "n/a").otherwise(F.col("price").cast("string")).alias("price"), F.col("usd").alias("usd_amount"), "token_amount").write.parquet(path)
     return scans.users(d.spark, path).groupBy("market_id").agg(F.count("*").alias("n"))
 
 
-@query("search_union_dedupe_join", "select market_id from hits union select market_id from market where basket_id in (select basket_id from market where market_id % 6 = 0)")
+@query("search_union_dedupe_join", "select market_id from hits union select market_id from market where basket_id in (select basket_id from market where last > 0.6)")
 def _(d):
     m = d.market.select("market_id", "basket_id")
-    hits = m.where("market_id % 6 = 0")
+    hits = m.where("last > 0.6")
     return boards.search(hits, m.join(hits.select("basket_id"), "basket_id", "left_semi").select(*m.columns)).select("market_id")
 
 

@@ -27,16 +27,38 @@ for _name, _fit in (("fit_logistic", models.fit_logistic), ("fit_gbdt", models.f
         return evaluate.losses(scored, "prob", "label").crossJoin(evaluate.auc(scored, "prob", "label"))
 
 
-@query("fit_temperature")
+def _temperature_sql(low: float = 0.25, high: float = 6.0, passes: int = 4, points: int = 9) -> str:
+    """Each pass is a grid over the interval that the pass before it left, the first of equal losses being the best."""
+    parts = ["z as (select ln(q / (1 - q)) as z, outcome as y from (select greatest(1e-6, least(1 - 1e-6, flow)) as q, outcome from records))", f"i0 as (select {low}::double as low, {high}::double as high)"]
+    for k in range(passes):
+        parts.append(f"""l{k} as (select g, avg(ln(1 + exp(-abs(z / t))) + greatest(z / t, 0) - y * z / t) as loss from z, (select g, low + (high - low) * g / {points - 1} as t from i{k}, range({points}) r(g)) group by 1)""")
+        parts.append(f"""i{k + 1} as (select low + (high - low) * greatest(0, b - 1) / {points - 1} as low, low + (high - low) * least({points - 1}, b + 1) / {points - 1} as high from i{k}, (select arg_min(g, (loss, g)) as b from l{k}))""")
+    return f"with {', '.join(parts)} select (low + high) / 2 as temperature, (select count(*) from records) as n from i{passes}"
+
+
+@query("fit_temperature", _temperature_sql(), "temperature", 4)
 def _(d):
     t = models.fit_temperature(d.records, "flow")
     return d.records.agg(F.lit(t).alias("temperature"), F.count("*").alias("n"))
 
 
-@query("isotonic_fit")
+VIEWS["split60"] = "select *, round(prob, 3) as p3, row_number() over (order by ts, seq) - 1 < floor(count(*) over () * 0.6::double) as train from records"
+#: Rising fit at each distinct score: the greatest, over all starts up to it, of the least mean of a stretch that holds it.
+VIEWS["knots"] = "select row_number() over (order by p3) as i, p3, sum(y) over (order by p3) as s, sum(n) over (order by p3) as c, y, n from (select p3, sum(outcome) as y, count(*) as n from split60 where train group by 1)"
+VIEWS["rising"] = """select i, any_value(p) as p3, max(m) as fit from (
+  select j.i, j.p3 as p, min((j.s - a.s + a.y) / (j.c - a.c + a.n)) over (partition by a.i order by j.i desc) as m from knots a join knots j on j.i >= a.i) group by 1"""
+VIEWS["applied"] = """select seq, prob, outcome, case when lo.fit is null then hi.fit when hi.fit is null or hi.p3 = lo.p3 then lo.fit else lo.fit + (hi.fit - lo.fit) * (x.p3 - lo.p3) / (hi.p3 - lo.p3) end as f
+  from (select * from split60 where not train) x asof left join (select p3, fit from rising) lo on x.p3 >= lo.p3 asof left join (select p3, fit from rising) hi on x.p3 <= hi.p3"""
+
+
+def _split60(d):
+    return evaluate.by_time(d.records.withColumn("p3", F.round("prob", 3)), 0.6)
+
+
+@query("isotonic_fit", """select avg((f - outcome) ** 2) as brier, count(*) as n from applied""", "brier")
 def _(d):
-    cut = evaluate.by_time(d.records, 0.6)
-    fit = models.fit_isotonic(cut.where("train"))
+    cut = _split60(d)
+    fit = models.fit_isotonic(cut.where("train"), "p3")
     return evaluate.losses(fit(cut.where("not train")), "calibrated").select("brier", "n")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as fw
 from ..operators import ensemble, evaluate, models, windows
 from .evaluation_queries import _stats
-from .model_queries import FEATURES, _rows
+from .model_queries import FEATURES, _rows, _split60
 from .registry import VIEWS, query
 from .window_queries import P13, _dot, _range
 
@@ -137,12 +137,10 @@ def _(d):
     return g.groupBy("family").agg(F.sum("gain").alias("gain"), F.max_by("feature", "gain").alias("top"))
 
 
-@query("isotonic_apply")
+@query("isotonic_apply", "select seq, prob, f as calibrated from applied", "prob calibrated")
 def _(d):
-    cut = evaluate.by_time(d.records, 0.6)
-    return models.fit_isotonic(cut.where("train"))(cut.where("not train")).select("seq", "prob", "calibrated")
-
-
+    cut = _split60(d)
+    return models.fit_isotonic(cut.where("train"), "p3")(cut.where("not train")).select("seq", "prob", "calibrated")
 
 
 O20 = "last mean_ret vol drift band_z momentum autocorr rsi macd_hist extremeness atr parkinson_vol williams_r stoch_k cci_tp vol_z trade_intensity signed_flow intrabar_pressure platform"

@@ -428,44 +428,84 @@ def test_embeddings(spark):
     assert embedding_dedup.link_embeddings(table.limit(0)).count() == 0
 
 
+def backoff_by_hand(texts, trained):
+    """Counts, priors, and a walk along states and failure arcs, one token at a time."""
+    tokens = [["<s>", *low(t), None] for t in texts]
+    count = [Counter(), Counter(), Counter()]
+    for t, known in zip(tokens, trained):
+        if known:
+            for n in (1, 2, 3):
+                count[n - 1].update(tuple(t[k : k + n]) for k in range(1 if n == 1 else 0, len(t) - n + 1))
+    total, distinct = sum(count[0].values()), len(count[0])
+    states = [{**{g: c for g, c in count[0].items() if g != (None,)}, ("<s>",): sum(trained)}, {g: c for g, c in count[1].items() if g[-1] is not None}]
+    priors = [lm_scoring.fit_prior(list(Counter(st.values()).items()), sum(c == 1 for c in count[k + 1].values())) for k, st in enumerate(states)]
+
+    def weight(state, token):
+        if not state:
+            return (count[0][token,] + 0.1) / (total + 0.1 * (distinct + 1))
+        c, m, suffix = states[len(state) - 1][state], priors[len(state) - 1], weight(state[1:], token)
+        if (*state, token) in count[len(state)]:
+            return (count[len(state)][*state, token] + m * suffix) / (c + m)
+        return m / (c + m) * suffix  # the failure arc
+
+    def follow(state, token):
+        state = (*state, token)[-2:]
+        while state and not states[len(state) - 1].get(state, 0):
+            state = state[1:]
+        return state
+
+    out = []
+    for t in tokens:
+        state, score, base = ("<s>",) if sum(trained) else (), 0.0, 0.0
+        for token in t[1:]:
+            score += np.log10(weight(state, token))
+            base += np.log10(weight((), token))
+            state = follow(state, token)
+        out.append((len(t) - 1, sum(count[0][w,] > 0 for w in t[1:]), total, base, score))
+    return out, weight, states, {w for (w,) in count[0]}
+
+
 def test_lm_scoring(docs, empty):
-    got = lm_scoring.score_texts(docs).collect()
     fold = lambda k: k is not None and zlib.crc32(str(k).encode()) % 10 != 0
-    tokens = [["<s>", *low(r[1]), None] for r in ROWS]
-    c, pair = Counter(), Counter()
-    for r, t in zip(ROWS, tokens):
-        if fold(r[0]):
-            c.update(t[1:])
-            pair.update(zip(t, t[1:]))
-            c["<s>"] += 1
-    total = sum(n for w, n in c.items() if w != "<s>")
-    v = len(c) - 1
+    got = lm_scoring.score_texts(docs).collect()
+    by_hand, weight, states, known = backoff_by_hand([r[1] for r in ROWS], [fold(r[0]) for r in ROWS])
     want = {}
-    for r, t in zip(ROWS, tokens):
-        base = score = 0.0
-        for u, w in zip(t, t[1:]):
-            p = (c[w] + 0.1) / (total + 0.1 * (v + 1))
-            base += np.log10(p)
-            score += np.log10(lm_scoring.SEEN * pair[u, w] / c[u] + (1 - lm_scoring.SEEN) * p if c[u] else p)
-        want.setdefault(r[0], []).append((not fold(r[0]), len(t) - 1, sum(c[w] > 0 for w in t[1:]), total, base, score))
+    for r, w in zip(ROWS, by_hand):
+        want.setdefault(r[0], []).append((not fold(r[0]), *w))
     assert len(got) == len(ROWS)
     for r in got:
-        assert any(tuple(r)[1:5] == w[:4] and r.base_score == pytest.approx(w[4]) and r.score == pytest.approx(w[5]) for w in want[r.doc_id])
+        assert any(tuple(r)[1:5] == w[:4] and r.base_score == pytest.approx(w[4]) and r.score == pytest.approx(w[5]) for w in want[r.doc_id]), r
     assert lm_scoring.score_texts(empty).count() == 0
+    # from any state, all known tokens and the unknown one add up to one
+    for state in [(), *list(states[0])[:3], *list(states[1])[:5]]:
+        assert sum(weight(state, w) for w in known) + weight(state, "never seen") == pytest.approx(1)
 
 
-def test_pair_model_adds_up_to_one(spark):
-    """After a seen word, the probabilities of all seen words, the end and the unseen share sum to one."""
-    table = spark.createDataFrame([(1, "a b a c"), (2, "b a")], "doc_id long, text string")
+def test_lm_scoring_without_training_texts(docs):
     import pyspark.sql.functions as F
 
-    probe = spark.createDataFrame([(1, "a b a c"), (2, "b a"), *[(10 + k, f"a {w}") for k, w in enumerate("abcq")], (20, "a")], "doc_id long, text string")
-    s = {r.doc_id: r.score for r in lm_scoring.score_texts(probe, F.col("doc_id") < 10).collect()}
-    n, v = 8, 4
-    end = lambda w: s[20] - s[20]
-    first = np.log10(0.2 * 1 / 2 + 0.8 * (3.1) / (n + 0.1 * (v + 1)))  # p(a | begin)
-    assert s[20] - first == pytest.approx(np.log10(0.2 * 1 / 3 + 0.8 * 2.1 / (n + 0.1 * (v + 1))))
-    assert end("a") == 0 and table.count() == 2
+    got = lm_scoring.score_texts(docs, F.lit(False)).collect()
+    assert len(got) == len(ROWS) and all(r.score == r.base_score == 0 and r.train_tokens == 0 and r.held_out for r in got)
+
+
+def test_lm_scoring_in_many_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 30))) for _ in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    import pyspark.sql.functions as F
+
+    want, *_ = backoff_by_hand(texts, [k % 3 > 0 for k in range(200)])
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(lm_scoring, "ROW_BYTES", 100)
+    got = {r.doc_id: r for r in lm_scoring.score_texts(table, F.col("doc_id") % 3 > 0).collect()}
+    assert all(got[k].score == pytest.approx(w[4]) and got[k].n_known == w[1] for k, w in enumerate(want))
+
+
+def test_prior_gives_failure_arcs_their_share():
+    states = [(1, 500), (10, 30), (1000, 2)]
+    m = lm_scoring.fit_prior(states, 700)
+    assert sum(k * c * m / (c + m) for c, k in states) == pytest.approx(700)
+    assert lm_scoring.fit_prior([], 0) > 0
 
 
 def test_chains_find_the_best_order():

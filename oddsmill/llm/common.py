@@ -94,5 +94,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("no end of the rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -259,35 +259,73 @@ def _across(large: DataFrame, parts: DataFrame, short: DataFrame, rows: DataFram
     return links, n_links
 
 
-def _regions(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(region, node) with two to about REGION nodes each, (leader, node) pairs of every region that was too large, and
-    (region, node) of those that were at BASE, which hold all deeper ones."""
-    step = 4  # bytes of a hash
-    at = lambda depth: F.xxhash64(F.lit(depth), F.col("tree"), F.substring("order", 1, depth * step))
-    level = reps.select("node", F.posexplode(F.array(*[F.substring("sign", 1 + t * DEPTH * step, DEPTH * step) for t in range(TREES)])).alias("tree", "order"))
-    small, stars, made = [], [], []
+FOREST = "kind int, region long, node long, leader long"
+#: What a row of the forest's table says: a member of a region, a leader of a large run, a member of a region that was large.
+MEMBER, STAR, LARGE = range(3)
+
+
+def _runs(batches: Iterator) -> Iterator:
+    """Rows (tree, order, node) in sorted order to regions: runs of neighbours by their longest common prefixes.
+
+    A run of two to REGION nodes with BASE hashes in common is a region; a larger one is held against its leader and parted
+    where the common prefixes are shorter by one hash, down to DEPTH, where nodes with equal orders go on in stretches. A
+    run at either end of the rows may go on in the next part of the order: its rows are given as a region, which meets its
+    other half by name, and as rows of a large one.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from .shingles import PLACES, mix
+
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    tree = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])
+    order = np.frombuffer(b"".join(x for b in held for x in b.column(1).to_pylist()), "<u4").reshape(len(tree), DEPTH)
+    node = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in held])
+    common = np.cumprod((order[1:] == order[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1).sum(1)
+    name = tree.astype(np.uint64) + np.uint64(1)
+    names = []  # of the prefix of each depth
+    for k in range(DEPTH):
+        name = mix(name * np.uint64(PLACES[0]) + order[:, k].astype(np.uint64) * np.uint64(PLACES[1]) + np.uint64(k))
+        names.append(name.view(np.int64))
+    out: list[list] = [[], [], [], []]
+
+    def put(kind, region, nodes, leader=None):
+        for column, x in zip(out, (np.full(len(nodes), kind), region, nodes, nodes if leader is None else leader)):
+            column.append(x)
+
+    active = np.ones(len(tree), bool)
     for depth in range(BASE, DEPTH + 1):
-        level = level.withColumn("region", at(depth))
-        sizes = level.groupBy("region").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-        level = scratch.save(level.join(growing(sizes), "region"), f"level-{depth}")
-        made.append(f"level-{depth}")
-        small.append(level.where(F.col("n") <= REGION).select("region", "node"))
-        level = level.where(F.col("n") > REGION)
+        run = np.concatenate([[0], np.cumsum(common < depth)])
+        n = np.bincount(run)[run]
+        region = names[depth - 1]
+        edge = (run == 0) | (run == run[-1]) if depth == BASE else np.zeros(len(run), bool)
+        small = active & ((n > 1) | edge) & (n <= REGION)
+        put(MEMBER, region[small], node[small])
+        put(LARGE, region[edge & (n <= REGION)], node[edge & (n <= REGION)])
+        active &= n > REGION
         if depth == BASE:
-            large = level.select("region", "node")
-        stars.append(level.where("node <> leader").select("leader", "node"))
-        if depth == DEPTH:  # texts alike in a whole order: dealt by hash, and all held against the leader
-            # a power of two of shares by one hash, so that texts share a deal in every order or in few
-            shares = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / (REGION / 2)))).cast("long")
-            deal = F.pmod(F.xxhash64(F.lit(7), "node"), shares)
-            small.append(level.select(F.xxhash64("region", deal).alias("region"), "node"))
-        level = level.drop("n", "leader", "region")
-    regions, star = small[0], stars[0]
-    for s in small[1:]:
-        regions = regions.unionByName(s)
-    for s in stars[1:]:
-        star = star.unionByName(s)
-    return regions, star, large
+            put(LARGE, region[active], node[active])
+        starts = np.flatnonzero(np.diff(run, prepend=-1))
+        least = np.minimum.reduceat(node, starts)[run]
+        star = active & (node != least)
+        put(STAR, region[star], node[star], least[star])
+    place = np.arange(len(run)) - starts[run]
+    region = mix(names[-1].view(np.uint64) * np.uint64(PLACES[2]) + (place // (REGION // 2)).astype(np.uint64)).view(np.int64)
+    put(MEMBER, region[active], node[active])
+    columns = [np.concatenate(c) for c in out]
+    for k in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000], t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["kind", "region", "node", "leader"])
+
+
+def _forest(reps: DataFrame) -> DataFrame:
+    """The runs of all sorted orders: one shuffle by ranges, which cut a run of a third of all nodes to many tasks."""
+    width = DEPTH * 4
+    orders = F.array(*[F.substring("sign", 1 + t * width, width) for t in range(TREES)])
+    n_parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = reps.select(F.posexplode(orders).alias("tree", "order"), "node")
+    return rows.repartitionByRange(n_parts, "tree", "order", "node").sortWithinPartitions("tree", "order", "node").mapInArrow(_runs, FOREST)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,10 +335,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     (doc_id = component_id). Null, empty and blank texts have no shingles and stand alone. A row with a null id
     gets its n_shingles, a null component, and is kept. Rows of one id are one document.
 
-    Documents with equal sets are one node. In each of TREES sorted signature orders, neighbours with a common
-    prefix of BASE hashes make a region; a region of more than REGION nodes is held against its leader (its
-    least node, so that the orders agree on it and a large group gives a few pairs a text) and cut at the next
-    depth. Within regions, pairs are chosen by their whole signatures, confirmed on the full sets, and what is still apart
+    Documents with equal sets are one node. In each of TREES sorted signature orders, neighbours whose longest common
+    prefixes have BASE hashes or more make a region; a region of more than REGION nodes is held against its leader (its
+    least node, so that the orders agree on it and a large group gives a few pairs a text) and parted where the common
+    prefixes are shorter, as deep as that region needs. Within regions, pairs are chosen by their whole signatures, confirmed on the full sets, and what is still apart
     afterwards is paired once more. Last, what is still apart in a region that was too large at BASE is compared in
     pairs of blocks, so every two texts that share a prefix of BASE hashes are compared or linked; no region, bucket
     or candidate list is capped. What is missed: two texts at a similarity of 0.85 share no prefix with probability
@@ -313,10 +351,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     some = signed.where("doc_id is not null and digest is not null")
     reps = some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sign").alias("sign"))
     reps = scratch.save(reps, "reps")
-    regions, stars, large = _regions(reps.select("node", "sign"), scratch)
-    large = scratch.save(large, "large")
+    forest = scratch.save(_forest(reps.select("node", "sign")), "forest")
+    stars = forest.where(F.col("kind") == STAR).select("leader", "node").distinct()
+    large = forest.where(F.col("kind") == LARGE).select("region", "node").distinct()
     short = reps.select("node", "sign").mapInArrow(_shorten, "node long, s binary")
-    regions = scratch.save(regions.join(growing(short), "node"), "regions")
+    members = forest.where(F.col("kind") == MEMBER).select("region", "node").distinct()
+    regions = scratch.save(members.join(growing(short), "node"), "regions")
     by_region = lambda d: d.repartition("region").sortWithinPartitions("region", "node")
     pairs = "leader long, node long"
     flat = by_region(regions.select("region", "node", "s", F.lit(0).cast("long").alias("part")))
@@ -344,4 +384,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     out = signed.select("doc_id", "n_shingles", "digest").join(growing(reps.select("digest", "node")), "digest", "left").join(growing(parts), "node", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("part", "node", "doc_id").alias("c"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("c"))
-    return scratch.finish(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept")), "signed", "texts", "regions", "reps", "asked", "large")
+    return scratch.finish(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept")), "signed", "texts", "regions", "reps", "asked", "forest", "links", "parts", "more", "more-links", "all-parts", "across-0-links", "across-1-links", "parts-0", "parts-1")

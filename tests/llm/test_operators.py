@@ -343,6 +343,29 @@ def test_minhash_forest_family_far_from_its_leaders(spark):
     assert len({got[1000 + k] for k in range(150)}) == 1
 
 
+@pytest.mark.parametrize("region", [48, 6])
+def test_minhash_forest_of_one_template(spark, monkeypatch, region):
+    """All texts share a template and are near the threshold to each other; planted pairs are over it. No pair is lost."""
+    monkeypatch.setattr(minhash_forest, "REGION", region)
+    rng = random.Random(21)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for at in rng.sample(range(2, 198), 6):
+            w[at] = f"a{k}x{at}"
+        again = list(w)
+        again[rng.randrange(3, 197)] = f"b{k}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(again))]
+    sets = {k: shingle_set(text, 3) for k, text in rows}
+    for percent in (85, 93):
+        got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent).collect()}
+        links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        part = parts_of(len(sets), links)
+        assert len(links) >= 150 and got == {k: part[k] for k in sets}
+    assert len(set(part)) > 100
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for n, letters in ((1, 3), (2, 2), (50, 1), (200, 2), (2000, 3), (3000, 1), (4000, 256)):

@@ -13,13 +13,15 @@ from .shingles import PLACES, Shingler, mix
 
 #: Text bytes of a block at least, what one task holds with its part of the automaton; and bytes of a block for each
 #: bucket of keys, so that the rows which blocks send to buckets stay in proportion to the input.
-BLOCK_BYTES, ROW_BYTES = 12_000_000, 2048
+BLOCK_BYTES, ROW_BYTES = 10_000_000, 2048
 #: Smoothing of single words.
 ADD = 0.1
 #: The end token, and the state in which a text begins.
 END, BEGIN = 0x517CC1B727220A95, 0x2545F4914F6CDD1D
 #: Orders above single words, by name: runs of two and of three tokens, whose first ones are a state.
 ORDERS = ("words", "pairs", "triples")
+#: Bits of a key of three tokens: among 10^12 different ones, one in 70,000 shares its key. Shorter runs have all 64.
+TRIPLE_BITS = 56
 #: Bounds of the prior of an order.
 LEAST_PRIOR, MOST_PRIOR = 1e-3, 1e6
 
@@ -106,6 +108,7 @@ class Tokens:
         earlier = np.concatenate([[np.uint64(0)], self.pairs[:-1]])
         self.later = np.flatnonzero(~first)  # places of tokens that end a run of three
         self.triples = mix(earlier[self.later] * np.uint64(PLACES[2]) + self.words[self.later] * np.uint64(PLACES[3]))
+        self.triples &= np.uint64((1 << 64) - (1 << 64 - TRIPLE_BITS))
         self.in_training = np.repeat(self.trained, self.ends - self.starts)
 
     def keys(self, which: str):

@@ -8,12 +8,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import vocabulary_path
+from .common import Scratch, vocabulary_path
 
 #: Texts of a chunk: the unit whose sums come together again.
 MAX_ROWS = 32_768
 #: A pre-token in more than this share of a chunk's texts is hot; its postings go to one bucket for each HOT_CHUNKS chunks.
 HOT_SHARE, HOT_CHUNKS = 1 / 8, 64
+#: Pre-tokens whose pieces a task remembers.
+MEMO = 1_000_000
 #: Characters in which NFC changes nothing, lower case is one to one and the classes below are complete.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ɏ]*")
 _L, _N = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -153,6 +155,8 @@ def _sums(path: str):
                     out.append({k: row[k] for k in ("chunk", "doc_ids", "n_bytes")})
                     continue
                 words = pa.input_stream(pa.BufferReader(row["words"]), compression="zstd").read().decode("utf-8", "surrogatepass").split("\n")
+                if len(pieces) > MEMO:
+                    pieces.clear()
                 new = [w for w in words if w not in pieces]
                 pieces.update(zip(new, (len(x.ids) for x in t.encode_batch_fast(new, add_special_tokens=False))))
                 in_texts, text, freq = _unpack(row["lists"], "<u4", "<u2", "<u4")
@@ -194,8 +198,11 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
     exists, and a pre-token in most texts is dealt to one bucket for each HOT_CHUNKS tasks.
     """
     path, spark = vocabulary_path(vocabulary), docs.sparkSession
+    scratch = Scratch(spark, "tokens")
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lists = rows.mapInArrow(_lists(path, n_buckets), LISTS)
+    # chunks number the rows as they come, so the lists are written once: a task that runs again reads the same ones
+    lists = scratch.save(rows.mapInArrow(_lists(path, n_buckets), LISTS), "lists")
     sums = lists.repartition(n_buckets, "bucket").mapInArrow(_sums(path), SUMS)
-    return sums.groupBy("chunk").applyInPandas(_totals(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    totals = sums.groupBy("chunk").applyInPandas(_totals(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return scratch.finish(totals, "lists")

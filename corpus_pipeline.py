@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from oddsmill.llm import language_id, minhash_forest, mixing, packing, suffix_dedup
 from oddsmill.llm.common import growing
 
-#: Bytes of a repeat: fifty words of short ones, so that a passage of over fifty words is cut wherever it stands again.
-REPEAT_BYTES = 200
+#: Bytes of a repeat: fifty words of five bytes each, so that a passage of over fifty words is cut wherever it stands again.
+REPEAT_BYTES = 250
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 

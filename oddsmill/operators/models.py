@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, logistic
 from . import evaluate
+from .windows import HORIZON
 
 
 def _vector(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -36,8 +37,13 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", l2:
 
 
 def fit_gbdt(rows: DataFrame, features: list[str], label: str = "label", rounds: int = 10, depth: int = 3):
-    """Boosted trees on raw features; the last tenth of training rows by `tfrac` stops them early."""
-    train = _vector(rows.where("part = 'train'").withColumn("stop", F.col("tfrac") > 0.7), features)
+    """Boosted trees on raw features; the last tenth of training rows by `tfrac` stops them early. Rows whose labels reach
+    into that tenth (HORIZON steps of 1 / `n` before it) are left out."""
+    train = rows.where("part = 'train'")
+    cut = train.agg(F.percentile_approx("tfrac", F.lit(0.9), 10_000)).first()[0]
+    stop = F.col("tfrac") > F.lit(cut)
+    train = train.withColumn("stop", stop).where(stop | (F.col("tfrac") + HORIZON / F.col("n") <= F.lit(cut)))
+    train = _vector(train, features)
     model = GBTClassifier(featuresCol="raw", labelCol=label, maxIter=rounds, maxDepth=depth, validationIndicatorCol="stop", seed=7).fit(train)
     return lambda df: model.transform(_vector(df, features)).withColumn("prob", _probability(df)).drop("raw", "rawPrediction", "probability", "prediction")
 

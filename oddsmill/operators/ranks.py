@@ -7,12 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame, value: str, parts: int) -> DataFrame:
+def _parts(df: DataFrame) -> int:
+    """Ranges to cut to: more on larger clusters, within what approximate quantiles tell apart."""
+    return max(64, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _cut(df: DataFrame, value: str, parts: int | None) -> DataFrame:
     """Rows with `_b`, their range of values, and `_before`, the rows of all lower ranges.
 
     The ranges come from approximate quantiles, so they hold about equal numbers; any bounds would give right ranks.
     Equal values share a range.
     """
+    parts = parts or _parts(df)
     shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
     bounds = df.agg(F.percentile_approx(value, shares, 10_000).alias("b")).first()["b"] or []
     cut = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
@@ -22,14 +28,22 @@ def _cut(df: DataFrame, value: str, parts: int) -> DataFrame:
     return df.join(F.broadcast(counts.select("_b", before.alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_total"))), "_b")
 
 
-def row_index(df: DataFrame, value: str, tie: str, parts: int = 64) -> DataFrame:
+def row_index(df: DataFrame, value: str, tie: str, parts: int | None = None) -> DataFrame:
     """`i`, the place of each row by (value, tie) from 0, and `n`, the number of rows."""
     d = _cut(df, value, parts)
     return d.withColumns({"i": F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy(value, tie)) - 1, "n": F.col("_total")}).drop("_b", "_before", "_total")
 
 
-def average_rank(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
+def average_rank(df: DataFrame, value: str, parts: int | None = None) -> DataFrame:
     """`rank` from 1, the mean of the places of equal values."""
     d = _cut(df, value, parts)
     ties = F.count("*").over(W.partitionBy("_b", value))
     return d.withColumn("rank", F.col("_before") + F.rank().over(W.partitionBy("_b").orderBy(value)) + (ties - 1) / 2).drop("_b", "_before", "_total")
+
+
+def share_at_or_below(df: DataFrame, value: str, parts: int | None = None) -> DataFrame:
+    """`share`, the part of all rows whose value is at most the row's own."""
+    d = _cut(df, value, parts)
+    ties = F.count("*").over(W.partitionBy("_b", value))
+    below = F.col("_before") + F.rank().over(W.partitionBy("_b").orderBy(value)) - 1
+    return d.withColumn("share", (below + ties) / F.col("_total")).drop("_b", "_before", "_total")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranks
 from ..functions.scalars import clamp, saturate
 
 
@@ -110,9 +111,9 @@ def book_stats(levels: DataFrame, depth: int = 10) -> DataFrame:
     )
 
 
-def percentile_of(values: DataFrame, value: str) -> Column:
-    """Share of the population at or below each member."""
-    return F.cume_dist().over(W.orderBy(value))
+def percentile_of(values: DataFrame, value: str) -> DataFrame:
+    """Adds `share`, the part of the population at or below each member; nulls count as the lowest."""
+    return ranks.share_at_or_below(values, value)
 
 
 def correlation(x: Column, y: Column) -> Column:

@@ -11,7 +11,7 @@ FEATURES = ["mean_ret", "vol", "drift", "band_z", "momentum", "rsi", "stoch_k"]
 
 
 def _rows(d):
-    f = windows.price13(d.bars).join(windows.labelled(d.bars).select("market_id", "bar_ts", "tfrac"), ["market_id", "bar_ts"])
+    f = windows.price13(d.bars).join(windows.labelled(d.bars).select("market_id", "bar_ts", "tfrac", "n"), ["market_id", "bar_ts"])
     return splits.out_of_time(f)
 
 

@@ -213,7 +213,7 @@ def _(d):
 @query("percentile_of", "select market_id, cume_dist() over (order by abs_move) as share from cross_s", "share")
 def _(d):
     cross = stats.cross_section(d.market)
-    return cross.select("market_id", stats.percentile_of(cross, "abs_move").alias("share"))
+    return stats.percentile_of(cross.select("market_id", "abs_move"), "abs_move").select("market_id", "share")
 
 
 @query("cross_section", "select * from cross_s", "volume_ratio abs_move")

@@ -96,7 +96,8 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     vec_id reachable, itself included), kept (vec_id = component_id). Vectors that are null, empty, zero or hold
     a null or a non-finite number, and vectors with a null label, link with nothing; so do vectors of different
     lengths. Rows that repeat an id are vectors of their own: links between them count, and each shows the links
-    of all and their one component. A row with a null id links with nothing and has a null component and kept.
+    of all and their one component. A row with a null id links with nothing and has a null component and kept. An empty table
+    gives no rows.
 
     Chord distance of unit vectors is a metric, and cosine >= c is distance <= sqrt(2 - 2c). Each label has a
     pivot for every CELL_ROWS vectors. A vector is at home with its nearest pivot and copied to the cells that the

@@ -333,7 +333,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     Returns one row for each input row: doc_id, n_shingles, component_id (the least id reachable by links), kept
     (doc_id = component_id). Null, empty and blank texts have no shingles and stand alone. A row with a null id
-    gets its n_shingles, a null component, and is kept. Rows of one id are one document.
+    gets its n_shingles, a null component, and is kept. Rows of one id are one document. Texts are taken whole, however
+    long; an empty table gives no rows.
 
     Documents with equal sets are one node. In each of TREES sorted signature orders, neighbours whose longest common
     prefixes have BASE hashes or more make a region; a region of more than REGION nodes is held against its leader (its

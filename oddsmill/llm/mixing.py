@@ -125,7 +125,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     up), taken (size times copies) and shards (array<int>, one for each copy). Sources in code point order, null
     last as a source of its own, take the weights in turn. A null text has size 0 and is never short of room; a
     source of size 0 has target 0. Rows of one id and source share their block and part, so they are taken
-    together. The same table gives the same mix, however it is partitioned.
+    together; a very long text is one unit of its size. The same table gives the same mix, however it is partitioned; an
+    empty table gives no rows.
 
     Each source's rows fall by a hash of the id into N_BLOCKS blocks. Whole passes and then permuted blocks are
     drawn up to the target, one block only in part (by its own N_BLOCKS parts). The exact block quotas of all

@@ -46,7 +46,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Null texts count as empty; empty texts have no words and fail few_words. Texts are taken whole, rows one by
     one (repeats and null ids stay), and no other column is read. Everything is a built-in expression on the
-    row: nothing is shuffled, however large a group of copies is.
+    row: nothing is shuffled, however large a group of copies is. An empty table gives no rows.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     d = d.select("doc_id", "_t", F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_words"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)).alias("_lines"))

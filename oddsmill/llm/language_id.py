@@ -22,6 +22,8 @@ MAX_LANGS = 1024
 #: Distinct words that a task remembers, and cells (words times letters) of one group in a forward pass.
 MEMO, CELLS = 400_000, 60_000
 EDGE = "▁"
+#: Characters of texts that are cut to words at a time; a longer text is a run of its own.
+RUN_CHARS = 500_000
 #: Places between two rescalings: a place weighs at least (ALPHA / corpus) ** 4, so four stay within a double.
 RESCALE = 4
 
@@ -34,6 +36,23 @@ def words_of(text: str) -> list[str]:
     return [w for w in LETTERS.findall(text) if w.isalpha() or any(map(str.isalpha, w))]
 
 
+def _runs(texts) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Words of a column's texts in runs of RUN_CHARS characters, with their places; texts without a word are left out."""
+    at, found, size = [], [], 0
+    for k, text in enumerate(texts):
+        text = text.as_py() or ""
+        words = words_of(text)
+        if words:
+            at.append(k)
+            found.append(words)
+            size += len(text)
+            if size > RUN_CHARS:
+                yield at, found
+                at, found, size = [], [], 0
+    if at:
+        yield at, found
+
+
 def _words(batches: Iterator) -> Iterator:
     """Distinct words of each language in a task, with their counts."""
     from collections import Counter
@@ -50,11 +69,16 @@ def _words(batches: Iterator) -> Iterator:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array(counts[k : k + 50_000], pa.int64())], names=["lang", "word", "n"])
         seen.clear()
 
+    size = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            seen.setdefault(lang, Counter()).update(words_of(text.as_py()))
-        if sum(map(len, seen.values())) > MEMO:
-            yield from flush()
+            text = text.as_py()
+            seen.setdefault(lang, Counter()).update(words_of(text))
+            size += len(text)
+            if size > RUN_CHARS:
+                size = 0
+                if sum(map(len, seen.values())) > MEMO:
+                    yield from flush()
     yield from flush()
 
 
@@ -307,17 +331,13 @@ def _predict(model, least: float | None = None):
             return np.add.reduceat(rows[at], np.cumsum([0, *map(len, texts[:-1])]))
 
         for batch in batches:
-            n, told = batch.num_rows, []
+            n = batch.num_rows
             langs, scores = ["und"] * n, [0.0] * n
-            texts = [words_of(t.as_py() or "") for t in batch.column(1)]
-            some = [k for k in range(n) if texts[k]] if m.langs else []
-            for k in range(0, len(some), 256):
-                told += [sums([texts[j] for j in some[k : k + 256]])]
-            if told:
-                x = np.concatenate(told)
+            for at, texts in _runs(batch.column(1)) if m.langs else ():
+                x = sums(texts)
                 best = x.argmax(1)
                 share = 1 / np.exp(x - x.max(1, keepdims=True)).sum(1)
-                for j, b, s in zip(some, best.tolist(), share.tolist()):
+                for j, b, s in zip(at, best.tolist(), share.tolist()):
                     langs[j], scores[j] = m.langs[b], s
             if least is None:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])

@@ -53,6 +53,16 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
 
+    def drop_but(self, *names: str) -> None:
+        """Drops every table but these, after a failure as after success."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(conf)
+        if fs.exists(root):
+            for found in fs.listStatus(root):
+                if found.getPath().getName() not in names:
+                    fs.delete(found.getPath(), True)
+
     def finish(self, df: DataFrame, *names: str) -> DataFrame:
         """Keeps df, which is small, and drops the tables it came from."""
         out = self.save(df, "result")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, lm_scoring, minhash_forest, mixing, packing, passage_chains, quality_rules, suffix_dedup, token_counts
+from . import embedding_dedup, language_id, ledger_sql, lm_scoring, merkle, minhash_forest, mixing, packing, passage_chains, quality_rules, sharding, spelling, suffix_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +59,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    m = merkle.manifest(_read(spark, sf_dir, "documents"), tampered, changed={"n_chars": F.col("n_chars") + 1})
+    folded = merkle.fold(F.coalesce("altered", "leaf"), F.col("turns"), F.col("siblings"))
+    m = m.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return m.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(_read(spark, sf_dir, "documents"))
+
+
+def op13_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(_read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -70,9 +87,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passage_chains": op8_passage_chains,
     "op9_pattern_packing": op9_pattern_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_bounded_ring": op13_bounded_ring,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": ledger_sql.MANIFEST,
+    "op12_spelling_variants": ledger_sql.SPELLING,
     "op5_quality_rules": r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (

@@ -148,6 +148,33 @@ def newest13(series: DataFrame, price: str = "close", key: str = "market_id", at
     return rows.join(last.select(key, (F.col(at) + 1).alias(at)), [key, at], "left_semi")
 
 
+def of_array(rows: DataFrame, prices: str) -> DataFrame:
+    """Adds the thirteen features of a price window that is held as an array, oldest first; null where it isn't full.
+
+    The same arithmetic as price13, over the values of one row: for streams and for windows that come ready.
+    """
+    p, n = F.col(prices), WINDOW
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    full = F.size(p) == n
+    d = rows.withColumn("_p", F.when(full, p)).withColumn("_d", F.when(full, F.zip_with(F.slice(p, 2, n - 1), F.slice(p, 1, n - 1), lambda b, a: b - a)))
+    d = d.withColumns({"mean_ret": _mean(F.col("_d")), "_m": _mean(F.col("_p")), "last": F.get("_p", n - 1)})
+    deviation = lambda a, m, k: F.sqrt(add(F.transform(a, lambda x: (x - m) * (x - m))) / (k - 1))
+    d = d.withColumns({"vol": deviation(F.col("_d"), F.col("mean_ret"), n - 1), "_s": deviation(F.col("_p"), F.col("_m"), n), "_c": F.transform("_d", lambda x: x - F.col("mean_ret")), "_falls": F.filter("_d", lambda x: x < 0), "activity": add(F.transform("_d", lambda x: F.abs(x)))})
+    num = add(F.zip_with(F.slice("_c", 1, n - 2), F.slice("_c", 2, n - 2), lambda a, b: a * b))
+    den = add(F.transform("_c", lambda x: x * x))
+    mad = _mean(F.transform("_p", lambda x: F.abs(x - F.col("_m"))))
+    low, span = F.array_min("_p"), F.array_max("_p") - F.array_min("_p")
+    macd = [float(c) * F.get("_p", n - 1 - k) for k, c in enumerate(coefficients(macd_histogram))]
+    falls = F.size("_falls")
+    d = d.withColumns({
+        "drift": F.col("last") - F.get("_p", 0), "band_z": F.when(F.col("_s") > 1e-9, (F.col("last") - F.col("_m")) / F.col("_s")).otherwise(0.0), "momentum": _mean(F.slice("_d", n - 4, 4)),
+        "autocorr": F.when(den > 1e-12, clamp(num / den, -1, 1)).otherwise(0.0), "rsi": F.when(F.col("activity") > 1e-9, add(F.col("_d")) / F.col("activity")).otherwise(0.0),
+        "cci": F.when(mad >= 1e-9, clamp((F.col("last") - F.col("_m")) / (0.015 * mad) / 100, -5, 5)).otherwise(0.0), "macd_hist": sum(macd[1:], macd[0]),
+        "stoch_k": F.when(span >= 1e-9, (F.col("last") - low) / span).otherwise(0.5), "downside_vol": F.when(falls >= 2, deviation(F.col("_falls"), _mean(F.col("_falls")), falls)).otherwise(0.0),
+    })
+    return d.drop("_p", "_d", "_m", "_s", "_c", "_falls")
+
+
 def _window_of_bars(bars: DataFrame, key: str) -> tuple[DataFrame, object, object, object]:
     """Bars with the window's close steps, deviations and ranges; the orders of the window, its steps and its last four."""
     w = order(key)

@@ -105,9 +105,12 @@ VIEWS["newest"] = VIEWS["feats"].replace("from anchors", "from tails")
 _x = "[" + ", ".join(f"({n} - {m!r}::double) / {float(s or 1)!r}::double" for n, m, s in zip(NET_FEATURES, NETWORK["mean"], NETWORK["std"])) + "]"
 
 
-@query("score_mlp", f"""with x as (select market_id, {_x} as x from newest), h as (select market_id, [greatest(0, list_dot_product(u.w, x) + u.b) for u in {_units(0)}] as h from x),
+SCORE_SQL = f"""with x as (select market_id, {_x} as x from newest), h as (select market_id, [greatest(0, list_dot_product(u.w, x) + u.b) for u in {_units(0)}] as h from x),
 g as (select market_id, [greatest(0, list_dot_product(u.w, h) + u.b) for u in {_units(1)}] as g from h), p as (select market_id, 1 / (1 + exp(-([list_dot_product(u.w, g) + u.b for u in {_units(2)}][1]) / {NETWORK["temperature"]})) as prob from g)
-select market_id, prob, case when prob > 0.5 then 'bullish' when prob < 0.5 then 'bearish' when prob is not null then 'neutral' end as direction, least(1, abs(prob - 0.5) * 2) as conviction from market left join p using (market_id)""", "prob conviction")
+select market_id, prob, case when prob > 0.5 then 'bullish' when prob < 0.5 then 'bearish' when prob is not null then 'neutral' end as direction, least(1, abs(prob - 0.5) * 2) as conviction from p"""
+
+
+@query("score_mlp", f"select market_id, prob, direction, conviction from market left join ({SCORE_SQL}) using (market_id)", "prob conviction")
 def _(d):
     scored = derivatives.network_signal(windows.newest13(d.bars), NET_FEATURES, NETWORK)
     return d.market.select("market_id").join(scored.select("market_id", "prob", "direction", "conviction"), "market_id", "left")

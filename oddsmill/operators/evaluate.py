@@ -44,9 +44,10 @@ def extremes(df: DataFrame, score: str = "prob", value: str = "fwd", tie: str =
     k = F.greatest(F.lit(1), F.floor(F.col("n") * q))
     d = d.where((F.col("i") < k) | (F.col("i") >= F.col("n") - k)).withColumn("top", F.col("i") >= F.col("n") - k).withColumn("k", k)
     rate = lambda top: F.avg(F.when(F.col("top") == top, (F.col(value) > 0).cast("double")))
-    mid = lambda top: F.median(F.when(F.col("top") == top, F.col(value)))
-    g = d.agg(rate(True).alias("top_up_rate"), rate(False).alias("bottom_up_rate"), mid(True).alias("top_median"), mid(False).alias("bottom_median"), F.max("k").alias("k"))
-    return g.withColumn("spread", F.col("top_up_rate") - F.col("bottom_up_rate"))
+    g = d.agg(rate(True).alias("top_up_rate"), rate(False).alias("bottom_up_rate"), F.max("k").alias("k"))
+    mid = ranks.quantiles(d, value, {"median": 0.5}, "top")
+    mid = mid.agg(F.max(F.when(F.col("top"), F.col("median"))).alias("top_median"), F.max(F.when(~F.col("top"), F.col("median"))).alias("bottom_median"))
+    return g.crossJoin(F.broadcast(mid)).withColumn("spread", F.col("top_up_rate") - F.col("bottom_up_rate"))
 
 
 def deciles(df: DataFrame, score: str = "prob", value: str = "fwd", tie: str = "seq") -> DataFrame:

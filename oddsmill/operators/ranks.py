@@ -47,3 +47,39 @@ def share_at_or_below(df: DataFrame, value: str, parts: int | None = None) -> Da
     ties = F.count("*").over(W.partitionBy("_b", value))
     below = F.col("_before") + F.rank().over(W.partitionBy("_b").orderBy(value)) - 1
     return d.withColumn("share", (below + ties) / F.col("_total")).drop("_b", "_before", "_total")
+
+
+#: Bins of the histogram that narrows the search for a rank.
+BINS = 1 << 16
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], group: str | None = None, bins: int = BINS) -> DataFrame:
+    """Exact quantiles (linear between neighbours) of each group, one column for each share; nulls don't count.
+
+    A distributed selection: distinct values are counted, a histogram of equal widths (a constant number of rows) tells
+    which bin holds each wanted rank, and only that bin's values are put in order. No task holds a whole group. There
+    are few groups; a group without values has no row, and a table without groups has one at least.
+    """
+    g = group or "_all"
+    d = df.select(*([F.col(group)] if group else [F.lit(0).alias(g)]), F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    counts = d.groupBy(g, "_v").agg(F.count("*").alias("_n"))
+    place = lambda x: F.lit(float(x)) * (F.col("_total") - 1)
+    whole = counts.groupBy(g).agg(F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), end(place(x)).cast("long").alias("k")) for name, x in shares.items() for end in (F.floor, F.ceil)])
+    # a row for each group and rank: two for each share at most
+    aims = whole.select(g, "_lo", "_hi", F.explode(F.array_distinct(wanted)).alias("_w")).select(F.col(g).alias("_g"), "_lo", "_hi", "_w.name", "_w.k")
+    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.width_bucket("_v", "_lo", "_hi", F.lit(bins))).otherwise(0)
+    held = counts.join(F.broadcast(aims), F.col(g) == F.col("_g")).groupBy("_g", "name", "k", bin_.alias("_bin")).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    w = W.partitionBy("_g", "name", "k")
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    narrow = held.withColumn("_before", before).where((F.col("_before") <= F.col("k")) & (F.col("k") < F.col("_before") + F.col("_n"))).drop("_n", "_bin")
+    some = counts.join(F.broadcast(narrow), (F.col(g) == F.col("_g")) & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    upto = F.col("_before") + F.sum("_n").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    found = some.withColumn("_upto", upto).where(F.col("_upto") > F.col("k")).groupBy("_g", "name", "k").agg(F.min("_v").alias("v"))
+    found = found.join(F.broadcast(whole.select(F.col(g).alias("_g2"), "_total")), F.col("_g") == F.col("_g2"))
+    out = []
+    for name, x in shares.items():
+        low, high = (F.max(F.when((F.col("name") == name) & (F.col("k") == end(place(x))), F.col("v"))) for end in (F.floor, F.ceil))
+        part = F.max(place(x) - F.floor(place(x)))
+        out.append((low + part * (high - low)).alias(name))
+    return found.groupBy(F.col("_g").alias(g)).agg(*out) if group else found.agg(*out)

@@ -41,7 +41,7 @@ def enrich(markets: DataFrame, board: DataFrame, flow: DataFrame, books: DataFra
     h = history.withColumnRenamed("n", "n_points")
     b = books.select(F.col("token").alias("market_id"), *[F.col(c).alias(f"b_{c}") for c in books.columns if c != "token"])
     m = markets.join(flow, "market_id", "left").join(b, "market_id", "left").join(h, "market_id", "left")
-    m = m.crossJoin(F.broadcast(stats.population(cross, "volume_ratio", "vr_"))).crossJoin(F.broadcast(stats.population(cross, "abs_move", "am_")))
+    m = m.crossJoin(F.broadcast(stats.populations(cross, {"vr_": "volume_ratio", "am_": "abs_move"})))
     base = F.greatest(F.col("volume1w") / 7, F.lit(1.0))
     return m.withColumns({
         "ratio": F.when(F.col("volume1w") / 7 >= 1000, F.col("volume24h") / (F.col("volume1w") / 7)),

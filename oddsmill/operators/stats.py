@@ -21,14 +21,24 @@ def describe(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def populations(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row of what robust z scores need of several columns: n, median, mad, mean, std, each with its prefix.
+
+    Medians are selected over ranges (see ranks.quantiles), all columns in one pass, their deviations in a second.
+    """
+    x = df.select(F.explode(F.array(*[F.struct(F.lit(p).alias("g"), F.col(c).cast("double").alias("x")) for p, c in columns.items()])).alias("s")).select("s.g", "s.x").where("x is not null")
+    medians = ranks.quantiles(x, "x", {"median": 0.5}, "g")
+    away = x.join(F.broadcast(medians), "g").select("g", F.abs(F.col("x") - F.col("median")).alias("x"))
+    mads = ranks.quantiles(away, "x", {"mad": 0.5}, "g")
+    m = x.groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std")).join(F.broadcast(medians), "g").join(F.broadcast(mads), "g")
+    m = m.withColumn("mad", 1.4826 * F.col("mad"))
+    one = lambda p, c: F.max(F.when(F.col("g") == p, F.col(c)))
+    return m.agg(*[(F.coalesce(one(p, c), F.lit(0)) if c == "n" else one(p, c)).alias(p + c) for p in columns for c in ("n", "median", "mad", "mean", "std")])
+
+
 def population(df: DataFrame, value: str, prefix: str = "") -> DataFrame:
-    """One row of what a robust z needs: n, median, mad, mean, std. Two aggregates; the first is broadcast back."""
-    x = df.select(F.col(value).alias("x")).where("x is not null")
-    first = x.agg(F.median("x").alias("median"))
-    out = x.crossJoin(F.broadcast(first)).agg(
-        F.count("x").alias("n"), F.first("median").alias("median"), (1.4826 * F.median(F.abs(F.col("x") - F.col("median")))).alias("mad"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std")
-    )
-    return out.select(*[F.col(c).alias(prefix + c) for c in out.columns])
+    """populations of one column."""
+    return populations(df, {prefix: value})
 
 
 def robust_z(x: Column, prefix: str = "") -> Column:

@@ -1,11 +1,13 @@
 """Features over the 16 rows before an anchor row, and labels after it.
 
 The window of anchor i is rows i-16 .. i-1; the label compares row i+4 with row i. Frames and lags over one ordering
-by key share a single sort. A key with very many rows can be cut into stretches that overlap by 16 rows.
+by key share a single sort. A key with very many rows is cut into stretches that overlap (over_stretches).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +39,62 @@ def labelled(series: DataFrame, price: str = "close", key: str = "market_id", at
     return s.withColumns({"label": (F.col("fwd") > 0).cast("int"), "tfrac": F.col("i") / F.col("n")}).drop("step")
 
 
+#: Rows of a key from which it may be cut, and rows of a stretch.
+HOT_ROWS, STRETCH_ROWS = 1_000_000, 250_000
+
+
+def hot_keys(rows: DataFrame, key: str = "market_id", least: int = HOT_ROWS) -> list:
+    """Keys with more rows than `least` and than a task's fair share: fewer of them than there are shuffle partitions."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    return [r[0] for r in n.where(F.col("n") > max(least, total / parts)).select(key).collect()] if total > least else []
+
+
+def over_stretches(f: Callable[[DataFrame, str], DataFrame], series: DataFrame, hot: list, key: str = "market_id", at: tuple[str, ...] = ("bar_ts",), rows: int = STRETCH_ROWS, before: int = WINDOW + 1, after: int = HORIZON + 1) -> DataFrame:
+    """f(series, key), with the hot keys cut in stretches of `rows` rows, so that a key with much of the tape is many tasks.
+
+    A stretch also holds the `before` rows ahead of it and the `after` rows behind it, and gives its own rows only: f may
+    look that far and no further. `at` orders a key's rows without ties, its first column is a number. f gets a struct in
+    place of the key, which its result must keep, beside `at`; `i`, `n` and `tfrac` are put right where it returns them.
+    """
+    if not hot:
+        return f(series, key)
+    lead, place = at[0], F.struct(*at)
+    some = series.where(F.col(key).isin(hot))
+    # places within a key: from its count of rows in ranges by approximate quantiles, and the place within a range
+    shares = F.array(*[F.lit(k / 256) for k in range(1, 256)])
+    cuts = some.groupBy(key).agg(F.percentile_approx(lead, shares, 10_000).alias("_cuts"))  # a row for each hot key
+    some = some.join(F.broadcast(cuts), key).withColumn("_cell", F.size(F.filter("_cuts", lambda x: x < F.col(lead)))).drop("_cuts")
+    held = some.groupBy(key, "_cell").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(key)
+    held = held.select(key, "_cell", F.coalesce(F.sum("_n").over(w.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(w).alias("_total"))
+    some = some.join(F.broadcast(held), [key, "_cell"])
+    some = some.withColumn("_i", F.col("_before") + F.row_number().over(W.partitionBy(key, "_cell").orderBy(*at)) - 1).drop("_cell", "_before")
+    own = F.floor(F.col("_i") / rows).cast("long")
+    ends = some.groupBy(key, own.alias("_s")).agg(F.min(place).alias("_lo"), F.max(place).alias("_hi"))
+    reach = F.array(own, F.when(F.col("_i") % rows >= rows - before, own + 1), F.when((F.col("_i") % rows < after) & (own > 0), own - 1))
+    some = some.withColumn("_s", F.explode(F.array_compact(reach))).join(ends, [key, "_s"])
+    start = F.greatest(F.col("_s") * rows - before, F.lit(0))
+    part = lambda s, lo, hi, a, n: F.struct(F.col(key).alias("key"), s.alias("s"), lo.alias("lo"), hi.alias("hi"), a.cast("long").alias("start"), n.cast("long").alias("n"))
+    kind = some.schema["_lo"].dataType
+    none = F.lit(None)
+    cut = some.withColumn("_key", part(F.col("_s"), F.col("_lo"), F.col("_hi"), start, F.col("_total"))).drop("_s", "_lo", "_hi", "_total", "_i")
+    rest = series.where(~F.coalesce(F.col(key).isin(hot), F.lit(False))).withColumn("_key", F.when(F.col(key).isNotNull(), part(F.lit(-1).cast("long"), none.cast(kind), none.cast(kind), F.lit(0), none)))
+    out = f(rest.unionByName(cut.select(*rest.columns)), "_key")
+    k = F.col("_key")
+    out = out.where(k["lo"].isNull() | ((place >= k["lo"]) & (place <= k["hi"])))
+    right = {}
+    if "i" in out.columns:
+        right["i"] = F.col("i") + k["start"]
+    if "n" in out.columns:
+        right["n"] = F.coalesce(k["n"], F.col("n"))
+    if "tfrac" in out.columns:
+        right["tfrac"] = (F.col("i") + k["start"]) / F.coalesce(k["n"], F.col("n"))
+    names = [c for c in out.columns if c != key]
+    return out.withColumns(right).select(*[k["key"].alias(key) if c == "_key" else F.col(c) for c in names])
+
+
 def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import outcome_label
-from ..operators import cohorts, ensemble, evaluate, splits, windows
+from ..operators import cohorts, ensemble, evaluate, ranks, splits, windows
 from .registry import VIEWS, query
 
 VIEWS["ranked_records"] = "select *, row_number() over (order by prob, seq) - 1 as i, count(*) over () as n from records"
@@ -140,17 +140,17 @@ VIEWS["anchor_rows"] = "select *, row_number() over (partition by market_id orde
 
 @query("split_oot_purged", "select market_id, bar_ts, case when m < 5 then 'train' when j < floor(m * 0.8::double) - 4 then 'train' when j >= floor(m * 0.8::double) then 'val' end as part from anchor_rows")
 def _(d):
-    return splits.out_of_time(windows.labelled(d.bars)).select("market_id", "bar_ts", "part")
+    return splits.out_of_time(d.windowed(windows.labelled)).select("market_id", "bar_ts", "part")
 
 
 @query("split_walk_forward", """select * from (select market_id, bar_ts, k::int as fold, case when j < floor(m / 5 * k) - 4 then 'train' when j >= floor(m / 5 * k) and j < floor(m / 5 * (k + 1)) then 'val' end as part from anchor_rows, range(1, 5) r(k) where m >= 5) where part is not null""")
 def _(d):
-    return splits.walk_forward(windows.labelled(d.bars)).select("market_id", "bar_ts", "fold", "part")
+    return splits.walk_forward(d.windowed(windows.labelled)).select("market_id", "bar_ts", "fold", "part")
 
 
 @query("split_embargo", "select market_id, bar_ts, case when i / n >= 0.8 then 'val' when i / n < 0.78 then 'train' end as part from anchors")
 def _(d):
-    return splits.embargo(windows.labelled(d.bars)).select("market_id", "bar_ts", "part")
+    return splits.embargo(d.windowed(windows.labelled)).select("market_id", "bar_ts", "part")
 
 
 @query("split_global_time", "select seq, row_number() over (order by ts, seq) - 1 < floor(count(*) over () * 0.8::double) as train from records")
@@ -165,18 +165,18 @@ def _(d):
 
 @query("class_weights", "select 0.5 / avg((fwd > 0)::int) as positive, 0.5 / (1 - avg((fwd > 0)::int)) as negative from anchors", "positive negative")
 def _(d):
-    return splits.class_weights(windows.labelled(d.bars))
+    return splits.class_weights(d.windowed(windows.labelled))
 
 
 @query("zscore_normaliser", """with r as (select a.*, case when m < 5 or j < floor(m * 0.8::double) - 4 then 'train' end as part from anchor_rows a)
 select 'fwd' as feature, avg(fwd) as mean, stddev_pop(fwd) as std from r where part = 'train' union all select 'step_std', avg(step_std), stddev_pop(step_std) from r where part = 'train'""", "mean std")
 def _(d):
-    return splits.train_stats(splits.out_of_time(windows.labelled(d.bars)), ["fwd", "step_std"])
+    return splits.train_stats(splits.out_of_time(d.windowed(windows.labelled)), ["fwd", "step_std"])
 
 
 @query("train_quantile_threshold", "select quantile_cont(prob, 0.7) as threshold from (select prob, row_number() over (order by ts, seq) - 1 < floor(count(*) over () * 0.7::double) as train from records) where train", "threshold")
 def _(d):
-    return evaluate.by_time(d.records, 0.7).where("train").agg(F.expr("percentile(prob, 0.7)").alias("threshold"))
+    return evaluate.by_time(d.records, 0.7).where("train").transform(ranks.quantiles, "prob", {"threshold": 0.7})
 
 
 @query("trade_decision", "select seq, case when prob >= 0.6 then 'SHORT' else 'FLAT' end as action, case when prob >= 0.6 then (prob - 0.6) / 0.4 else 0 end as size from records", "size")

@@ -49,7 +49,7 @@ VIEWS["deriv"] = f"""select market_id, bar_ts, {_agreeing("rets", "slow")} as tr
 
 @query("deriv_family25", "select * from deriv", " ".join(derivatives.NAMES))
 def _(d):
-    return derivatives.family25(d.bars)
+    return d.windowed(derivatives.family25)
 
 
 #: Fixed values of the published linear signal: (mean, deviation, weight) by feature, and the bias.
@@ -62,7 +62,7 @@ BIAS = -0.85657147
 
 @query("score_logistic_signal", f"select market_id, bar_ts, 1 / (1 + exp(-({BIAS} + " + " + ".join(f"{w!r}::double * (({n} - {m!r}::double) / {s!r}::double)" for n, (m, s, w) in LINEAR.items()) + "))) as prob from deriv", "prob")
 def _(d):
-    f = derivatives.family25(d.bars)
+    f = d.windowed(derivatives.family25)
     return f.select("market_id", "bar_ts", derivatives.linear_signal(f, LINEAR, BIAS).alias("prob"))
 
 
@@ -85,7 +85,7 @@ def _tree_sql(node: dict) -> str:
 
 @query("score_tree_dump", f"select market_id, bar_ts, 1 / (1 + exp(-({' + '.join(map(_tree_sql, TREES))}))) as prob from (select *, case when last > 0.3 then last end as sparse from deriv)", "prob")
 def _(d):
-    f = derivatives.family25(d.bars).withColumn("sparse", F.when(F.col("last") > 0.3, F.col("last")).otherwise(F.when(F.col("bar_ts") % 2 == 0, float("nan"))))
+    f = d.windowed(derivatives.family25).withColumn("sparse", F.when(F.col("last") > 0.3, F.col("last")).otherwise(F.when(F.col("bar_ts") % 2 == 0, float("nan"))))
     return f.select("market_id", "bar_ts", derivatives.tree_signal(TREES, TREE_FEATURES).alias("prob"))
 
 
@@ -210,11 +210,11 @@ def _(d):
     """Six families, 66 columns, at each labelled bar: those of snapshots are the newest before the bar, those of wallets
     belong to the trades before the bar's first one."""
     keys = ["market_id", "bar_ts"]
-    anchors = windows.labelled(d.bars).select(*keys, "fwd")
+    anchors = d.windowed(windows.labelled).select(*keys, "fwd")
     shots = windows.snapshots(d.tape, d.market.select("market_id", "created", "end"))
     shots = anchors.select(*keys).join(shots, "market_id").where(F.col("t") < F.col("bar_ts")).groupBy(*keys).agg(*[F.max_by(c, "t").alias(c) for c in _resolve_names])
     first = d.tape.groupBy("market_id", (F.floor(F.col("t") / 21600) * 21600).cast("long").alias("bar_ts")).agg(F.min_by("seq", F.struct("t", "seq")).alias("anchor"))
-    smart = fills.smart10(d.tape, cohorts.top_share(_board(d))).join(first, ["market_id", "anchor"])
+    smart = fills.smart10(d.tape, cohorts.top_share(_board(d)), hot=d.hot).join(first, ["market_id", "anchor"])
     cross = windows.crossmarket(d.market.withColumnRenamed("last", "price"))
-    parts = {"flow": (windows.flow11(d.bars), keys), "resolve": (shots, keys), "smart": (smart.select(*keys, *_smart_names), keys), "crossmarket": (cross.select("market_id", *_cross_names), ["market_id"]), "event": (_event(d), keys), "micro": (fills.micro14(fill_rows(d)).select(*keys, *_micro_names), keys)}
+    parts = {"flow": (d.windowed(windows.flow11), keys), "resolve": (shots, keys), "smart": (smart.select(*keys, *_smart_names), keys), "crossmarket": (cross.select("market_id", *_cross_names), ["market_id"]), "event": (_event(d), keys), "micro": (fills.micro14(fill_rows(d), hot=d.hot).select(*keys, *_micro_names), keys)}
     return families.side_by_side(anchors, {k: (rows.select(*on, *_ALL[k][1]), on) for k, (rows, on) in parts.items()})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boards, evaluate, fills, windows
+from ..operators import boards, evaluate, fills, ranks, windows
 from ..sources import scans
 from .board_queries import VIEWS  # the raw fills are among them
 from .evaluation_queries import _board
@@ -33,16 +33,16 @@ M14 = "effective_spread realized_spread fill_size_mean fill_size_cv large_fill_r
 
 @query("feat_micro14", "select * from micro", M14)
 def _(d):
-    return fills.micro14(fill_rows(d))
+    return fills.micro14(fill_rows(d), hot=d.hot)
 
 
 for _n, _c in {"effective_spread": "effective_spread", "realized_spread": "realized_spread", "large_fill_ratio": "large_fill_ratio", "maker_taker_hhi": "maker_hhi taker_hhi"}.items():
-    query(_n, f"select market_id, bar_ts, {', '.join(_c.split())} from micro", _c)(lambda d, c=_c: fills.micro14(fill_rows(d)).select("market_id", "bar_ts", *c.split()))
+    query(_n, f"select market_id, bar_ts, {', '.join(_c.split())} from micro", _c)(lambda d, c=_c: fills.micro14(fill_rows(d), hot=d.hot).select("market_id", "bar_ts", *c.split()))
 
 
 @query("price_impact", "select market_id, bar_ts, price_impact * 1e6 as price_impact from micro", "price_impact")
 def _(d):
-    return fills.micro14(fill_rows(d)).select("market_id", "bar_ts", (F.col("price_impact") * 1e6).alias("price_impact"))
+    return fills.micro14(fill_rows(d), hot=d.hot).select("market_id", "bar_ts", (F.col("price_impact") * 1e6).alias("price_impact"))
 
 
 S10 = "smart_net_flow smart_share smart_minus_dumb herding flow_imbalance crowding maker_taker_ratio whale_concentration last extremeness"
@@ -61,7 +61,7 @@ select market_id, anchor, coalesce(sum(net) filter (where smart), 0) / (sum(gros
 def _(d):
     from ..operators import cohorts
 
-    return fills.smart10(d.tape, cohorts.top_share(_board(d)))
+    return fills.smart10(d.tape, cohorts.top_share(_board(d)), hot=d.hot)
 
 
 L12 = "last mean_p drift vol momentum band_z rsi autocorr stoch_k range extremeness activity"
@@ -76,7 +76,7 @@ def _(d):
 
 
 for _n in ("stoch_k", "williams_r"):
-    query(_n, f"select market_id, bar_ts, {_n} from (select market_id, bar_ts, case when hi - lo >= 1e-9 then (last - hi) / (hi - lo) else -0.5 end as williams_r, case when hi - lo >= 1e-9 then (last - lo) / (hi - lo) else 0.5 end as stoch_k from (select market_id, bar_ts, row_number() over w - 1 as i, lag(close) over w as last, max(high) over f as hi, min(low) over f as lo from bars window w as (partition by market_id order by bar_ts), f as (partition by market_id order by bar_ts rows between 16 preceding and 1 preceding)) where i >= 16)", _n)(lambda d, c=_n: windows.range_features(d.bars).select("market_id", "bar_ts", c))
+    query(_n, f"select market_id, bar_ts, {_n} from (select market_id, bar_ts, case when hi - lo >= 1e-9 then (last - hi) / (hi - lo) else -0.5 end as williams_r, case when hi - lo >= 1e-9 then (last - lo) / (hi - lo) else 0.5 end as stoch_k from (select market_id, bar_ts, row_number() over w - 1 as i, lag(close) over w as last, max(high) over f as hi, min(low) over f as lo from bars window w as (partition by market_id order by bar_ts), f as (partition by market_id order by bar_ts rows between 16 preceding and 1 preceding)) where i >= 16)", _n)(lambda d, c=_n: d.windowed(windows.range_features).select("market_id", "bar_ts", c))
 
 
 @query("scan_monthly_files", "select year(ts) * 100 + month(ts) as month, count(*) as n from events where year(ts) * 100 + month(ts) in (select distinct year(ts) * 100 + month(ts) as m from events order by m limit 2) group by 1")
@@ -108,7 +108,7 @@ def _(d):
     from pyspark.sql import Window as W
 
     cut = evaluate.by_time(d.records, 0.7)
-    t = cut.where("train").agg(F.expr("percentile(flow, 0.7)").alias("threshold"))
+    t = ranks.quantiles(cut.where("train"), "flow", {"threshold": 0.7})
     rows = cut.where("not train").crossJoin(F.broadcast(t)).where("flow >= threshold").withColumn("net", -F.col("fwd") - 0.003)
     # equity within days, then what the days before left: no task holds all rows
     day = rows.withColumn("day", F.floor(F.col("ts") / 86400))

@@ -11,7 +11,7 @@ FEATURES = ["mean_ret", "vol", "drift", "band_z", "momentum", "rsi", "stoch_k"]
 
 
 def _rows(d):
-    f = windows.price13(d.bars).join(windows.labelled(d.bars).select("market_id", "bar_ts", "tfrac", "n"), ["market_id", "bar_ts"])
+    f = d.windowed(windows.price13).join(d.windowed(windows.labelled).select("market_id", "bar_ts", "tfrac", "n"), ["market_id", "bar_ts"])
     return splits.out_of_time(f)
 
 
@@ -96,7 +96,7 @@ CANDIDATES = ["band_z", "momentum", "rsi", "stoch_k"]
 @query("signal_eval", " union all ".join(f"""select '{f}' as feature, auc, abs(auc - 0.5) + 0.5 as strength, r from (select (sum(k) filter (where label = 1) - count(*) filter (where label = 1) * (count(*) filter (where label = 1) + 1) / 2.0) / (count(*) filter (where label = 1) * count(*) filter (where label = 0)) as auc, coalesce(corr({f}, fwd), 0) as r
   from (select label, fwd, {f}, rank() over (order by round({f}, 9)) + (count(*) over (partition by round({f}, 9)) - 1) / 2.0 as k from feats))""" for f in CANDIDATES), "auc strength r", 5)
 def _(d):
-    rows = windows.price13(d.bars)
+    rows = d.windowed(windows.price13)
     return models.auc_of(rows.select("label", "fwd", *[F.round(c, 9).alias(c) for c in CANDIDATES]), CANDIDATES)
 
 
@@ -163,6 +163,6 @@ def _(d):
 
 @query("momentum_diagnostic", "select (sum(k) filter (where label = 1) - count(*) filter (where label = 1) * (count(*) filter (where label = 1) + 1) / 2.0) / (count(*) filter (where label = 1) * count(*) filter (where label = 0)) as auc from (select label, rank() over (order by round(momentum, 9)) + (count(*) over (partition by round(momentum, 9)) - 1) / 2.0 as k from feats)", "auc", 5)
 def _(d):
-    return evaluate.auc(windows.price13(d.bars).select("label", F.round("momentum", 9).alias("momentum")), "momentum", "label")
+    return evaluate.auc(d.windowed(windows.price13).select("label", F.round("momentum", 9).alias("momentum")), "momentum", "label")
 
 

@@ -76,7 +76,7 @@ def _(d):
 @query("estimator_bakeoff", " union all ".join(f"""select '{n}' as feature, (sum(k) filter (where label = 1) - count(*) filter (where label = 1) * (count(*) filter (where label = 1) + 1) / 2.0) / (count(*) filter (where label = 1) * count(*) filter (where label = 0)) as auc
   from (select case when fwd > 0 then 1 else 0 end as label, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as k from (select fwd, round(v, 9) as v from anchors join (select market_id, bar_ts, {_dot(c)} as v from bars window w as (partition by market_id order by bar_ts)) using (market_id, bar_ts)))""" for n, c in (("sg2", fw.polynomial_end(1, 2, 16)), ("holt", fw.coefficients(fw.holt)))), "auc", 5)
 def _(d):
-    t = windows.trend_estimators(d.bars).join(windows.labelled(d.bars).select("market_id", "bar_ts", "label", "fwd"), ["market_id", "bar_ts"])
+    t = d.windowed(windows.trend_estimators).join(d.windowed(windows.labelled).select("market_id", "bar_ts", "label", "fwd"), ["market_id", "bar_ts"])
     return models.auc_of(t.select("label", "fwd", F.round("sg2", 9).alias("sg2"), F.round("holt", 9).alias("holt")), ["sg2", "holt"]).select("feature", "auc")
 
 
@@ -155,7 +155,7 @@ VIEWS["candles"] = """select market_id, bar_ts, vol_z, trade_intensity, signed_f
   case when hi - lo >= 1e-9 then (r.last - hi) / (hi - lo) else -0.5 end as williams_r, case when hi - lo >= 1e-9 then (r.last - lo) / (hi - lo) else 0.5 end as stoch_k, cci_tp, vol_z, trade_intensity, signed_flow, intrabar_pressure, 0.0::double as platform
   from (select * exclude (stoch_k, i, n) from feats) f join ({_range}) r using (market_id, bar_ts) join candles using (market_id, bar_ts)""", O20)
 def _(d):
-    return windows.ohlcv20(d.bars)
+    return d.windowed(windows.ohlcv20)
 
 
 R27 = "price signed_dist dist time_rem log_hours momentum vol flow_recent flow_cum maturity log_trades signed_maturity"
@@ -182,4 +182,4 @@ B22 = "last mean_ret vol drift band_z momentum rsi atr ofi_window ofi_last ofi_t
   from flow20 f join (select market_id, bar_ts, list((high + low + close) / 3) over w as tps, max(high) over w as hi, min(low) over w as lo, avg(ln(greatest(high / greatest(low, 1e-6), 1e-9)) ** 2) over w as pk, avg(volume) over w as v, avg(trades) over w as n
     from bars window w as (partition by market_id order by bar_ts rows between 16 preceding and 1 preceding)) x using (market_id, bar_ts)""", B22)
 def _(d):
-    return windows.big22(d.bars)
+    return d.windowed(windows.big22)

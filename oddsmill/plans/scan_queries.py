@@ -102,5 +102,5 @@ def _(d):
     from ..operators import windows
 
     path = _path(d, "windows")
-    windows.labelled(d.bars).select("market_id", "bar_ts", "fwd").write.parquet(path)
+    d.windowed(windows.labelled).select("market_id", "bar_ts", "fwd").write.parquet(path)
     return d.spark.read.parquet(path)

@@ -36,17 +36,17 @@ P13 = "last mean_ret vol drift band_z momentum autocorr activity rsi cci macd_hi
 
 @query("windows_labelled", "select market_id, bar_ts, case when fwd > 0 then 1 else 0 end as label, fwd, i / n as tfrac, list_sum(win) as window_sum from anchors", "fwd tfrac window_sum")
 def _(d):
-    s = windows.labelled(d.bars)
+    s = d.windowed(windows.labelled)
     return s.select("market_id", "bar_ts", "label", "fwd", "tfrac", F.aggregate("window", F.lit(0.0), lambda a, x: a + x).alias("window_sum"))
 
 
 @query("feat_price13", f"select market_id, bar_ts, label, fwd, {', '.join(P13.split())} from feats", "fwd " + P13)
 def _(d):
-    return windows.price13(d.bars)
+    return d.windowed(windows.price13)
 
 
 for _name, _cols in {"rsi": "rsi", "cci": "cci", "macd_hist": "macd_hist", "downside_vol": "downside_vol"}.items():
-    query(_name, f"select market_id, bar_ts, {_cols} from feats", _cols)(lambda d, c=_cols: windows.price13(d.bars).select("market_id", "bar_ts", c))
+    query(_name, f"select market_id, bar_ts, {_cols} from feats", _cols)(lambda d, c=_cols: d.windowed(windows.price13).select("market_id", "bar_ts", c))
 
 
 @query("triple_barrier_label", """with a as (select *, 1.5 * step_std as barrier, lead1, lead2, lead3, lead4 from anchors join (select market_id, bar_ts,
@@ -55,7 +55,7 @@ for _name, _cols in {"rsi": "rsi", "cci": "cci", "macd_hist": "macd_hist", "down
 b as (select *, case when abs(lead1) >= barrier then sign(lead1) when abs(lead2) >= barrier then sign(lead2) when abs(lead3) >= barrier then sign(lead3) when abs(lead4) >= barrier then sign(lead4) end as touch from a)
 select market_id, bar_ts, barrier, case when touch is not null then (touch > 0)::int else (fwd > 0)::int end as label, case when touch is not null then touch * barrier else fwd end as fwd from b""", "barrier fwd")
 def _(d):
-    return windows.triple_barrier(d.bars)
+    return d.windowed(windows.triple_barrier)
 
 
 _range = """select * from (select market_id, bar_ts, row_number() over w - 1 as i, lag(close) over w as last, avg(tr) over (partition by market_id order by bar_ts rows between 15 preceding and 1 preceding) as tr,
@@ -66,28 +66,28 @@ _range = """select * from (select market_id, bar_ts, row_number() over w - 1 as
 
 @query("atr", f"select market_id, bar_ts, tr / greatest(last, 1e-3) as atr from ({_range})", "atr")
 def _(d):
-    return windows.range_features(d.bars).select("market_id", "bar_ts", "atr")
+    return d.windowed(windows.range_features).select("market_id", "bar_ts", "atr")
 
 
 @query("parkinson_vol", f"select market_id, bar_ts, coalesce(sqrt(park / (4 * ln(2.0::double))), 0) as parkinson_vol from ({_range})", "parkinson_vol")
 def _(d):
-    return windows.range_features(d.bars).select("market_id", "bar_ts", "parkinson_vol")
+    return d.windowed(windows.range_features).select("market_id", "bar_ts", "parkinson_vol")
 
 
 @query("stoch_williams", f"select market_id, bar_ts, case when hi - lo >= 1e-9 then (last - hi) / (hi - lo) else -0.5 end as williams_r, case when hi - lo >= 1e-9 then (last - lo) / (hi - lo) else 0.5 end as stoch_k from ({_range})", "williams_r stoch_k")
 def _(d):
-    return windows.range_features(d.bars).select("market_id", "bar_ts", "williams_r", "stoch_k")
+    return d.windowed(windows.range_features).select("market_id", "bar_ts", "williams_r", "stoch_k")
 
 
 @query("oscillator_states", """select market_id, bar_ts, case when (rsi + 1) * 50 >= 70 then 'overbought' when (rsi + 1) * 50 <= 30 then 'oversold' else 'neutral' end as rsi_state,
   case when cci * 100 >= 100 then 'overbought' when cci * 100 <= -100 then 'oversold' else 'neutral' end as cci_state from feats""")
 def _(d):
-    return windows.oscillator_states(windows.price13(d.bars)).select("market_id", "bar_ts", "rsi_state", "cci_state")
+    return windows.oscillator_states(d.windowed(windows.price13)).select("market_id", "bar_ts", "rsi_state", "cci_state")
 
 
 @query("windows_strided", "select market_id, bar_ts, fwd from (select *, row_number() over (partition by market_id order by bar_ts) - 1 as r from anchors) where r % 3 = 0", "fwd")
 def _(d):
-    return windows.strided(windows.labelled(d.bars), 3).select("market_id", "bar_ts", "fwd")
+    return windows.strided(d.windowed(windows.labelled), 3).select("market_id", "bar_ts", "fwd")
 
 
 _points = (5, 8, 12, 16)
@@ -95,19 +95,19 @@ _points = (5, 8, 12, 16)
 
 @query("sg_endpoint", "select market_id, bar_ts, " + ", ".join(f"velocity_{n}, acceleration_{n}" for n in _points) + " from (select market_id, bar_ts, row_number() over w - 1 as i, " + ", ".join(f"{_dot(fw.polynomial_end(1, 2, n))} as velocity_{n}, {_dot(fw.polynomial_end(2, 2, n))} as acceleration_{n}" for n in _points) + " from bars window w as (partition by market_id order by bar_ts)) where i >= 16", " ".join(f"velocity_{n} acceleration_{n}" for n in _points))
 def _(d):
-    return windows.polynomial(d.bars).drop("trend_consistency")
+    return d.windowed(windows.polynomial).drop("trend_consistency")
 
 
 @query("trend_consistency", f"""select market_id, bar_ts, sign(v) * case when v > 0 then ups when v < 0 then 15 - ups else 0 end / 15 as trend_consistency from (
   select market_id, bar_ts, row_number() over w - 1 as i, {_dot(fw.polynomial_end(1, 1, 16))} as v, count(*) filter (where d > 0) over f as ups
   from steps window w as (partition by market_id order by bar_ts), f as (partition by market_id order by bar_ts rows between 15 preceding and 1 preceding)) where i >= 16""", "trend_consistency")
 def _(d):
-    return windows.polynomial(d.bars).select("market_id", "bar_ts", "trend_consistency")
+    return d.windowed(windows.polynomial).select("market_id", "bar_ts", "trend_consistency")
 
 
 @query("deriv_estimators", f"select market_id, bar_ts, sg1, sg2, holt, kalman, tvdiff, ewma_ret from (select market_id, bar_ts, row_number() over w - 1 as i, regr_slope(close, rn) over f as sg1, {_dot(fw.polynomial_end(1, 2, 16))} as sg2, {_dot(fw.coefficients(fw.holt))} as holt, {_dot(fw.coefficients(fw.kalman))} as kalman, {_dot(fw.coefficients(fw.smooth_increment))} as tvdiff, {_dot(fw.coefficients(lambda xs: fw.ewma([b - a for a, b in zip(xs, xs[1:])])))} as ewma_ret from (select *, row_number() over (partition by market_id order by bar_ts) as rn from bars) window w as (partition by market_id order by bar_ts), f as (partition by market_id order by bar_ts rows between 16 preceding and 1 preceding)) where i >= 16", "sg1 sg2 holt kalman tvdiff ewma_ret")
 def _(d):
-    return windows.trend_estimators(d.bars)
+    return d.windowed(windows.trend_estimators)
 
 
 _W = "window w as (partition by market_id order by bar_ts), f as (partition by market_id order by bar_ts rows between 16 preceding and 1 preceding), g as (partition by market_id order by bar_ts rows between 15 preceding and 1 preceding), q as (partition by market_id order by bar_ts rows between 4 preceding and 1 preceding)"
@@ -127,7 +127,7 @@ VIEWS["flow20"] = f"""select market_id, bar_ts, last, mean_ret, vol, drift, case
 
 @query("feat_flow20", "select * from flow20", F20)
 def _(d):
-    return windows.flow_features(d.bars)
+    return d.windowed(windows.flow_features)
 
 
 F11 = "signed_imbalance vpin toxicity trade_intensity flow_autocorr whale_ratio buy_pressure last mean_ret vol momentum"
@@ -144,12 +144,12 @@ VIEWS["flow11"] = _flow11
 
 @query("feat_flow11", _flow11, F11)
 def _(d):
-    return windows.flow11(d.bars)
+    return d.windowed(windows.flow11)
 
 
 @query("whale_ratio", f"select market_id, bar_ts, whale_ratio from ({_flow11})", "whale_ratio")
 def _(d):
-    return windows.flow11(d.bars).select("market_id", "bar_ts", "whale_ratio")
+    return d.windowed(windows.flow11).select("market_id", "bar_ts", "whale_ratio")
 
 
 VIEWS["cross8"] = """with r as (select market_id, basket_id, last as price, neg_risk, count(*) over b as n, sum(last) over b as s, stddev_samp(last) over b as sd,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import bars
+from ..operators import bars, windows
 
 
 #: Seconds since 1970, whether the column has a time zone or not.
@@ -92,6 +92,15 @@ class Domain:
     def bars(self) -> DataFrame:
         return bars.ohlcv_flow(self.tape, 21600)
 
+    @cached_property
+    def hot(self) -> list:
+        """Markets whose rows are cut in stretches: one count of one column of the tape."""
+        return windows.hot_keys(self.table("events").select(F.col("user_id").alias("market_id")))
+
+    def windowed(self, f, *args, **kw) -> DataFrame:
+        """A function of 16-bar windows over the bars, hot markets in stretches."""
+        return windows.over_stretches(lambda b, key: f(b, *args, key=key, **kw), self.bars, self.hot)
+
     @cached_property
     def preds(self) -> DataFrame:
         w = W.partitionBy("market_id").orderBy("t", "seq").rowsBetween(-15, 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, models, splits, windows
@@ -15,16 +17,57 @@ def _rows(d):
     return splits.out_of_time(f)
 
 
-for _name, _fit in (("fit_logistic", models.fit_logistic), ("fit_gbdt", models.fit_gbdt), ("fit_mlp", models.fit_mlp)):
+VIEWS["learned"] = "select feats.*, case when m < 5 or j < floor(m * 0.8::double) - 4 then 'train' when j >= floor(m * 0.8::double) then 'val' end as part from feats join anchor_rows using (market_id, bar_ts)"
+
+
+def newton_sql(table: str, features: list[str], label: str, l2: float = 1e-3, steps: int = 6) -> str:
+    """The same Newton steps as common table expressions: `w` has the last weights (w0 the intercept), `st` means and deviations.
+
+    Each step's equations are solved column by column, without exchanges of rows: the matrix is positive definite.
+    """
+    n = len(features) + 1
+    parts = [f"st as materialized (select {', '.join(f'avg({f}) as m{k}, stddev_samp({f}) as s{k}' for k, f in enumerate(features, 1))} from {table} where part = 'train')"]
+    parts.append(f"x as materialized (select 1::double as x0, {label}::double as y, {', '.join(f'({f} - m{k}) / s{k} as x{k}' for k, f in enumerate(features, 1))} from {table}, st where part = 'train')")
+    parts.append(f"w_0 as (select {', '.join(f'0::double as w{k}' for k in range(n))})")
+    for step in range(steps):
+        odds = " + ".join(f"w{k} * x{k}" for k in range(n))
+        sums = [f"avg((p - y) * x{i}) + {l2 if i else 0}::double * any_value(w{i}) as a{i}_{n}" for i in range(n)]
+        sums += [f"avg(p * (1 - p) * x{i} * x{j}) + {l2 if i == j and i else 0}::double as a{i}_{j}" for i in range(n) for j in range(n)]
+        parts.append(f"e{step}_0 as materialized (select {', '.join(sums)} from (select *, 1 / (1 + exp(-({odds}))) as p from x, w_{step}))")
+        for c in range(n):
+            cells = [f"a{i}_{j}{'' if i == c else f' - a{i}_{c} * a{c}_{j} / a{c}_{c}'} as a{i}_{j}" for i in range(n) for j in range(c, n + 1)]
+            cells += [f"a{i}_{i} as d{i}" if i == c else f"d{i}" for i in range(c + 1)]
+            parts.append(f"e{step}_{c + 1} as materialized (select {', '.join(cells)} from e{step}_{c})")
+        parts.append(f"w_{step + 1} as materialized (select {', '.join(f'w{i} - a{i}_{n} / d{i} as w{i}' for i in range(n))} from w_{step}, e{step}_{n})")
+    parts.append(f"w as (select * from w_{steps})")
+    return ", ".join(parts)
+
+
+def odds_sql(features: list[str]) -> str:
+    return "(w0 + " + " + ".join(f"w{k} * ({f} - m{k}) / s{k}" for k, f in enumerate(features, 1)) + ")"
+
+
+def auc_sql(rows: str, score: str, label: str) -> str:
+    up, down = f"count(*) filter (where {label} > 0.5)", f"count(*) filter (where {label} <= 0.5)"
+    return f"(select (sum(k) filter (where {label} > 0.5) - {up} * ({up} + 1) / 2.0) / ({up} * {down}) from (select {label}, rank() over (order by {score}) + (count(*) over (partition by {score}) - 1) / 2.0 as k from {rows}))"
+
+
+_losses = """avg((prob - label) ** 2) as brier, avg(-(label * ln(greatest(1e-12, least(1 - 1e-12, prob))) + (1 - label) * ln(1 - greatest(1e-12, least(1 - 1e-12, prob))))) as log_loss, avg(((prob > 0.5) = (label > 0.5))::int) as accuracy,
+  (coalesce(avg((prob > 0.5)::int) filter (where label > 0.5), 0) + coalesce(avg((prob <= 0.5)::int) filter (where label <= 0.5), 0)) / 2 as balanced_accuracy, count(*) as n"""
+_logistic = f"""with {newton_sql("learned", FEATURES, "label")}, v as (select label, 1 / (1 + exp(-{odds_sql(FEATURES)})) as prob from learned, w, st where part = 'val')
+select {_losses}, {auc_sql("(select label, round(prob, 9) as prob from v)", "prob", "label")} as auc from v"""
+
+
+for _name, _fit, _sql in (("fit_logistic", models.fit_logistic, _logistic), ("fit_gbdt", models.fit_gbdt, None), ("fit_mlp", models.fit_mlp, None)):
 
-    @query(_name)
+    @query(_name, _sql, "brier log_loss accuracy balanced_accuracy auc")
     def _(d, fit=_fit):
         found = _rows(d).where("part is not null")
         rows = found.persist()
         model = fit(rows, FEATURES)
         rows.unpersist()
         scored = model(found.where("part = 'val'"))
-        return evaluate.losses(scored, "prob", "label").crossJoin(evaluate.auc(scored, "prob", "label"))
+        return evaluate.losses(scored, "prob", "label").crossJoin(evaluate.auc(scored.withColumn("prob", F.round("prob", 9)), "prob", "label"))
 
 
 def _temperature_sql(low: float = 0.25, high: float = 6.0, passes: int = 4, points: int = 9) -> str:
@@ -62,9 +105,28 @@ def _(d):
     return evaluate.losses(fit(cut.where("not train")), "calibrated").select("brier", "n")
 
 
-@query("calibrate_logit", "select seq, 1 / (1 + exp(-ln(q / (1 - q)) / 1.5)) as prob from (select seq, greatest(1e-6, least(1 - 1e-6, prob)) as q from records)", "prob")
+#: One calibration of each form, and one that names none: for each of the models that a record has.
+CALIBRATIONS = {"map": [[0.1, 0.05], [0.3, 0.2], [0.5, 0.55], [0.5, 0.6], [0.8, 0.7], [0.95, 0.99]], "cooled": {"method": "temperature", "temperature": 1.5}, "platt": {"method": "platt", "a": 0.8, "b": -0.2}, "none": None}
+_sig = lambda z: f"(1 / (1 + exp(-greatest(-60, least(60, {z})))))"
+
+
+def _step_map_sql(p: str, points: list) -> str:
+    parts = [f"when {p} <= {points[0][0]}::double then {points[0][1]}::double"]
+    for (x0, y0), (x1, y1) in zip(points, points[1:]):
+        parts.append(f"when {p} <= {x1}::double then {y0}::double" + (f" + {y1 - y0}::double * ({p} - {x0}::double) / {x1 - x0}::double" if x1 - x0 >= 1e-12 else ""))
+    return f"case {' '.join(parts)} else {points[-1][1]}::double end"
+
+
+_forms = {"map": ("isotonic", _step_map_sql(_sig("z"), CALIBRATIONS["map"])), "cooled": ("temperature", _sig("z / 1.5::double")), "platt": ("platt", _sig("0.8::double * z - 0.2::double")), "none": ("sigmoid", _sig("z"))}
+
+
+@query("calibrate_logit", "with l as (select seq, ln(q / (1 - q)) as z from (select seq, greatest(1e-6, least(1 - 1e-6, prob)) as q from records)) " + " union all ".join(f"select seq, '{n}' as name, '{k}' as kind, {e} as prob from l" for n, (k, e) in _forms.items()), "prob")
 def _(d):
-    return d.records.select("seq", models.tempered("prob", 1.5).alias("prob"))
+    from ..operators.ensemble import logit
+
+    z = logit(F.col("prob"))
+    forms = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(models.calibration_kind(c)).alias("kind"), models.calibrated(z, c).alias("prob")) for n, c in CALIBRATIONS.items()])
+    return d.records.select("seq", F.explode(forms).alias("c")).select("seq", "c.*")
 
 
 @query("best_threshold_bal_acc", """select threshold, (coalesce(avg(case when outcome > 0.5 then (prob >= threshold)::int end), 0) + coalesce(avg(case when outcome <= 0.5 then (prob < threshold)::int end), 0)) / 2 as balanced_accuracy
@@ -127,12 +189,25 @@ def _(d):
     return m.withColumns({"delta": delta, "flagged": F.coalesce(F.abs(delta) > 0.05, F.lit(False))})
 
 
-@query("bootstrap_ci")
+_shares = [sum(2.718281828459045**-1 / math.factorial(k) for k in range(j + 1)) for j in range(7)]
+_u = f"((x * x % {models.PRIME} + 0.5) / {models.PRIME}::double)"
+
+
+@query("bootstrap_ci", f"""with t as (select seq, case when prob > market_price then outcome - market_price else market_price - outcome end - 0.01 as net from records where abs(prob - market_price) > 0.02),
+h as (select net, b, ((seq % {models.PRIME} * 48271 + b * 69621 + 11) % {models.PRIME}) as x from t, range(2000) r(b)), i as (select net, b, (x * x % {models.PRIME} * 16807 + b) % {models.PRIME} as x from h),
+k as (select b, sum(w * net) / sum(w) as m from (select net, b, {" + ".join(f"({_u} > {c!r}::double)::int" for c in _shares)} as w from i) group by 1)
+select l[51] as low, l[1951] as high, mean from (select list(m order by m) as l, avg(m) as mean from k)""", "low high mean")
 def _(d):
     return models.bootstrap_mean(evaluate.trades(d.records, 0.02), "net", "seq")
 
 
-@query("fuzzy_topk")
+_fuzzy = "select p_partkey, p_name, lower(p_name) as low, 0 as at0, 0::double as t0, -1 as b0 from part"
+for _k, _ch in enumerate("art"):
+    _fuzzy = f"""select *, k{_k} + 1 as at{_k + 1}, t{_k} + case when k{_k} = 0 then 12 when not regexp_matches(substr(low, k{_k}, 1), '[\\p{{L}}\\p{{N}}]') then 9 when b{_k} >= 0 and k{_k} = b{_k} + 1 then 6 else 1 end - case when b{_k} >= 0 then 0.4::double * (k{_k} - at{_k}) else 0 end as t{_k + 1}, k{_k} as b{_k + 1}
+  from (select *, at{_k} + strpos(substr(low, (at{_k} + 1)::int), '{_ch}') - 1 as k{_k} from ({_fuzzy}) where strpos(substr(low, (at{_k} + 1)::int), '{_ch}') > 0)"""
+
+
+@query("fuzzy_topk", f"select p_partkey, p_name, t3 + (20 - length(p_name)) * 0.15::double as score from ({_fuzzy}) order by round(score, 9) desc, p_name, p_partkey limit 24", "score")
 def _(d):
     return models.fuzzy_top(d.table("part").select("p_partkey", "p_name"), "p_name", "art")
 

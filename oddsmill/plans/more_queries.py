@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as fw
 from ..operators import ensemble, evaluate, models, windows
 from .evaluation_queries import _stats
-from .model_queries import FEATURES, _rows, _split60
+from .model_queries import FEATURES, _rows, _split60, auc_sql, newton_sql, odds_sql
 from .registry import VIEWS, query
 from .window_queries import P13, _dot, _range
 
@@ -93,48 +93,76 @@ def _(d):
     return a.orderBy(F.desc(F.round("auc", 9)), "weight").limit(1)
 
 
-# fitted: no SQL
+# fitted networks: no SQL
 
 
 @query("ablation_pair")
 def _(d):
     rows = _rows(d).where("part is not null").persist()
-    out = None
-    for name, features in (("with", FEATURES), ("without", [f for f in FEATURES if f != "momentum"])):
+    found = []
+    for features in (FEATURES, [f for f in FEATURES if f != "momentum"]):
         scored = models.fit_mlp(rows, features, hidden=8, rounds=20)(rows.where("part = 'val'"))
-        one = evaluate.auc(scored, "prob", "label").withColumn("features", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+        found.append(evaluate.auc(scored, "prob", "label").first()[0])
+    rows.unpersist()
+    return d.spark.range(1).select(F.lit(found[0]).alias("auc_with"), F.lit(found[1]).alias("auc_without"), F.lit(found[0] - found[1]).alias("lift"))
+
+
+STACK = ["resolve", "flow", "smart"]
+_odds = lambda p: f"ln(greatest(1e-6, least(1 - 1e-6, {p})) / (1 - greatest(1e-6, least(1 - 1e-6, {p}))))"
+VIEWS["stacked"] = f"""select seq, outcome, case when row_number() over (order by ts, seq) - 1 < floor(count(*) over () * 0.7::double) then 'train' else 'val' end as part, {_odds('prob')} as resolve, {_odds('flow')} as flow, {_odds('smart')} as smart
+  from records where smart is not null"""
 
 
 def _stacked(d):
     cut = evaluate.by_time(d.records.where("smart is not null"), 0.7)
-    rows = cut.select("seq", "outcome", F.when(F.col("train"), "train").otherwise("val").alias("part"), *[ensemble.logit(F.col(c)).alias(n) for n, c in (("resolve", "prob"), ("flow", "flow"), ("smart", "smart"))])
-    return rows.persist()
+    return cut.select("seq", "outcome", F.when(F.col("train"), "train").otherwise("val").alias("part"), *[ensemble.logit(F.col(c)).alias(n) for n, c in (("resolve", "prob"), ("flow", "flow"), ("smart", "smart"))])
 
 
-@query("stacker_fit")
-def _(d):
+def _fitted(d, features, l2):
     rows = _stacked(d)
-    return evaluate.losses(models.fit_logistic(rows, ["resolve", "flow", "smart"], "outcome")(rows.where("part = 'val'"))).select("brier", "n")
+    held = rows.where("part = 'train'").persist()
+    model = models.fit_logistic(held, features, "outcome", l2)
+    held.unpersist()
+    return rows, model
 
 
-@query("two_model_combiner")
+@query("stacker_fit", f"with {newton_sql('stacked', STACK, 'outcome')} select avg((1 / (1 + exp(-{odds_sql(STACK)})) - outcome) ** 2) as brier, count(*) as n, any_value(w1 / s1) as w_resolve, any_value(w2 / s2) as w_flow, any_value(w3 / s3) as w_smart from stacked, w, st where part = 'val'", "brier w_resolve w_flow w_smart")
 def _(d):
-    rows = _stacked(d)
-    scored = models.fit_logistic(rows, ["resolve", "flow"], "outcome")(rows.where("part = 'val'"))
-    return evaluate.auc(scored).crossJoin(rows.agg(F.corr("resolve", "flow").alias("correlation")))
+    rows, model = _fitted(d, STACK, 1e-3)
+    raw = model.raw()
+    out = evaluate.losses(model(rows.where("part = 'val'"))).select("brier", "n")
+    return out.withColumns({f"w_{f}": F.lit(w) for f, w in zip(STACK, raw)})
+
+
+_pair = STACK[:2]
 
 
-@query("feature_importance_families")
+@query("two_model_combiner", f"""with {newton_sql('stacked', _pair, 'outcome', 0.0)}, v as (select outcome, round(1 / (1 + exp(-{odds_sql(_pair)})), 9) as prob, round(resolve, 9) as resolve, round(flow, 9) as flow, 1 / (1 + exp(-resolve)) as p1, 1 / (1 + exp(-flow)) as p2 from stacked, w, st where part = 'val'),
+a as (select {auc_sql('v', 'resolve', 'outcome')} as auc_first, {auc_sql('v', 'flow', 'outcome')} as auc_second, {auc_sql('(select outcome, round((p1 + p2) / 2, 9) as mean from v)', 'mean', 'outcome')} as auc_mean, {auc_sql('v', 'prob', 'outcome')} as auc)
+select *, auc - auc_first as lift, auc - auc_first >= 0.003 as worth, (select corr(p1, p2) from v) as correlation, (select w1 / s1 from w, st) as w_first, (select w2 / s2 from w, st) as w_second from a""", "auc_first auc_second auc_mean auc lift correlation w_first w_second", 5)
 def _(d):
-    from pyspark.ml.classification import GBTClassifier
+    from ..functions.scalars import logistic
 
-    rows = models._vector(_rows(d).where("part = 'train'"), FEATURES)
-    gain = GBTClassifier(featuresCol="raw", labelCol="label", maxIter=5, maxDepth=3, seed=7).fit(rows).featureImportances.toArray().tolist()
-    family = {"mean_ret": "move", "drift": "move", "momentum": "move", "vol": "risk", "band_z": "place", "rsi": "place", "stoch_k": "place"}
-    g = d.spark.createDataFrame([(f, family[f], float(x)) for f, x in zip(FEATURES, gain)], "feature string, family string, gain double")
-    return g.groupBy("family").agg(F.sum("gain").alias("gain"), F.max_by("feature", "gain").alias("top"))
+    rows, model = _fitted(d, _pair, 0.0)
+    v = model(rows.where("part = 'val'")).withColumns({"p1": logistic("resolve"), "p2": logistic("flow")})
+    v = v.select("outcome", F.round("prob", 9).alias("prob"), F.round("resolve", 9).alias("resolve"), F.round("flow", 9).alias("flow"), "p1", "p2", F.round((F.col("p1") + F.col("p2")) / 2, 9).alias("mean"))
+    out = v.agg(F.corr("p1", "p2").alias("correlation"))
+    for name, score in (("auc_first", "resolve"), ("auc_second", "flow"), ("auc_mean", "mean"), ("auc", "prob")):
+        out = out.crossJoin(evaluate.auc(v, score).select(F.col("auc").alias(name)))
+    lift = F.col("auc") - F.col("auc_first")
+    return out.withColumns({"lift": lift, "worth": lift >= 0.003, "w_first": F.lit(model.raw()[0]), "w_second": F.lit(model.raw()[1])})
+
+
+FAMILY = {"mean_ret": "move", "drift": "move", "momentum": "move", "vol": "risk", "band_z": "place", "rsi": "place", "stoch_k": "place"}
+
+
+@query("feature_importance_families", f"""with {newton_sql('learned', FEATURES, 'label')}, l as ({' union all '.join(f"select '{FAMILY[f]}' as family, '{f}' as feature, abs(w{k}) as a from w" for k, f in enumerate(FEATURES, 1))})
+select family, sum(a) / ((select sum(a) from l) + 1e-12) as share, sum(a) as abs_weight, arg_max(feature, a) as top_feature, max(a) as top_abs_weight from l group by 1""", "share abs_weight top_abs_weight")
+def _(d):
+    rows = _rows(d).where("part = 'train'").persist()
+    model = models.fit_logistic(rows, FEATURES)
+    rows.unpersist()
+    return models.family_shares(d.spark, model, FAMILY)
 
 
 @query("isotonic_apply", "select seq, prob, f as calibrated from applied", "prob calibrated")

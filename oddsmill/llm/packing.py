@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,46 +14,46 @@ GROUP_ROWS = 40_000
 #: Lengths are rounded up to this grain for patterns only.
 GRAIN = 32
 #: Tokens that a sequence laid by a pattern may leave empty.
-SLACK = 1
+SLACK = 0
 #: Documents of a pattern.
 PATTERN_DOCS = 3
-
-#: Texts of these characters split alike under both libraries' tables of letters.
-PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-ɏ]*")
+#: Documents shorter than this part of a sequence aren't in patterns: the residual pass fills its gaps with them.
+FILLERS = 3 / 16
+#: Characters that are tokenized at once.
+RUN_CHARS = 1_000_000
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class TokenIds:
-    """The ids of whole texts as little-endian bytes. Where the vocabulary is installed as ranks too, plain texts go
-    through those, which give the same ids in half the time."""
+    """The ids of whole texts as little-endian bytes."""
 
     def __init__(self, path: str):
-        import base64
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.ranks = Tokenizer.from_file(path), None
-        self.whole.no_padding()
-        self.whole.no_truncation()
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        if os.path.exists(ranks := path.removesuffix(".json") + ".tiktoken"):
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks, "rb") as lines:
-                table = {base64.b64decode(word): int(n) for word, n in map(bytes.split, lines)}
-            self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-
-    def __call__(self, text: str) -> bytes:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+
+    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Of each text in turn; texts are taken in runs of bounded size, and a longer text is a run of its own."""
+        run: list[str] = []
+        size = 0
+        for text in texts:
+            if run and size + len(text) > RUN_CHARS:
+                yield from self._encoded(run)
+                run, size = [], 0
+            run.append(text)
+            size += len(text)
+        yield from self._encoded(run)
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
         import numpy as np
 
-        if self.ranks is not None and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            ids = self.ranks.encode_ordinary(text)
-        else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(found.ids, "<u4").tobytes()
 
 
 def _pieces(path: str, limit: int, end_id: int):
@@ -69,8 +68,9 @@ def _pieces(path: str, limit: int, end_id: int):
         names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = ids(text.as_py() or "") + end
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for doc_id, data in zip(batch.column(0).to_pylist(), ids(texts)):
+                data += end
                 n = len(data) // 4
                 cuts = [0, *range(n % limit or limit, n + 1, limit)] if n > limit else [0, n]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -113,7 +113,8 @@ def nnls(a, b, rounds: int):
 def fit_patterns(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], float]]:
     """Patterns of up to PATTERN_DOCS rounded lengths that fill a sequence, with the repeat counts that fit best.
 
-    The histogram has at most `limit` entries, so this is one small problem at any size of the corpus.
+    The histogram has at most `limit` entries, so this is one small problem at any size of the corpus. Short documents
+    stand outside it (FILLERS): what patterns leave is packed without loss only while there are some to fill gaps with.
     """
     import numpy as np
 
@@ -122,6 +123,7 @@ def fit_patterns(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int,
     for length, n in histogram.items():
         if length < limit:
             have[-(-length // GRAIN)] += n
+    have[: int(n_bins * FILLERS)] = 0
     patterns = [(a, n_bins - a) for a in range((n_bins + 1) // 2, n_bins)]
     patterns += [(a, b, n_bins - a - b) for a in range(-(-n_bins // 3), n_bins - 1) for b in range(-(-(n_bins - a) // 2), min(a, n_bins - a - 1) + 1)]
     patterns = [p for p in patterns if all(have[x] for x in p)]
@@ -149,7 +151,8 @@ def share(n: int, k: int, group: int, n_groups: int) -> int:
 
 
 def _laid(lengths, order, patterns: list[tuple[tuple[int, ...], int]], limit: int):
-    """Sequence and offset of each piece, and the number of sequences: patterns first, then best fit decreasing."""
+    """Sequence and offset of each piece, the number of sequences, and how many of them patterns laid: these come first, then
+    best fit decreasing packs the rest into gaps and new sequences."""
     import bisect
 
     import numpy as np
@@ -180,6 +183,7 @@ def _laid(lengths, order, patterns: list[tuple[tuple[int, ...], int]], limit: in
                     for _, k in [*head, own.pop(n - 1)]:
                         put(k, len(used) - 1)
                     break
+    laid = len(used)
     gaps: list[list[int]] = [[] for _ in range(limit + 1)]
     some = 0
     for s, u in enumerate(used):
@@ -202,7 +206,7 @@ def _laid(lengths, order, patterns: list[tuple[tuple[int, ...], int]], limit: in
         if gap > need:
             gaps[gap - need].append(s)
             some |= 1 << (gap - need)
-    return seq, at, len(used)
+    return seq, at, len(used), laid
 
 
 def _pack(patterns: list[tuple[tuple[int, ...], int]], n_groups: int, limit: int):
@@ -212,11 +216,11 @@ def _pack(patterns: list[tuple[tuple[int, ...], int]], n_groups: int, limit: int
         lengths, group = pdf["length"].to_numpy(), int(pdf["pack"].iloc[0])
         order = np.lexsort((pdf["row"].to_numpy(), -lengths))
         own = [(p, share(n, k, group, n_groups)) for k, (p, n) in enumerate(patterns)]
-        # patterns stand where their residuals need no more sequences than best fit does by itself
-        seq, at, _ = min((_laid(lengths, order, own, limit), _laid(lengths, order, [], limit)), key=lambda x: x[2])
+        seq, at, _, laid = _laid(lengths, order, own, limit)
         out = pdf.drop(columns=["row", "pack"])
         out["sequence_id"] = (group << 32) + seq
         out["offset"] = at
+        out["by_pattern"] = seq < laid
         return out
 
     return run
@@ -225,7 +229,8 @@ def _pack(patterns: list[tuple[tuple[int, ...], int]], n_groups: int, limit: int
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Places of all documents in sequences of at most `limit` tokens: one row a piece.
 
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A document is its ids and `end_id`, so
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, and by_pattern, whether a pattern laid its
+    sequence's first pieces. A document is its ids and `end_id`, so
     a null or empty text is one token. Only documents over the limit are cut; their first piece is the short
     one. Repeated rows, ties in length and null ids are packed one by one; an empty table gives no rows. A very long
     text is as many pieces as it needs, in any sequences. Ids aren't moved: `sequences` joins them back.
@@ -233,7 +238,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 20
     Pieces are dealt by a hash to tasks of about GROUP_ROWS rows. Patterns are fitted once to the histogram of
     lengths (at most `limit` rows on the driver) and their repeats rounded as a whole, by largest remainders; each
     task lays its whole share of them, then packs what is left by best fit decreasing into the gaps and new
-    sequences. A task in which best fit alone needs fewer sequences is packed by that.
+    sequences. Documents under FILLERS of a sequence are left to that, so that there is something for every gap.
     """
     scratch = Scratch(docs.sparkSession, "pack")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -242,7 +247,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 20
     total = sum(histogram.values())
     n_groups = max(1, -(-total // GROUP_ROWS))
     dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("row"), F.lit(n_groups)))
-    fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, by_pattern boolean"
     fitted = fit_patterns(histogram, limit)
     patterns = list(zip([p for p, _ in fitted], rounded([x for _, x in fitted])))
     packed = dealt.groupBy("pack").applyInPandas(_pack(patterns, n_groups, limit), fields)
@@ -258,7 +263,7 @@ def sequences(placed: DataFrame, docs: DataFrame, vocabulary: str = "byte_bpe_50
 
         ids = TokenIds(path)
         for pdf in batches:
-            whole = [np.frombuffer(ids(t or "") + end_id.to_bytes(4, "little"), "<u4") for t in pdf["text"]]
+            whole = [np.frombuffer(found + end_id.to_bytes(4, "little"), "<u4") for found in ids(t or "" for t in pdf["text"])]
             pdf["input_ids"] = [w[s : s + n].astype("int32") for w, s, n in zip(whole, pdf["start"], pdf["length"])]
             yield pdf[["sequence_id", "offset", "doc_id", "input_ids"]]
 

@@ -16,8 +16,10 @@ MAX_ROWS = 32_768
 HOT_SHARE, HOT_CHUNKS = 1 / 8, 64
 #: Pre-tokens whose pieces a task remembers.
 MEMO = 1_000_000
-#: Characters in which NFC changes nothing, lower case is one to one and the classes below are complete.
-PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ɏ]*")
+#: Characters in which NFC changes nothing, whose lower case is one character among them, so that the classes below are
+#: complete: of those up to U+024F, some capitals have small letters beyond it.
+_PLAIN = "".join(c for c in map(chr, [9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x250)]) if len(c.lower()) == 1 and c.lower() <= "ɏ")
+PLAIN = re.compile(f"[{re.escape(_PLAIN)}]*")
 _L, _N = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 PLAIN_PRETOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t\n\r \xa0{_L}{_N}]+")
 
@@ -190,7 +192,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
 
     One row for each input row, repeated rows and null ids included; a null or empty text has no bytes and no
     tokens. Texts are taken whole. Special strings inside a text are one token each, as the library has it.
-    Columns beside the two named ones are ignored, whatever their names.
+    Columns beside the two named ones are ignored, whatever their names; an empty table gives no rows. Rows are
+    counted one by one, so nothing depends on an order and there are no ties.
 
     Plan: a task turns each chunk of its rows into posting lists (texts and frequencies by pre-token), packed by
     a hash of the pre-token into one row a bucket. A bucket counts the pieces of each distinct pre-token once,

@@ -72,6 +72,30 @@ def test_token_counts_of_odd_characters(spark):
     assert got == {k: len(t.encode(x, add_special_tokens=False).ids) for k, x in enumerate(texts)}
 
 
+def test_pretokens_of_every_latin_letter():
+    """Random texts over U+00A0 to U+024F and ASCII: each splits as the library splits it, whatever its capitals become."""
+    from tokenizers import Tokenizer
+
+    path = token_counts.vocabulary_path("word_bpe_49k.json")
+    t, split = Tokenizer.from_file(path), token_counts.Pretokens(path)
+    rng = random.Random(21)
+    letters = [*map(chr, range(0xA0, 0x250)), *"abZ '9.\n"]
+    texts = [*map(chr, range(0xA0, 0x250)), "HAƊAKA", "šƖ", "îƁ", "ćƝ", "âƦ", "ÇƏLƏNG", "MÜƏLLIM", *("".join(rng.choices(letters, k=12)) for _ in range(6000))]
+    for text in texts:
+        want = t.normalizer.normalize_str(text)
+        assert split(text) == [want[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(want)], text
+
+
+def test_token_counts_of_every_latin_letter(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_counts.vocabulary_path("word_bpe_49k.json"))
+    rng = random.Random(22)
+    texts = ["HAƊAKA šƖ îƁ ćƝ âƦ", "ÇƏLƏNG", "MÜƏLLIM", *("".join(rng.choices([*map(chr, range(0xA0, 0x250)), " ", "a"], k=9)) for _ in range(1500))]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: len(t.encode(x, add_special_tokens=False).ids) for k, x in enumerate(texts)}
+
+
 def rules_by_hand(text):
     import re
 
@@ -158,16 +182,32 @@ def test_patterns_are_rounded_as_a_whole_and_dealt_whole():
         assert sum(packing.share(n, 3, g, 6) for g in range(6)) == n
 
 
+def laid_by_patterns(lengths):
+    order = np.argsort(-lengths, kind="stable")
+    histogram = dict(zip(*map(np.ndarray.tolist, np.unique(lengths, return_counts=True))))
+    fitted = packing.fit_patterns(histogram, 2048)
+    patterns = list(zip([p for p, _ in fitted], packing.rounded([x for _, x in fitted])))
+    return packing._laid(lengths, order, patterns, 2048), packing._laid(lengths, order, [], 2048)[2]
+
+
 def test_patterns_never_cost_sequences():
-    rng = np.random.default_rng(4)
+    rng, found = np.random.default_rng(4), []
     for lengths in (rng.integers(1, 2049, 3000), rng.choice([500, 700, 848, 1200], 3000), np.full(50, 2048)):
-        order = np.argsort(-lengths, kind="stable")
-        histogram = dict(zip(*map(np.ndarray.tolist, np.unique(lengths, return_counts=True))))
-        fitted = packing.fit_patterns(histogram, 2048)
-        patterns = list(zip([p for p, _ in fitted], packing.rounded([x for _, x in fitted])))
-        alone = packing._laid(lengths, order, [], 2048)[2]
-        seq, at, n = min((packing._laid(lengths, order, patterns, 2048), packing._laid(lengths, order, [], 2048)), key=lambda x: x[2])
+        (seq, at, n, by_patterns), alone = laid_by_patterns(lengths)
         assert n <= alone and (np.bincount(seq, lengths) <= 2048).all() and n >= -(-lengths.sum() // 2048)
+        found.append(by_patterns)
+    # four lengths whose rounded sums miss a sequence's give no pattern, nor does one that fills it
+    assert found[0] > 300 and found[1:] == [0, 0]
+
+
+@pytest.mark.parametrize("sf, least, by_patterns", [("sf0.01", 481, 200), ("sf0.1", 4936, 2000)])
+def test_patterns_reach_the_least_number_on_given_texts(spark, sf, least, by_patterns):
+    """No packing can have fewer sequences, and a good part of the rows is where patterns laid them."""
+    got = packing.pack(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).toPandas()
+    assert -(-got["length"].sum() // 2048) == least
+    assert got["sequence_id"].nunique() == least
+    laid = got[got["by_pattern"]]
+    assert laid["sequence_id"].nunique() >= by_patterns and len(laid) >= 2 * by_patterns
 
 
 def test_ids_equal_the_library_on_odd_texts():
@@ -178,7 +218,9 @@ def test_ids_equal_the_library_on_odd_texts():
     rng = random.Random(9)
     letters = "ab Z'sll\n\t  .,9²ª\u00a0éßŁ\u0000\x85\u200bé漢🙂ά<|>"
     for text in ["", "<|endoftext|> x", "a" * 5000, " " * 3000, *("".join(rng.choices(letters, k=60)) for _ in range(2000))]:
-        assert ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        assert [*ids([text])] == [np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()], text
+    texts = ["ab " * k for k in (0, 1, 400_000, 3, 0)]
+    assert [*ids(texts)] == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts] and [*ids([])] == []
 
 
 def test_nnls():

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
+import re
+from array import array
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +22,22 @@ SLACK = 0
 PATTERN_DOCS = 3
 #: Documents shorter than this part of a sequence aren't in patterns: the residual pass fills its gaps with them.
 FILLERS = 3 / 16
-#: Characters that are tokenized at once.
-RUN_CHARS = 1_000_000
+#: Pre-tokens whose ids a task remembers.
+MEMO = 1_000_000
+
+_L, _N = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Characters whose classes are complete in PRETOKENS, the vocabulary's own split.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-ɏ]*")
+PRETOKENS = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class TokenIds:
-    """The ids of whole texts as little-endian bytes."""
+    """The ids of whole texts as little-endian bytes, as the library gives them.
+
+    A pre-token's ids don't depend on its neighbours, so the library finds those of each distinct one once and a task
+    remembers them; texts with characters outside PLAIN or with added tokens go through the library whole.
+    """
 
     def __init__(self, path: str):
         import os
@@ -36,24 +48,34 @@ class TokenIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.memo: dict[str, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
+        if not PLAIN.fullmatch(text) or (self.added is not None and self.added.search(text)):
+            return self._encoded(text)
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        memo = self.memo
+        words = PRETOKENS.findall(text)
+        new = [w for w in set(words) if w not in memo]
+        if new:
+            memo.update(zip(new, map(self._bytes, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        return b"".join(map(memo.__getitem__, words))
+
+    def _encoded(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False))
+
+    @staticmethod
+    def _bytes(found) -> bytes:
+        return array("I", found.ids).tobytes()
 
-    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Of each text in turn; texts are taken in runs of bounded size, and a longer text is a run of its own."""
-        run: list[str] = []
-        size = 0
-        for text in texts:
-            if run and size + len(text) > RUN_CHARS:
-                yield from self._encoded(run)
-                run, size = [], 0
-            run.append(text)
-            size += len(text)
-        yield from self._encoded(run)
-
-    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
-        import numpy as np
 
-        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(found.ids, "<u4").tobytes()
+@functools.cache
+def token_ids(path: str) -> TokenIds:
+    """One for a worker, whose tasks remember the same pre-tokens."""
+    return TokenIds(path)
 
 
 def _pieces(path: str, limit: int, end_id: int):
@@ -63,14 +85,13 @@ def _pieces(path: str, limit: int, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        ids, end, row = TokenIds(path), end_id.to_bytes(4, "little"), TaskContext.get().partitionId() << 40
+        ids, end, row = token_ids(path), end_id.to_bytes(4, "little"), TaskContext.get().partitionId() << 40
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            texts = (text.as_py() or "" for text in batch.column(1))
-            for doc_id, data in zip(batch.column(0).to_pylist(), ids(texts)):
-                data += end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = ids(text.as_py() or "") + end
                 n = len(data) // 4
                 cuts = [0, *range(n % limit or limit, n + 1, limit)] if n > limit else [0, n]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -261,9 +282,9 @@ def sequences(placed: DataFrame, docs: DataFrame, vocabulary: str = "byte_bpe_50
     def cut(batches: Iterator) -> Iterator:
         import numpy as np
 
-        ids = TokenIds(path)
+        ids = token_ids(path)
         for pdf in batches:
-            whole = [np.frombuffer(found + end_id.to_bytes(4, "little"), "<u4") for found in ids(t or "" for t in pdf["text"])]
+            whole = [np.frombuffer(ids(t or "") + end_id.to_bytes(4, "little"), "<u4") for t in pdf["text"]]
             pdf["input_ids"] = [w[s : s + n].astype("int32") for w, s, n in zip(whole, pdf["start"], pdf["length"])]
             yield pdf[["sequence_id", "offset", "doc_id", "input_ids"]]
 

@@ -76,6 +76,13 @@ def op13_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version does: rows that it fails, that only it fails, and that are kept without it."""
+    book = quality_rules.ledger(_read(spark, sf_dir, "documents"))
+    parts = [quality_rules.ablations(book, p).select(F.lit(p).alias("policy"), "*") for p in quality_rules.POLICIES]
+    return parts[0].unionByName(parts[1])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_bounded_ring": op13_bounded_ring,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -129,3 +137,18 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m
 """,
 }
+
+_RULES = {
+    "few_words": "n_words < 50", "repeated_windows": "100 * n_repeat_words > 50 * n_words", "symbols": "2 * n_symbols > 3 * n_words",
+    "repeated_lines": "10 * n_dup_lines > 7 * n_lines and n_dup_lines >= 3", "short_words": "word_chars < 2 * n_words", "long_words": "word_chars > 40 * n_words",
+}
+_measured = ORACLE_SQL["op5_quality_rules"].rsplit("select doc_id, n_words, word_chars", 1)[0]
+
+
+def _ablation(policy: str) -> str:
+    names = quality_rules.POLICIES[policy]
+    none = lambda skip: " and ".join(["true", *(f"not ({_RULES[r]})" for r in names if r != skip)])
+    return " union all ".join(f"select '{policy}' as policy, '{r}' as rule, count(*) filter (where {_RULES[r]}) as n_failed, count(*) filter (where {_RULES[r]} and {none(r)}) as n_failed_alone, count(*) filter (where {none(r)}) as n_kept_without from m" for r in names)
+
+
+ORACLE_SQL["quality_ablations"] = _measured + " union all ".join(map(_ablation, quality_rules.POLICIES))

@@ -21,13 +21,19 @@ def ticker(markets: DataFrame, least: float = 1000.0, k: int = 60) -> DataFrame:
     return top(markets.where(F.col("volume24h") > least), k, F.abs("chg24h"), "market_id").select("market_id", "last", "chg24h")
 
 
+def sector_top(markets: DataFrame, k: int = 80, sector: str = "sector", value: str = "volume24h") -> DataFrame:
+    """The k largest markets of each sector, with their rank (ties by id)."""
+    w = W.partitionBy(sector).orderBy(F.desc(value), "market_id")
+    return markets.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # a limit by rank: each task sends on k rows of a sector at most
+
+
 def movers(markets: DataFrame, k: int = 25) -> DataFrame:
-    """The k largest gainers and losers, with the numbers of each."""
+    """The k largest gainers and losers, with the numbers of each. Each side is a top-k of its own, so only 2 k rows are ranked."""
     m = markets.where("chg24h <> 0").withColumn("side", F.when(F.col("chg24h") > 0, "gainer").otherwise("loser"))
-    # numbers by side are two rows; ranking sorts within each side and stops at k
-    w = W.partitionBy("side").orderBy(F.desc(F.abs("chg24h")), "market_id")
     n = m.groupBy("side").agg(F.count("*").alias("n_side"))
-    return m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(F.broadcast(n), "side").select("side", "rank", "market_id", "chg24h", "n_side")
+    best = [top(m.where(F.col("side") == side), k, F.abs("chg24h"), "market_id") for side in ("gainer", "loser")]
+    w = W.partitionBy("side").orderBy(F.desc(F.abs("chg24h")), "market_id")
+    return best[0].unionByName(best[1]).withColumn("rank", F.row_number().over(w)).join(F.broadcast(n), "side").select("side", "rank", "market_id", "chg24h", "n_side")
 
 
 def tape_flow(tape: DataFrame) -> DataFrame:

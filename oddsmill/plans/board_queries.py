@@ -307,9 +307,14 @@ def _(d):
     return boards.ladder(d.book)
 
 
-@query("sector_board", "select market_id, volume24h from market where basket_id % 4 = 1 order by volume24h desc, market_id limit 80", "volume24h")
+#: A sector is the markets whose newest trade is of one kind.
+VIEWS["sector"] = "select user_id as market_id, arg_max(event_type, event_id) as sector from events group by 1"
+
+
+@query("sector_board", "select sector, market_id, volume24h, rank from (select sector, market_id, volume24h, row_number() over (partition by sector order by volume24h desc, market_id) as rank from market join sector using (market_id)) where rank <= 80", "volume24h")
 def _(d):
-    return boards.top(d.market.where("basket_id % 4 = 1"), 80, "volume24h", "market_id").select("market_id", "volume24h")
+    kind = d.table("events").groupBy(F.col("user_id").alias("market_id")).agg(F.max_by("event_type", "event_id").alias("sector"))
+    return boards.sector_top(d.market.join(kind, "market_id"), 80).select("sector", "market_id", "volume24h", "rank")
 
 
 @query("monitor_board", "select market_id, abs(chg24h) as key from market order by abs(chg24h) desc, market_id limit 120", "key")

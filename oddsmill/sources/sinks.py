@@ -19,13 +19,14 @@ def scan_snapshot(ranked: DataFrame, stats: DataFrame, at: float, top: int = 30)
     return stats.crossJoin(rows).withColumn("at", F.lit(at))
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append(df: DataFrame, path: str, run: int | str) -> None:
+    """Adds what one run gives, in a folder of its own: a run that is repeated replaces its rows."""
+    df.write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
-def event_log(rows: DataFrame, path: str) -> None:
-    """(at, level, event, context): the event cut to 160 characters, the context as JSON."""
-    rows.select("at", "level", F.substring("event", 1, 160).alias("event"), F.to_json("context").alias("context")).write.mode("append").parquet(path)
+def event_log(rows: DataFrame, path: str, run: int | str) -> None:
+    """(at, level, event, context): the event cut to 160 characters, the context as JSON. Repeated runs as in append."""
+    append(rows.select("at", "level", F.substring("event", 1, 160).alias("event"), F.to_json("context").alias("context")), path, run)
 
 
 def leaderboard(df: DataFrame, path: str) -> None:

@@ -31,7 +31,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list:
     def one(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return "null"
         return f"{float(x):.6g}" if isinstance(x, (int, float)) or hasattr(x, "dtype") and x.dtype.kind in "if" else str(x)
 

@@ -6,17 +6,23 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import Scratch, components
+from .common import Scratch, components, growing
 
-#: Vectors to a pivot, and pivots of a label at most. Pivots are vectors with the least hashes of their ids.
-CELL_ROWS, MAX_PIVOTS = 4096, 64
-#: Rows of either side of one block of a cell; larger cells are cut into more blocks.
+#: A label with n different vectors has sqrt(n) / PIVOT_STEP pivots, if those are CELL_ROWS vectors to a pivot or more.
+#: That number is raised with the input so that all pivots together have at most 2 * PIVOT_BYTES.
+PIVOT_STEP, CELL_ROWS, PIVOT_BYTES = 4, 16, 64 << 20
+#: Rows of a block's side; a cell with more is cut into rings around its pivot, and rings into blocks.
 BLOCK_ROWS = 2048
-#: Room for rounding in distances; it only replicates more.
-ROUND = 1e-9
+#: A vector with HOT_ROWS copies and this share of all rows, or more, is looked up by broadcast.
+HOT_ROWS, HOT_SHARE = 2048, 1 / 1024
+#: Room for rounding in distances, which a root of a small difference makes large; it only replicates more.
+ROUND = 1e-6
 
 ROWS = "vec_id long, label string, unit binary"
+HOMED = "uid long, rep long, m long, label string, unit binary, home int, d double"
+DEALT = "uid long, rep long, m long, unit binary, cell string, kind int, d double"
 
 
 def _units(batches: Iterator) -> Iterator:
@@ -35,60 +41,141 @@ def _units(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.binary())], names=["vec_id", "label", "unit"])
 
 
-def _deal(pivots, reach: float):
-    """Home cell of each vector, and the further cells whose own vectors may lie within reach of it."""
+def _stack(units):
+    import numpy as np
+
+    return np.frombuffer(b"".join(units), "<f8").reshape(len(units), -1)
+
+
+def _distances(units, pivots):
+    import numpy as np
+
+    return np.sqrt(np.maximum(0, 2 - 2 * (_stack(units) @ pivots.T)))
+
+
+def _home(pivots):
+    """The nearest pivot of each vector and its distance; pivot 0 where its label has none."""
+
+    def run(frames: Iterator) -> Iterator:
+        for pdf in frames:
+            pdf["home"], pdf["d"] = 0, 0.0
+            for (label, n), part in pdf.groupby(["label", pdf["unit"].map(len)]):
+                if (label, n) in pivots.value:
+                    d = _distances(part["unit"], _stack(pivots.value[label, n]))
+                    pdf.loc[part.index, "home"], pdf.loc[part.index, "d"] = d.argmin(1), d.min(1)
+            yield pdf
+
+    return run
+
 
-    def run(batches: Iterator) -> Iterator:
+def _deal(pivots, radii, reach: float):
+    """Each vector in its home cell, and a copy of it in every later cell that may hold a vector within reach."""
+
+    def run(frames: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
-
-        at = {key: np.frombuffer(b"".join(units), "<f8").reshape(len(units), -1) for key, units in pivots.value.items()}
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for vec_id, label, unit in zip(*(c.to_pylist() for c in batch.columns)):
-                key = (label, len(unit))
-                d = np.sqrt(np.maximum(0, 2 - 2 * (at[key] @ np.frombuffer(unit, "<f8"))))
-                home = int(np.argmin(d))
-                # a partner y at home in cell q has d(y,q) <= d(y,home), so d(x,q) - d(x,home) <= 2 * reach
-                for q in np.flatnonzero(d <= d[home] + 2 * reach + ROUND):
-                    for column, value in zip(out, (vec_id, f"{len(unit)}|{label}|{q}", bool(q == home), unit)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.bool_(), pa.binary()))], names=["vec_id", "cell", "home", "unit"])
+        import pandas as pd
+
+        for pdf in frames:
+            size = pdf["unit"].map(len)
+            stem = size.astype(str) + "|" + pdf["label"] + "|"
+            base = pdf[["uid", "rep", "m", "unit"]]
+            yield base.assign(cell=stem + pdf["home"].astype(str), kind=0, d=pdf["d"])
+            for (label, n), part in pdf.groupby(["label", size]):
+                if (label, n) not in pivots.value:
+                    continue
+                d = _distances(part["unit"], _stack(pivots.value[label, n]))
+                home = part["home"].to_numpy()
+                # a partner y at home in q has d(y,q) <= d(y,home), so d(x,q) - d(x,home) <= 2 * reach,
+                # and d(y,q) is at most the radius of q, so d(x,q) <= radius + reach
+                near = d <= part["d"].to_numpy()[:, None] + 2 * reach + ROUND
+                near &= (d <= radii.value[label, n] + reach + ROUND) & (np.arange(d.shape[1]) > home[:, None])
+                rows, cells = np.nonzero(near)
+                if len(rows):
+                    copies = base.loc[part.index].iloc[rows]
+                    yield copies.assign(cell=pd.Series([f"{n}|{label}|{q}" for q in cells], index=copies.index), kind=1, d=d[rows, cells])
 
     return run
 
 
 def _join(least: float):
-    """One block: how many vectors of the right side each left vector links to, and links that span the block's parts."""
+    """One block: how many rows each vector of it links to, and links that span the block's parts."""
 
     def run(pdf):
         import numpy as np
         import pandas as pd
 
-        left, right = pdf[pdf["left"]], pdf[~pdf["left"]]
-        none = pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
+        left, right = pdf[pdf["side"] != 1], pdf[pdf["side"] != 0]  # side 2 is both, in a block of one chunk
+        none = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("uid", "rep", "n", "root")})
         if left.empty or right.empty:
             return none
-        stack = lambda side: np.frombuffer(b"".join(side["unit"]), "<f8").reshape(len(side), -1)
-        a, b = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        near = stack(left) @ stack(right).T >= least
-        near &= left["row"].to_numpy()[:, None] != right["row"].to_numpy()[None, :]
+        near = _stack(left["unit"]) @ _stack(right["unit"]).T >= least
+        near &= left["uid"].to_numpy()[:, None] != right["uid"].to_numpy()[None, :]
         rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
         if not len(rows):
             return none
-        n, near = near.sum(1)[rows], near[np.ix_(rows, cols)]
-        x, y, far = a[rows].copy(), b[cols].copy(), np.iinfo(np.int64).max
+        left, right, near = left.iloc[rows], right.iloc[cols], near[np.ix_(rows, cols)]
+        one = bool((pdf["side"] == 2).any())
+        to_right, to_left = near @ right["m"].to_numpy(), left["m"].to_numpy() @ near
+        x, y, far = left["rep"].to_numpy().copy(), right["rep"].to_numpy().copy(), np.iinfo(np.int64).max
         while True:  # the least id of each part of the block, by turns over both sides
             y2 = np.minimum(y, np.where(near, x[:, None], far).min(0))
             x2 = np.minimum(x, np.where(near, y2[None, :], far).min(1))
             if (x2 == x).all() and (y2 == y).all():
                 break
             x, y = x2, y2
-        return pd.concat([pd.DataFrame({"vec_id": a[rows], "n": n, "root": x}), pd.DataFrame({"vec_id": b[cols], "n": 0, "root": y})])
+        ends = [left[["uid", "rep"]].assign(n=to_right, root=x)]
+        if not one:
+            ends.append(right[["uid", "rep"]].assign(n=to_left, root=y))
+        return pd.concat(ends)
 
     return run
 
 
+def _pivots(different: DataFrame) -> dict[tuple[str, int], list[bytes]]:
+    """Pivots of every label and length: the different vectors with the least hash of their slot."""
+    size = F.length("unit").alias("size")
+    sizes = different.groupBy("label", size).agg(F.count("*").alias("n"))
+    rows = max(CELL_ROWS, (different.agg(F.sum(F.length("unit")).alias("b")).first().b or 0) // PIVOT_BYTES)
+    wanted = F.ceil(F.least(F.col("n") / rows, F.sqrt("n") / PIVOT_STEP)).cast("int").alias("wanted")
+    slots = different.select("label", size, "unit", "uid").join(sizes.where(F.col("n") > rows).select("label", "size", wanted), ["label", "size"])
+    slots = slots.groupBy("label", "size", F.pmod(F.xxhash64(F.lit(3), "uid"), "wanted").alias("slot")).agg(F.min_by("unit", F.xxhash64(F.lit(4), "uid")).alias("unit"))
+    found: dict[tuple[str, int], list[bytes]] = {}
+    for r in slots.select("label", "size", "unit").orderBy("label", "size", "unit").collect():  # 2 * PIVOT_BYTES at most
+        found.setdefault((r.label, r.size), []).append(bytes(r.unit))
+    return found
+
+
+def _radii(homed: DataFrame, pivots: dict) -> dict:
+    """Largest distance of each cell's own vectors to its pivot."""
+    import numpy as np
+
+    radii = {key: np.zeros(len(units)) for key, units in pivots.items()}
+    ends = homed.where("d > 0").groupBy("label", F.length("unit").alias("size"), "home").agg(F.max("d").alias("radius"))
+    for r in ends.collect():  # a row for each pivot at most: the vectors of other labels have d = 0
+        radii[r.label, r.size][r.home] = r.radius
+    return radii
+
+
+def _chunks(dealt: DataFrame, reach: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """dealt with the chunk of each row, and for each chunk the blocks (a, b) that it is a side of."""
+    rows = dealt.withColumn("fine", F.floor(F.col("d") / ((reach + ROUND) / 2)).cast("int"))
+    rings = rows.groupBy("cell", "kind", "fine").agg(F.count("*").alias("n"))
+    whole = F.sum("n").over(W.partitionBy("cell")) <= BLOCK_ROWS
+    rings = rings.withColumn("ring", F.when(whole, 0).otherwise(F.col("fine")))
+    parts = F.ceil(F.sum("n").over(W.partitionBy("cell", "kind", "ring")) / BLOCK_ROWS).cast("int")
+    rings = scratch.save(rings.withColumn("parts", parts).drop("n"), "rings")
+    rows = rows.join(growing(rings), ["cell", "kind", "fine"])
+    chunk = F.struct("kind", "ring", F.pmod(F.xxhash64("uid"), "parts").cast("int").alias("part"))
+    rows = rows.select("uid", "rep", "m", "unit", "cell", chunk.alias("chunk"))
+    chunks = rings.select("cell", "kind", "ring", "parts").distinct()
+    chunks = chunks.select("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct("kind", "ring", p.alias("part")))).alias("chunk"))
+    # distances are to the cell's one pivot, so linked vectors lie in rings that differ by two at most
+    a, b = chunks.where("chunk.kind = 0").withColumnRenamed("chunk", "a"), chunks.withColumnRenamed("chunk", "b")
+    blocks = scratch.save(a.join(growing(b), "cell").where("b >= a and abs(a.ring - b.ring) <= 2"), "blocks")
+    sides = blocks.select("cell", F.col("a").alias("chunk"), "a", "b", F.expr("if(a = b, 2, 0)").alias("side"))
+    return rows, sides.unionByName(blocks.where("a <> b").select("cell", F.col("b").alias("chunk"), "a", "b", F.lit(1).alias("side")))
+
+
 def link_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links between vectors of one label with cosine >= least in double precision, exactly.
 
@@ -99,42 +186,50 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     of all and their one component. A row with a null id links with nothing and has a null component and kept. An empty table
     gives no rows.
 
-    Chord distance of unit vectors is a metric, and cosine >= c is distance <= sqrt(2 - 2c). Each label has a
-    pivot for every CELL_ROWS vectors. A vector is at home with its nearest pivot and copied to the cells that the
-    triangle inequality leaves possible; its links are all counted at home, so none is counted twice. Cells are
-    cut into blocks of BLOCK_ROWS x BLOCK_ROWS by the sizes found, so one label, cell or group of copies with a
-    third of all rows is many tasks. A block returns a row for each linked vector, never its pairs.
+    Equal vectors of a label are one vector with a weight, so a group of copies costs one row however large.
+    Chord distance of unit vectors is a metric, and cosine >= c is distance <= sqrt(2 - 2c). The pivots of a
+    label grow with the root of its different vectors, at every size, and are chosen by hashes, so dense regions
+    have more of them; PIVOT_BYTES bounds what is broadcast. A vector is at home with its nearest pivot and copied
+    to the later cells that the triangle inequality leaves possible, by its own distances and by the radius of the
+    cell; each pair meets once and counts for both. A cell of more than
+    BLOCK_ROWS is cut into rings of half the reach around its pivot, rings into chunks, and only chunks of rings
+    that can hold a link meet, as tasks of their own. A block returns a row for each linked vector, never its pairs.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embed")
+    try:
+        out = _link(vectors, least, id_col, vector_col, label_col, scratch)
+        return scratch.save(out, "result")
+    finally:
+        scratch.drop_but("result")
+
+
+def _link(vectors: DataFrame, least: float, id_col: str, vector_col: str, label_col: str, scratch: Scratch) -> DataFrame:
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
-    rows = scratch.save(rows.mapInArrow(_units, ROWS), "units")
+    rows = scratch.save(rows.mapInArrow(_units, ROWS).withColumn("digest", F.unhex(F.sha2("unit", 256))), "units")
     good = rows.where("vec_id is not null and unit is not null and label is not null")
-    counted = good.groupBy("label", F.length("unit").alias("len")).agg(F.count("*").alias("n"), F.min_by("unit", F.xxhash64("vec_id")).alias("first"))
-    sizes = counted.collect()  # a row for each label and length
-    wanted = {(r.label, r.len): min(MAX_PIVOTS, -(-r.n // CELL_ROWS)) for r in sizes}
-    most = max(wanted.values(), default=1)
-    # one candidate for each slot of the hash, so the choice is an aggregate and not an ordering of all rows
-    slots = good.groupBy("label", F.length("unit").alias("len"), F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(most)).alias("slot")).agg(F.min_by("unit", F.xxhash64(F.lit(4), "vec_id")).alias("unit"))
-    pivots: dict[tuple[str, int], list[bytes]] = {(r.label, r.len): [bytes(r.first)] for r in sizes}
-    for r in slots.collect():
-        if len(pivots[r.label, r.len]) < wanted[r.label, r.len] and bytes(r.unit) not in pivots[r.label, r.len]:
-            pivots[r.label, r.len].append(bytes(r.unit))
-    shared = spark.sparkContext.broadcast(pivots)
-    reach = max(0.0, 2 - 2 * least) ** 0.5
-    dealt = good.select("vec_id", "label", "unit").mapInArrow(_deal(shared, reach), "vec_id long, cell string, home boolean, unit binary")
-    dealt = scratch.save(dealt.withColumn("row", F.monotonically_increasing_id()), "dealt")
-    # the copies of one vector in several cells have different row numbers, but each cell has only one of them
-    per_cell = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("n_home"))
-    n_left, n_right = F.ceil(F.col("n_home") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_ROWS)
-    per_cell = per_cell.select("cell", n_left.cast("int").alias("n_left"), n_right.cast("int").alias("n_right"))
-    cut = dealt.join(per_cell, "cell").where("n_left > 0")
-    lefts = cut.where("home").select("cell", F.pmod(F.xxhash64("row"), F.col("n_left")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("j"), F.lit(True).alias("left"), "vec_id", "row", "unit")
-    rights = cut.select("cell", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("i"), F.pmod(F.xxhash64(F.lit(1), "row"), F.col("n_right")).cast("int").alias("j"), F.lit(False).alias("left"), "vec_id", "row", "unit")
-    found = lefts.unionByName(rights).groupBy("cell", "i", "j").applyInPandas(_join(least), "vec_id long, n long, root long")
+    different = good.groupBy("label", "digest").agg(F.first("unit").alias("unit"), F.min("vec_id").alias("rep"), F.count("*").alias("m"))
+    different = scratch.save(different.withColumn("uid", F.monotonically_increasing_id()), "different")
+    pivots = _pivots(different)
+    shared, reach = spark.sparkContext.broadcast(pivots), max(0.0, 2 - 2 * least) ** 0.5
+    homed = scratch.save(different.select("uid", "rep", "m", "label", "unit").mapInPandas(_home(shared), HOMED), "homed")
+    radii = spark.sparkContext.broadcast(_radii(homed, pivots))
+    dealt = scratch.save(homed.mapInPandas(_deal(shared, radii, reach), DEALT), "dealt")
+    chunked, sides = _chunks(dealt, reach, scratch)
+    found = chunked.join(growing(sides), ["cell", "chunk"]).groupBy("cell", "a", "b").applyInPandas(_join(least), "uid long, rep long, n long, root long")
     found = scratch.save(found, "found")
-    links = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    parts = components(found, scratch, "vec_id", "root")
+    linked = different.join(found.groupBy("uid").agg(F.sum("n").alias("n")), "uid", "left")
+    linked = scratch.save(linked.select("label", "digest", "rep", "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n")).where("n > 0"), "linked")
+    # at most 1 / HOT_SHARE vectors are that share of all rows
+    least_hot = max(HOT_ROWS, (linked.agg(F.sum("m").alias("n")).first().n or 0) * HOT_SHARE)
+    slim, key = good.select("vec_id", "label", "digest"), ["label", "digest"]
+    hot = F.broadcast(linked.where(F.col("m") >= least_hot).drop("m"))
+    rest = slim.join(hot, key, "left_anti").join(growing(linked.where(F.col("m") < least_hot).drop("m")), key)
+    each = scratch.save(slim.join(hot, key).unionByName(rest), "each")
+    links = each.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(each.select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
+    parts = components(edges, scratch)
     out = rows.select("vec_id").join(links, "vec_id", "left").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return scratch.finish(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")), "units", "dealt", "found")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

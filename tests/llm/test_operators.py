@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -494,7 +495,7 @@ def test_embeddings(spark):
     assert len(links) > 20
     want = [(v, count[v] if v is not None else 0, None if v is None else part[v], None if v is None else part[v] == v) for v, *_ in rows]
     same(embedding_dedup.link_embeddings(table).collect(), want)
-    for name, value in (("BLOCK_ROWS", 7), ("CELL_ROWS", 5)):
+    for name, value in (("BLOCK_ROWS", 7), ("CELL_ROWS", 2), ("PIVOT_BYTES", 300), ("HOT_ROWS", 2)):
         before = getattr(embedding_dedup, name)
         setattr(embedding_dedup, name, value)
         try:
@@ -504,6 +505,29 @@ def test_embeddings(spark):
     assert embedding_dedup.link_embeddings(table.limit(0)).count() == 0
 
 
+def test_embeddings_by_pivots(spark):
+    """Constants as in production: groups round centres, a third of all rows one vector, pivots that leave most cells out."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    spread = np.repeat(centres, 60, 0) + 0.12 * rng.normal(size=(2400, 16))
+    x = np.concatenate([spread, np.repeat(centres[:1], 1200, 0)])
+    ids = rng.permutation(len(x)).tolist()
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    part = parts_of(len(x), [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near))])
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, label int").repartition(5)
+    want = [(i, int(n), part[i], part[i] == i) for i, n in zip(ids, near.sum(1))]
+    same(embedding_dedup.link_embeddings(table).collect(), want)
+    units = [u.tobytes() for u in unit[:2400]]
+    pivots = {("1", 128): units[:2400:200]}  # 12, as many as sqrt(2401) / 4 gives
+    frame = pd.DataFrame({"uid": range(2400), "rep": 0, "m": 1, "label": "1", "unit": units})
+    homed = pd.concat(embedding_dedup._home(SimpleNamespace(value=pivots))([frame]))
+    radii = {("1", 128): homed.groupby("home")["d"].max().reindex(range(12)).to_numpy()}
+    dealt = pd.concat(embedding_dedup._deal(SimpleNamespace(value=pivots), SimpleNamespace(value=radii), 0.14**0.5)([homed]))
+    assert (dealt["kind"] == 0).sum() == 2400 and (dealt["kind"] == 1).sum() < 0.8 * 2400 * 11 / 2
+
+
 def backoff_by_hand(texts, trained):
     """Counts, priors, and a walk along states and failure arcs, one token at a time."""
     tokens = [["<s>", *low(t), None] for t in texts]

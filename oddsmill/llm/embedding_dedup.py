@@ -13,7 +13,7 @@ from .common import Scratch, components, growing
 #: A label with n different vectors has sqrt(n) / PIVOT_STEP pivots, if those are CELL_ROWS vectors to a pivot or more.
 #: That number is raised with the input so that all pivots together have at most 2 * PIVOT_BYTES.
 PIVOT_STEP, CELL_ROWS, PIVOT_BYTES = 4, 16, 64 << 20
-#: Rows of a block's side; a cell with more is cut into rings around its pivot, and rings into blocks.
+#: Rows of a block's side; a cell with more of its own is cut into rings around its pivot, and rings into blocks.
 BLOCK_ROWS = 2048
 #: A vector with HOT_ROWS copies and this share of all rows, or more, is looked up by broadcast.
 HOT_ROWS, HOT_SHARE = 2048, 1 / 1024
@@ -160,7 +160,7 @@ def _chunks(dealt: DataFrame, reach: float, scratch: Scratch) -> tuple[DataFrame
     """dealt with the chunk of each row, and for each chunk the blocks (a, b) that it is a side of."""
     rows = dealt.withColumn("fine", F.floor(F.col("d") / ((reach + ROUND) / 2)).cast("int"))
     rings = rows.groupBy("cell", "kind", "fine").agg(F.count("*").alias("n"))
-    whole = F.sum("n").over(W.partitionBy("cell")) <= BLOCK_ROWS
+    whole = F.sum(F.expr("if(kind = 0, n, 0)")).over(W.partitionBy("cell")) <= BLOCK_ROWS  # one chunk of own vectors meets all copies
     rings = rings.withColumn("ring", F.when(whole, 0).otherwise(F.col("fine")))
     parts = F.ceil(F.sum("n").over(W.partitionBy("cell", "kind", "ring")) / BLOCK_ROWS).cast("int")
     rings = scratch.save(rings.withColumn("parts", parts).drop("n"), "rings")
@@ -191,8 +191,8 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     label grow with the root of its different vectors, at every size, and are chosen by hashes, so dense regions
     have more of them; PIVOT_BYTES bounds what is broadcast. A vector is at home with its nearest pivot and copied
     to the later cells that the triangle inequality leaves possible, by its own distances and by the radius of the
-    cell; each pair meets once and counts for both. A cell of more than
-    BLOCK_ROWS is cut into rings of half the reach around its pivot, rings into chunks, and only chunks of rings
+    cell; each pair meets once and counts for both. A cell with more
+    than BLOCK_ROWS of its own is cut into rings of half the reach around its pivot, rings into chunks, and only chunks of rings
     that can hold a link meet, as tasks of their own. A block returns a row for each linked vector, never its pairs.
     """
     spark = vectors.sparkSession

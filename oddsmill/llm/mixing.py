@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, growing
 
 #: Blocks of a source, and parts of its one block that is taken in part: the grain is a millionth of a source.
 N_BLOCKS = 1024
 #: The driver holds a few numbers for each source and shard; beyond this many sources the call is refused.
 MAX_SOURCES = 100_000
+#: Words of one run of a shard: what one task sorts.
+RUN_WORDS = 1 << 25
 
 
 def n_words(text: Column) -> Column:
@@ -165,8 +168,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     return scratch.finish(out, "sizes", "draws", "parts")
 
 
-def write_shards(mixed: DataFrame, docs: DataFrame, path: str, columns: Iterable[str], seed: int = 17, id_col: str = "doc_id") -> None:
-    """The mix itself: a folder for each shard, its documents in a seeded local shuffle, copies apart."""
-    copies = mixed.select(F.col("doc_id").alias("_id"), F.posexplode("shards").alias("_copy", "shard"))
-    rows = docs.join(copies, F.col(id_col) == F.col("_id")).select(*columns, "shard", "_copy", F.xxhash64(F.lit(seed), "_id", "_copy").alias("_order"))
-    rows.repartition("shard").sortWithinPartitions("shard", "_order").drop("_copy", "_order").write.partitionBy("shard").parquet(path)
+def shard_rows(mixed: DataFrame, docs: DataFrame, columns: Sequence[str], seed: int = 17, run_words: int = RUN_WORDS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The mix itself: the named columns of docs, a row for each copy, with its shard, run and place in the run.
+
+    `mixed` is what `mix` made of the same docs with the same seed. Rows find their copies by id and source, nulls
+    being equal to each other, so rows that repeat an id are as many rows for each copy and not their square. A null text has
+    a row like any other, as often as it was drawn. The parts of a shard's blocks are dealt to as many runs as make
+    run_words of the mix each, so no task needs a whole shard or a whole block; a very long text is in one run. Places
+    follow a seeded hash: the same tables give the same places, but for equal rows, which may have each other's. An
+    empty table gives no rows. Other columns of docs may have any name; `columns` may not hold shard, run or place.
+    """
+    if clash := {"shard", "run", "place"} & set(columns):
+        raise ValueError(f"columns of the result: {sorted(clash)}")
+    n = mixed.select(F.sum("taken").alias("words"), F.max(F.array_max("shards")).alias("last")).first()
+    n_runs = max(1, -(-(n.words or 0) // (run_words * ((n.last or 0) + 1))))
+    copies = mixed.groupBy(F.col("doc_id").alias("id_"), F.col("source").alias("source_")).agg(F.first("shards").alias("shards"))
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"))
+    rows = rows.join(growing(copies), F.col("id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")))
+    rows = rows.select("row", "source", F.xxhash64(F.lit(seed), "source", "id").alias("h"), F.posexplode("shards").alias("copy", "shard"))
+    # the first twenty bits are the block and the part of it that mix drew
+    run = F.pmod(F.xxhash64(F.lit(seed), "source", "shard", F.shiftrightunsigned("h", 44)), F.lit(n_runs)).cast("int").alias("run")
+    rows = rows.select("row", "shard", run, F.xxhash64(F.lit(seed + 1), "h", "copy", F.to_json("row")).alias("order"))
+    place = F.row_number().over(W.partitionBy("shard", "run").orderBy("order")) - 1
+    return rows.withColumn("place", place.cast("long")).select("row.*", "shard", "run", "place")
+
+
+def write_shards(mixed: DataFrame, docs: DataFrame, path: str, columns: Sequence[str], **options) -> None:
+    """`shard_rows` as Parquet: a folder for each shard, in it one for each run, rows in the order of their places."""
+    rows = shard_rows(mixed, docs, columns, **options)
+    rows.sortWithinPartitions("shard", "run", "place").write.mode("overwrite").partitionBy("shard", "run").parquet(path)

@@ -9,7 +9,9 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from oddsmill.llm import embedding_dedup, language_id, lm_scoring, minhash_forest, mixing, packing, passage_chains, quality_rules, suffix_dedup, token_counts
 from oddsmill.llm.induced_sort import suffix_array
@@ -143,6 +145,30 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_shards_hold_the_mix(docs, empty, spark, tmp_path):
+    mixed = mixing.mix(docs, n_shards=4)
+    shards = {(r.doc_id, r.source): r.shards for r in mixed.collect()}
+    want = Counter((r[0], r[1], r[3], shard) for r in ROWS for shard in shards[r[0], r[3]])
+    assert len([k for k in want if k[0] is None]) and max(want.values()) > 1
+    for words in (mixing.RUN_WORDS, 200):
+        path = f"{tmp_path}/shards-{words}"
+        for _ in range(2):  # a second write replaces the first
+            mixing.write_shards(mixed, docs.withColumn("place", F.lit("x")), path, ["doc_id", "text", "source"], run_words=words)
+        rows = spark.read.parquet(path).collect()
+        assert Counter((r.doc_id, r.text, r.source, r.shard) for r in rows) == want
+        runs = Counter((r.shard, r.run) for r in rows)
+        assert (len(runs) > len({s for s, _ in runs})) == (words == 200)
+        for run, n in runs.items():
+            assert sorted(r.place for r in rows if (r.shard, r.run) == run) == list(range(n))
+            files = pq.read_table(f"{path}/shard={run[0]}/run={run[1]}", partitioning=None)
+            assert files["place"].to_pylist() == list(range(n))
+        again = mixing.shard_rows(mixed.repartition(7), docs.repartition(5), ["doc_id", "text", "source"], run_words=words).collect()
+        same(again, [tuple(r[c] for c in ("doc_id", "text", "source", "shard", "run", "place")) for r in rows])
+    with pytest.raises(ValueError):
+        mixing.shard_rows(mixed, docs, ["shard"])
+    assert mixing.shard_rows(mixing.mix(empty), empty, ["doc_id"]).count() == 0
+
+
 def test_mix_of_many_documents_is_near_its_targets(spark):
     rows = [(k, "w " * (1 + k * 7919 % 200), f"s{k % 3}") for k in range(3000)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()

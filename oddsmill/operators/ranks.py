@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Ranges at most, so that the counts of all ranges and their bounds stay small.
+MAX_PARTS = 1 << 14
+
 
 def _parts(df: DataFrame) -> int:
-    """Ranges to cut to: more on larger clusters, within what approximate quantiles tell apart."""
-    return max(64, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Ranges to cut to: as many as the shuffle has partitions, which a user sets by the size of the data."""
+    return max(64, min(MAX_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _doubles(values) -> str:
+    return f"array({', '.join(f"double('{float(v)!r}')" for v in values)})" if values else "cast(array() as array<double>)"
+
+
+def _range(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:
+    """Rows with `_b`, how many of the rising bounds lie under the value, by way of groups of about a root of them."""
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)] + [[]]
+    under = lambda xs: F.size(F.filter(xs, lambda x: x < F.col(value)))
+    df = df.withColumn("_whole", under(F.expr(_doubles([g[-1] for g in groups[:-1]]))))
+    group = F.element_at(F.expr(f"array({', '.join(_doubles(g) for g in groups)})"), F.col("_whole") + 1)
+    # groups that lie under the value as a whole are full ones, but for the last
+    return df.withColumn("_b", F.least(F.col("_whole") * step + under(group), F.lit(len(bounds)))).drop("_whole")
 
 
 def _cut(df: DataFrame, value: str, parts: int | None) -> DataFrame:
@@ -19,10 +39,9 @@ def _cut(df: DataFrame, value: str, parts: int | None) -> DataFrame:
     Equal values share a range.
     """
     parts = parts or _parts(df)
-    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
-    bounds = df.agg(F.percentile_approx(value, shares, 10_000).alias("b")).first()["b"] or []
-    cut = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
-    df = df.withColumn("_b", F.size(F.filter(cut, lambda x: x < F.col(value))))
+    shares = F.expr(_doubles([k / parts for k in range(1, parts)] or [0.5]))
+    bounds = df.agg(F.percentile_approx(value, shares, max(10_000, 8 * parts)).alias("b")).first()["b"] or []
+    df = _range(df, value, sorted({float(b) for b in bounds}, key=lambda b: (b != b, b)))
     counts = df.groupBy("_b").agg(F.count("*").alias("_n"))  # at most `parts` rows
     before = F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return df.join(F.broadcast(counts.select("_b", before.alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_total"))), "_b")

@@ -90,6 +90,21 @@ def test_ranks_are_exact(spark):
     assert ranks.row_index(spark.createDataFrame([], "seq long, v double"), "v", "seq").count() == 0
 
 
+def test_ranges_of_any_number_hold_every_value(spark):
+    values = [None, -2.5, -1e-9, 0.0, 1e-300, 0.1, 0.25, 7.0, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in range(12):
+        bounds = [-1.0, -1e-9, 0.0, 0.1, 0.2, 0.25, 0.3, 5.0, 7.0, 8.0, 1e300][:n]
+        got = {str(r.v): r._b for r in ranks._range(df, "v", bounds).collect()}
+        assert got == {str(v): sum(v is not None and (b < v or v != v) for b in bounds) for v in values}
+    rng = random.Random(9)
+    rows = [(k, rng.gauss(0, 1)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "seq long, v double")
+    cut = ranks._cut(df, "v", 1500)
+    assert cut.select("_b").distinct().count() > 1000
+    assert {r.seq: r.i for r in ranks.row_index(df, "v", "seq", 1500).collect()} == {k: i for i, (k, _) in enumerate(sorted(rows, key=lambda r: r[1]))}
+
+
 def test_training_never_reaches_validation(spark):
     d = splits.out_of_time(series(spark, [k / 100 for k in range(50)]).withColumn("bar_ts", F.col("bar_ts")))
     t, v = (d.where(f"part = '{p}'").agg(F.max("bar_ts") if p == "train" else F.min("bar_ts")).first()[0] for p in ("train", "val"))

@@ -85,12 +85,13 @@ def over_stretches(f: Callable[[DataFrame, str], DataFrame], series: DataFrame,
     k = F.col("_key")
     out = out.where(k["lo"].isNull() | ((place >= k["lo"]) & (place <= k["hi"])))
     right = {}
+    shifted = F.col("i") + F.coalesce(k["start"], F.lit(0))  # rows of a null key have no struct
     if "i" in out.columns:
-        right["i"] = F.col("i") + k["start"]
+        right["i"] = shifted
     if "n" in out.columns:
         right["n"] = F.coalesce(k["n"], F.col("n"))
     if "tfrac" in out.columns:
-        right["tfrac"] = (F.col("i") + k["start"]) / F.coalesce(k["n"], F.col("n"))
+        right["tfrac"] = shifted / F.coalesce(k["n"], F.col("n"))
     names = [c for c in out.columns if c != key]
     return out.withColumns(right).select(*[k["key"].alias(key) if c == "_key" else F.col(c) for c in names])
 

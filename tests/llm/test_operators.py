@@ -681,6 +681,55 @@ def test_passages_whose_phrases_stand_elsewhere(spark):
     assert len(found) == 20 and set(got) == set(shared.values())
 
 
+def brute_links(texts, words=45):
+    grams = {}
+    for k, w in texts.items():
+        for s in range(len(w) - words + 1):
+            grams.setdefault(tuple(w[s : s + words]), set()).add(k)
+    return {(a, b) for held in grams.values() for a in held for b in held if a < b}
+
+
+@pytest.mark.parametrize("most", [4, 32, None])
+def test_passages_lose_no_link_of_common_seeds(spark, most):
+    """Very common phrases cover the passages that few share, so every seed's first holders are strangers to the pair."""
+    rng = random.Random(15)
+    say = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    phrases = [say(16) for _ in range(12)]
+    texts = [say(30) + p + say(30) for p in phrases for _ in range(40)]
+    for j in range(8):
+        passage = [w for p in rng.sample(phrases, 4) for w in p]
+        texts += [say(rng.randint(5, 60)) + passage + say(rng.randint(5, 60)) for _ in range(2 + j)]
+    common = say(60)
+    texts += [say(rng.randint(0, 50)) + common[rng.randint(0, 5) : rng.randint(50, 60)] + say(rng.randint(10, 50)) for _ in range(40)]
+    rng.shuffle(texts)
+    texts = dict(enumerate(texts))
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string").coalesce(1)
+    rows = passage_chains.shared_passages(table, most=most)
+    got, want = {tuple(r) for r in passage_chains.linked_pairs(rows).collect()}, brute_links(texts)
+    assert len(want) > 700 and want <= got
+    for r in rows.where("similarity = 1").collect():
+        assert texts[r.doc_id][r.start : r.stop] == texts[r.other_doc_id][r.other_start : r.other_stop] and r.stop - r.start >= 45
+    if most != 4:
+        return
+    assert rows.count() < len(want)
+
+
+def test_passages_of_rare_seeds_meet_every_partner(spark):
+    """Each copy of a passage has an edit of its own; every pair of copies is a row, wherever the ranges of seeds are cut."""
+    rng = random.Random(16)
+    say = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        passage = say(90)
+        for k in range(9):
+            edited = list(passage)
+            edited[10 * k] = "changed"
+            texts.append(say(20) + edited + say(20))
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in passage_chains.shared_passages(table).collect()}
+    assert got == {(a, b) for a in range(54) for b in range(a + 1, 54) if a // 9 == b // 9}
+
+
 def test_passages(docs, empty):
     got = passage_chains.shared_passages(docs.where("doc_id is not null")).collect()
     by = {(r.doc_id, r.other_doc_id): r for r in got}

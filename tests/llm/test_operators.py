@@ -754,6 +754,89 @@ def test_passages_around_bad_stretches(spark):
     assert sorted((r.doc_id, r.other_doc_id, r.start, r.stop, r.other_start, r.other_stop) for r in got) == [(2, 1, 20, 70, 20, 70), (2, 1, 130, 180, 130, 180), (4, 3, 0, 60, 0, 60)]
 
 
+def test_passages_cut_texts_into_words_once(monkeypatch):
+    """Seeds, runs and stretches come from the words of the blocks: no text is cut again, and the rows are those of brute force."""
+    import pyarrow as pa
+    import pyspark
+
+    from oddsmill.llm.shingles import Shingler
+
+    rng = random.Random(17)
+    common = [f"w{k}" for k in range(60)]
+    texts = [[rng.choice(common) for _ in range(n)] for n in (300, 44, 45, 46, 0, 700, 90)] + [common * 3]
+    hashed = [Shingler(5).words(" ".join(w)) for w in texts]
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(7), None], pa.int64()), pa.array([" ".join(w) or None for w in texts])], names=["doc_id", "text"])
+    blocks = pa.Table.from_batches(passage_chains._blocks([batch])).to_pandas()
+    monkeypatch.setattr(Shingler, "words", None)
+    known = next(passage_chains._digests(pa.Table.from_pandas(blocks[["block", "docs"]]).to_batches())).to_pylist()
+    assert [(r["doc_id"], r["n_words"]) for r in known] == [(k if k < 7 else None, len(w)) for k, w in enumerate(texts)]
+    assert known[0]["digest"] == hashlib.blake2b(" ".join(texts[0]).encode(), digest_size=16).digest()
+
+    long = [k for k, w in enumerate(texts) if len(w) >= 45]
+    want = set()
+    for k in long:
+        grams = [int(g) >> 21 for g in Shingler(5).grams(hashed[k])]
+        least = lambda a, n: min(range(a, a + n), key=lambda p: (grams[p], p))  # noqa: B023, E731
+        owned = {}
+        for a in range(len(grams) - 40):
+            owned.setdefault(least(a, 41), []).append(a)
+        for x in {least(a, 12) for a in range(len(grams) - 11)}:
+            want.add((k, x, min(owned.get(x, [0])), max(owned.get(x, [-1]))))
+    seeds = passage_chains._seeds(blocks, pd.DataFrame({"uid": long[::-1]}))
+    assert set(seeds[["uid", "x", "lo", "hi"]].itertuples(index=False, name=None)) == want and len(seeds) == len(want)
+
+    anchors = seeds[seeds["hi"] >= seeds["lo"]]
+    runs = passage_chains._exact(blocks, anchors)
+    assert sorted(zip(runs["uid"], runs["start"])) == [(k, a) for k in long for a in range(len(texts[k]) - 44)]
+    by = runs.groupby(["c1", "c2"])[["uid", "start"]].agg(list)
+    assert sorted(sorted(zip(*r)) for r in by.itertuples(index=False)) == sorted(sorted(v) for v in _equal_runs(texts, long).values())
+    assert sorted(map(len, by["uid"]))[-1] == 3
+    few = passage_chains._exact(blocks, anchors[anchors["uid"].isin([0, 7])].iloc[::3])
+    assert set(few.itertuples(index=False, name=None)) <= set(runs.itertuples(index=False, name=None)) and 0 < len(few) < len(runs)
+
+    wanted = pd.DataFrame({"uid": [5, 0, 2], "lo": pd.Series([64, 0, 0], dtype="int32"), "hi": pd.Series([128, 64, 64], dtype="int32")})
+    sides = passage_chains._sides(blocks, wanted)
+    assert [(r.first, r.words) for r in sides.itertuples()] == [(a, (hashed[k][a:b] & 0xFFFFFFFF).astype("<u4").tobytes()) for k, a, b in ((5, 24, 168), (0, 0, 104), (2, 0, 45))]
+
+
+def _equal_runs(texts, long):
+    found = {}
+    for k in long:
+        for a in range(len(texts[k]) - 44):
+            found.setdefault(tuple(texts[k][a : a + 45]), []).append((k, a))
+    return found
+
+
+def test_gaps_and_straight_chains_of_passages():
+    import pyarrow as pa
+
+    rng = random.Random(18)
+    for _ in range(2000):
+        a, b = ([rng.randint(0, 6) for _ in range(rng.choice((0, 1, 3, 20, 90)))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for w in a:
+            row = [best := 0] + [best := max(best, old, before + (w == v)) for v, before, old in zip(b, row, row[1:])]
+        assert passage_chains._equal_in_gap(a, b) == row[-1]
+    pairs, want = [], []
+    for k in range(400):
+        straight, x, y = rng.random() < 0.6, rng.randint(0, 50), rng.randint(0, 50)
+        found = [(x, y)]
+        for _ in range(rng.randint(0, 12)):
+            dx = rng.choice((1, 2, 4, 5, 6, 30, 49, *(() if straight else (50, 51, 99, 101))))
+            x, y = x + dx, y + (dx if straight else dx + rng.choice((0, 0, 0, 1, -1)))
+            found.append((x, y))
+        found = sorted({p for p in found if p[1] >= 0})
+        pairs += [(k // 3, k, *p) for p in found]
+        xs, ys = [p[0] for p in found], [p[1] for p in found]
+        parts = [c for chain in passage_chains.chains(xs, ys) for c in passage_chains.parted(chain, xs, ys)]
+        want += [(k // 3, k, xs[c[0]], ys[c[0]], xs[c[-1]], ys[c[-1]]) for c in parts if xs[c[-1]] - xs[c[0]] >= 7]
+    columns = [pa.array(c, t) for c, t in zip(zip(*pairs), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+    whole = pa.RecordBatch.from_arrays(columns, names=["uid", "leader", "x", "y"])
+    got = [r for b in passage_chains._chained(whole.slice(k, 97) for k in range(0, len(pairs), 97)) for r in b.to_pylist()]
+    assert sorted((r["uid"], r["leader"], r["xs"][0], r["ys"][0], r["xs"][-1], r["ys"][-1]) for r in got) == sorted(want) and len(want) > 300
+
+
 def test_shapes_match_the_contract(spark):
     from oddsmill.llm import queries
 

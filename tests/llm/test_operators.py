@@ -504,6 +504,34 @@ def test_suffix_dedup_of_other_lengths(spark):
     assert all(passages[k % 4] not in kept[k] and len(kept[k]) < len(texts[k]) - 200 for k in range(12)) and all(kept[k] == texts[k] for k in range(12, 17))
 
 
+def test_suffix_dedup_of_a_line_in_a_crowd_of_contexts(spark, monkeypatch):
+    """A line of 90 to 390 bytes in many texts: its stretches are sorted in groups of a few, and no repeat is lost."""
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    lines, before, after = [say(90), say(230), say(390), "xyz " * 60], [say(400) for _ in range(6)], [say(400) for _ in range(6)]
+    texts = []
+    for k in range(160):
+        a = rng.choice(before)[rng.randint(0, 390) :] if rng.random() < 0.4 else say(rng.randint(0, 400))
+        b = rng.choice(after)[: rng.randint(10, 400)] if rng.random() < 0.4 else say(rng.randint(0, 400))
+        texts.append(say(rng.randint(0, 50)) + a + lines[k % 4] + b + say(rng.randint(0, 50)))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffix_dedup, "CROWD", 4)
+    groups, crowds, split = [], [], suffix_dedup._by_context
+
+    def spy(data, length, scratch):
+        to_sort, *others = split(data, length, scratch)
+        crowds.append(data.groupBy("anchor").count().agg(F.max("count")).first()[0])
+        groups.append(to_sort.groupBy("key").count().agg(F.max("count")).first()[0])
+        return to_sort, *others
+
+    monkeypatch.setattr(suffix_dedup, "_by_context", spy)
+    for length in (400, 250):
+        want = removed_by_hand(texts, length)
+        assert sum(w[1] > 0 for w in want) > 20
+        same(suffix_dedup.remove_repeats(table, length=length).collect(), [(k, *w) for k, w in enumerate(want)])
+    assert min(crowds) > 20 and max(groups) <= 4
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 8))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from . import ranks
 
 
-def market_final(tape: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The resolution of each market, else its last price."""
-    last = tape.groupBy("market_id").agg(F.max_by("price", F.struct("t", "seq")).alias("last"))
+def market_final(tape: DataFrame, resolved: DataFrame, order: tuple[str, ...] = ("t", "seq")) -> DataFrame:
+    """The resolution of each market, else its last price in `order`."""
+    last = tape.groupBy("market_id").agg(F.max_by("price", F.struct(*order)).alias("last"))
     return last.join(resolved, "market_id", "left").select("market_id", F.coalesce("final", "last").alias("final"))
 
 
@@ -24,9 +24,15 @@ def leaderboard(pnl: DataFrame) -> DataFrame:
     return pnl.groupBy("wallet").agg(F.sum("pnl").alias("pnl"), F.sum("volume").alias("volume"), F.count("*").alias("n_markets"))
 
 
+def settled(board: DataFrame) -> DataFrame:
+    """The board as first computed, a row for each wallet, in the checkpoint folder or else on the executors. Ranks read
+    their rows more than once, and sums of doubles that are made again can differ in their last digits."""
+    return board.checkpoint() if board.sparkSession.sparkContext.getCheckpointDir() else board.localCheckpoint()
+
+
 def top_share(board: DataFrame, share: float = 0.2) -> DataFrame:
-    """The best ceil(share * N) wallets."""
-    d = ranks.row_index(board.withColumn("_v", -F.col("pnl")), "_v", "wallet")
+    """The best ceil(share * N) wallets; those whose pnl is not known come last."""
+    d = ranks.row_index(settled(board).withColumn("_v", F.coalesce(-F.col("pnl"), F.lit(float("inf")))), "_v", "wallet")
     return d.where(F.col("i") < F.ceil(F.col("n") * share)).drop("_v", "i", "n")
 
 

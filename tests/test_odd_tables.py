@@ -54,3 +54,27 @@ def test_aligned_rows_of_one_time_are_told_apart(spark, same_times):
 
 def test_windows_without_volume_have_a_prediction(spark, empty_starts):
     equal(spark, empty_starts, "stacker_predict")
+
+
+@pytest.fixture(scope="module")
+def mixed_times(spark, tmp_path_factory):
+    """Times that don't rise with the events' numbers, and a wallet that never paid anything."""
+    mixed = F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, event_id * 7919 % 1000003)")
+    return changed(spark, tmp_path_factory.mktemp("mixed"), lambda d: d.withColumns({"ts": mixed, "value": F.when(F.col("props") != '{"k": 7}', F.col("value")).otherwise(0.0)}))
+
+
+@pytest.fixture
+def moving_board(spark):
+    """A board whose pnl has other last digits each time it is read, as sums of doubles from many tasks have."""
+    noise = F.udf(lambda: int.from_bytes(os.urandom(2)) * 1e-12, "double").asNondeterministic()
+    return spark.range(100).select(F.format_string("w%02d", "id").alias("wallet"), (F.col("id") + noise()).alias("pnl"), F.lit(1000.0).alias("volume"), F.lit(1).alias("n_markets"))
+
+
+def test_best_wallets_of_a_board_that_moves(moving_board):
+    from oddsmill.operators import cohorts
+
+    assert sorted(r.wallet for r in cohorts.top_share(moving_board).collect()) == [f"w{k}" for k in range(80, 100)]
+
+
+def test_best_wallets_of_mixed_times(spark, mixed_times):
+    equal(spark, mixed_times, "smart_top_frac")

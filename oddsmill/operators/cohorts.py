@@ -38,7 +38,7 @@ def top_share(board: DataFrame, share: float = 0.2) -> DataFrame:
 
 def smart_and_dumb(board: DataFrame, share: float = 0.2, least_volume: float = 200.0, least: int = 5) -> DataFrame:
     """The best and the worst k wallets with volume, k never over half; none below `least` wallets."""
-    d = ranks.row_index(board.where(F.col("volume") >= least_volume), "pnl", "wallet")
+    d = ranks.row_index(settled(board.where(F.col("volume") >= least_volume)), "pnl", "wallet")
     k = F.least(F.floor(F.col("n") * share), F.floor((F.col("n") - 1) / 2))
     d = d.withColumn("cohort", F.when(F.col("i") >= F.col("n") - k, "smart").when(F.col("i") < k, "dumb"))
     return d.where(F.col("cohort").isNotNull() & (F.col("n") >= least)).select("wallet", "cohort")

@@ -78,3 +78,10 @@ def test_best_wallets_of_a_board_that_moves(moving_board):
 
 def test_best_wallets_of_mixed_times(spark, mixed_times):
     equal(spark, mixed_times, "smart_top_frac")
+
+
+def test_cohorts_of_a_board_that_moves(moving_board):
+    from oddsmill.operators import cohorts
+
+    found = {r.wallet: r.cohort for r in cohorts.smart_and_dumb(moving_board).collect()}
+    assert found == {f"w{k:02d}": "smart" if k >= 80 else "dumb" for k in range(100) if not 20 <= k < 80}

@@ -137,12 +137,13 @@ def arbitrage(quotes: DataFrame) -> DataFrame:
 
 
 def basket_drift(quotes: DataFrame, top: int | None = 12) -> DataFrame:
-    """Baskets whose mids have left 1 by more than their own spreads explain; the `top` by that ratio."""
+    """Baskets whose mids have left 1 by more than their own spreads explain; the `top` by that ratio, to nine digits, since
+    ratios of sums that are equal differ beyond those. Equal ones go by their number."""
     b = _baskets(quotes).where("top_ask < 0.99 and widest <= 0.1")
     b = b.select("basket_id", ((F.col("sum_bid") + F.col("sum_ask")) / 2).alias("basket"), ((F.col("sum_ask") - F.col("sum_bid")) * 50).alias("noise_points"), "legs")
     b = b.withColumn("drift_points", (F.col("basket") - 1) * 100)
     b = b.withColumn("ratio", F.when(F.col("noise_points") > 1e-6, F.abs("drift_points") / F.col("noise_points")).otherwise(0.0)).where("abs(drift_points) <= 25 and ratio >= 1")
-    return b if top is None else b.orderBy(F.desc("ratio"), "basket_id").limit(top)
+    return b if top is None else b.orderBy(F.desc(F.round("ratio", 9)), "basket_id").limit(top)
 
 
 def deep_scan(markets: DataFrame, top: int = 48) -> DataFrame:

@@ -85,3 +85,19 @@ def test_cohorts_of_a_board_that_moves(moving_board):
 
     found = {r.wallet: r.cohort for r in cohorts.smart_and_dumb(moving_board).collect()}
     assert found == {f"w{k:02d}": "smart" if k >= 80 else "dumb" for k in range(100) if not 20 <= k < 80}
+
+
+def test_baskets_of_equal_drift_go_by_number(spark):
+    import random
+
+    from oddsmill.operators import signals
+
+    rng, legs = random.Random(2), []
+    for basket in range(60):
+        shares = [rng.random() for _ in range(5)]
+        for s in shares:
+            mid = 1.03 * s / sum(shares)
+            legs.append((basket, True, True, mid - 0.002, mid + 0.002, 1.0))
+    rng.shuffle(legs)
+    quotes = spark.createDataFrame(legs, "basket_id long, neg_risk boolean, accepting boolean, best_bid double, best_ask double, liquidity double")
+    assert [r.basket_id for r in signals.basket_drift(quotes).collect()] == list(range(12))

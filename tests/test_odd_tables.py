@@ -101,3 +101,7 @@ def test_baskets_of_equal_drift_go_by_number(spark):
     rng.shuffle(legs)
     quotes = spark.createDataFrame(legs, "basket_id long, neg_risk boolean, accepting boolean, best_bid double, best_ask double, liquidity double")
     assert [r.basket_id for r in signals.basket_drift(quotes).collect()] == list(range(12))
+
+
+def test_all_families_of_mixed_times(spark, mixed_times):
+    equal(spark, mixed_times, "feat_all66")
